@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fixed
-from .scalars import SPACE, between, first_where, literal, n_words, ratio, strip, whole
+from .scalars import SPACE, between, first_where, literal, line_words, ratio, strip, whole
 
 FLAGS = "(?iU)"
 
@@ -42,14 +42,14 @@ def opening(line: Column) -> Column:
 
 
 def openings(lines: Column) -> Column:
-    found = F.transform(F.filter(lines, lambda x: n_words(x) >= 2), opening)
+    found = F.transform(F.filter(lines, lambda x: line_words(x) >= 2), opening)
     return F.filter(F.array_distinct(found), lambda o: o != "")
 
 
 def sentences(lines: Column) -> Column:
     """Sentences of three words or more from lines of six words or more."""
-    prose = F.array_join(F.filter(lines, lambda x: n_words(x) >= 6), "\n")
-    return F.filter(F.split(prose, f"(?<=[.!?]){SPACE}|\\n"), lambda s: n_words(s) >= 3)
+    prose = F.array_join(F.filter(lines, lambda x: line_words(x) >= 6), "\n")
+    return F.filter(F.split(prose, r"(?<=[.!?])\s+|\n"), lambda s: line_words(s) >= 3)
 
 
 def rate(hits: Column, words: Column) -> Column:
@@ -63,7 +63,7 @@ def rated(hits: Column, words: Column, cap: int) -> Column:
 
 def rhythm(lines: Column) -> Column:
     """Sentence-length uniformity from the coefficient of variation; 0 under eight sentences."""
-    lengths = F.transform(sentences(lines), lambda s: n_words(s).cast("double"))
+    lengths = F.transform(sentences(lines), lambda s: line_words(s).cast("double"))
     sums = F.aggregate(lengths, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
                        lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
     cv = F.sqrt(sums["n"] * sums["q"] - sums["s"] * sums["s"]) / sums["s"]
@@ -72,7 +72,7 @@ def rhythm(lines: Column) -> Column:
 
 
 def skeleton_hits(lines: Column, common: Column) -> Column:
-    return F.size(F.filter(lines, lambda x: (n_words(x) >= 2) & F.array_contains(common, opening(x))))
+    return F.size(F.filter(lines, lambda x: (line_words(x) >= 2) & F.array_contains(common, opening(x))))
 
 
 def self_focus(text: Column, lines: Column, brand: Column | None) -> Column:
