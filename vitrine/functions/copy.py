@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fixed
-from .scalars import SPACE, between, first_where, literal, line_words, ratio, strip, whole
+from .scalars import SPACE, between, first_where, let, literal, line_words, ratio, strip, whole
 
 FLAGS = "(?iU)"
 
@@ -66,9 +66,11 @@ def rhythm(lines: Column) -> Column:
     lengths = F.transform(sentences(lines), lambda s: line_words(s).cast("double"))
     sums = F.aggregate(lengths, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
                        lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
-    cv = F.sqrt(sums["n"] * sums["q"] - sums["s"] * sums["s"]) / sums["s"]
-    score = whole(between((F.lit(0.6) - cv) / 0.35, 0.0, 1.0) * 100)
-    return F.when(sums["n"] < 8, F.lit(0).cast("bigint")).otherwise(score)
+    def score(a: Column) -> Column:
+        cv = F.sqrt(a["n"] * a["q"] - a["s"] * a["s"]) / a["s"]
+        return F.when(a["n"] < 8, F.lit(0).cast("bigint")).otherwise(whole(between((F.lit(0.6) - cv) / 0.35, 0.0, 1.0) * 100))
+
+    return let(sums, score)
 
 
 def skeleton_hits(lines: Column, common: Column) -> Column:
@@ -84,9 +86,12 @@ def self_focus(text: Column, lines: Column, brand: Column | None) -> Column:
         named = F.coalesce(brand, F.lit(""))
         we = we + F.when(named != "", F.regexp_count(text, F.concat(F.lit(r"(?iU)\b"), literal(named), F.lit(r"\b")))).otherwise(0)
         opens = opens | F.coalesce((named != "") & F.startswith(F.lower(first), F.lower(named)), F.lit(False))
-    share = F.coalesce(ratio(we, we + you), F.lit(0.5))
-    base = whole(between((share - 0.4) / 0.4, 0.0, 1.0) * F.least(F.lit(1.0), (we + you) / 5) * 100)
-    return F.least(F.lit(100).cast("bigint"), base + F.when(opens, 20).otherwise(0))
+    def score(n: Column) -> Column:
+        share = F.coalesce(ratio(n["we"], n["we"] + n["you"]), F.lit(0.5))
+        base = whole(between((share - 0.4) / 0.4, 0.0, 1.0) * F.least(F.lit(1.0), (n["we"] + n["you"]) / 5) * 100)
+        return F.least(F.lit(100).cast("bigint"), base + F.when(n["opens"], 20).otherwise(0))
+
+    return let(F.struct(we.alias("we"), you.alias("you"), opens.alias("opens")), score)
 
 
 def unsupported_claims(text: Column, brand: Column | None) -> Column:

@@ -8,6 +8,11 @@ SPACE = r"(?U)\s+"
 EDGES = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def rounded(value: Column, places: int = 0) -> Column:
     """Half-even rounding on the double, the way scores are rounded everywhere in this package."""
     scale = float(10**places)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["urls", "copy"]
+SUBJECTS = ["urls", "copy", "visibility", "runs", "scorecard", "calendar"]
 
 
 def load_all():
