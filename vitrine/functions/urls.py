@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed_values as fixed
-from .scalars import first_where, strip
+from .scalars import first_where, let, strip
 
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 SCHEME, AUTHORITY, PATH, QUERY = 1, 2, 3, 4
@@ -27,17 +27,12 @@ def query(url: Column) -> Column:
     return _part(url, QUERY)
 
 
-def _host_port(authority: Column) -> Column:
-    return F.regexp_replace(authority, "^.*@", "")
+HOSTNAME = (r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]*)(?::[^/?#]*)?(?:[/?#].*)?$")
 
 
 def hostname(url: Column) -> Column:
     """Lower-case host without port and credentials; NULL when there is none or the brackets are broken."""
-    authority = _host_port(_part(url, AUTHORITY))
-    broken = authority.rlike(r"[\[\]]") & ~authority.rlike(r"^\[[0-9A-Fa-f:.]+\](?::\d*)?$")
-    name = F.when(authority.startswith("["), F.regexp_extract(authority, r"^(\[[^\]]*\])", 1)).otherwise(
-        F.regexp_replace(authority, r":[^:]*$", ""))
-    return F.when(~broken, F.nullif(F.lower(name), F.lit("")))
+    return let(F.lower(F.regexp_extract(url, HOSTNAME, 1)), lambda name: F.nullif(name, F.lit("")))
 
 
 def without_www(name: Column) -> Column:
@@ -46,8 +41,7 @@ def without_www(name: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Host without ``www.``; the scheme may be missing."""
-    value = strip(url)
-    return without_www(hostname(F.when(value.contains("//"), value).otherwise(F.concat(F.lit("//"), value))))
+    return without_www(let(strip(url), lambda u: hostname(F.when(u.contains("//"), u).otherwise(F.concat(F.lit("//"), u)))))
 
 
 def origin(url: Column) -> Column:
@@ -72,7 +66,7 @@ def _encode(text: Column) -> Column:
 
 def _join_query(pairs: Column) -> Column:
     joined = F.array_join(F.transform(pairs, lambda p: F.concat(_encode(p["key"]), F.lit("="), _encode(p["value"]))), "&")
-    return F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit(""))
+    return let(joined, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
 
 
 def _is_utm(pair: Column) -> Column:
@@ -81,16 +75,20 @@ def _is_utm(pair: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """One spelling per page: http(s) only, no credentials, default port, tracking keys or fragment, sorted query."""
-    text = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("https://"), url))
-    kind, authority = scheme(text), _part(text, AUTHORITY)
-    port = F.regexp_extract(_host_port(authority), r":(\d+)$", 1)
-    default = ((kind == "http") & (port == "80")) | ((kind == "https") & (port == "443")) | (port == "") | (port == "0")
-    kept = F.filter(_pairs(query(text)), lambda p: ~_is_utm(p) & ~F.lower(p["key"]).isin(fixed.TRACKING_KEYS))
-    where = path(text)
-    return F.when(
-        kind.isin("http", "https") & hostname(text).isNotNull() & ~authority.contains("@"),
-        F.concat(kind, F.lit("://"), hostname(text), F.when(default, "").otherwise(F.concat(F.lit(":"), port)),
-                 F.when(where == "", "/").otherwise(where), _join_query(F.array_sort(kept))))
+    def build(p: Column) -> Column:
+        kept = F.filter(_pairs(p["query"]), lambda q: ~_is_utm(q) & ~F.lower(q["key"]).isin(fixed.TRACKING_KEYS))
+        default = ((p["kind"] == "http") & (p["port"] == "80")) | ((p["kind"] == "https") & (p["port"] == "443")) | p["port"].isin("", "0")
+        return F.when(
+            p["kind"].isin("http", "https") & p["name"].isNotNull() & ~p["authority"].contains("@"),
+            F.concat(p["kind"], F.lit("://"), p["name"], F.when(default, "").otherwise(F.concat(F.lit(":"), p["port"])),
+                     F.when(p["path"] == "", "/").otherwise(p["path"]), _join_query(F.array_sort(kept))))
+
+    def split(text: Column) -> Column:
+        authority = _part(text, AUTHORITY)
+        return let(F.struct(scheme(text).alias("kind"), hostname(text).alias("name"), authority.alias("authority"),
+                            F.regexp_extract(authority, r":(\d+)$", 1).alias("port"), path(text).alias("path"), query(text).alias("query")), build)
+
+    return let(let(url, lambda u: F.when(u.contains("://"), u).otherwise(F.concat(F.lit("https://"), u))), split)
 
 
 def clean_url(url: Column) -> Column:
@@ -101,14 +99,16 @@ def clean_url(url: Column) -> Column:
 
 def page_key(url: Column, keep_case: bool = False) -> Column:
     """Host and path, so that two spellings of one page compare equal."""
-    where = F.regexp_replace(path(url), "/+$", "")
-    return F.concat(F.coalesce(host(url), F.lit("")), where if keep_case else F.lower(where))
+    def key(u: Column) -> Column:
+        where = F.regexp_replace(path(u), "/+$", "")
+        return F.concat(F.coalesce(host(u), F.lit("")), where if keep_case else F.lower(where))
+
+    return let(url, key)
 
 
 def safe_link(url: Column) -> Column:
     """The URL when it is a well-formed http(s) link, else NULL."""
-    text = strip(url)
-    return F.when(scheme(text).isin("http", "https") & hostname(text).isNotNull(), text)
+    return let(strip(url), lambda u: F.when(scheme(u).isin("http", "https") & hostname(u).isNotNull(), u))
 
 
 def crawlable(url: Column) -> Column:
@@ -118,9 +118,11 @@ def crawlable(url: Column) -> Column:
 
 def classify(url: Column) -> Column:
     """Page class by the first path rule that matches."""
-    where = F.regexp_replace(F.lower(path(url)), "^/+|/+$", "")
-    rules = [(where.rlike(f"(?:^|/)(?:{pattern})"), label) for label, pattern in fixed.PAGE_CLASSES]
-    return first_where([(where == "", "homepage"), *rules], "other")
+    def label(where: Column) -> Column:
+        rules = [(where.rlike(f"(?:^|/)(?:{pattern})"), name) for name, pattern in fixed.PAGE_CLASSES]
+        return first_where([(where == "", "homepage"), *rules], "other")
+
+    return let(F.regexp_replace(F.lower(path(url)), "^/+|/+$", ""), label)
 
 
 def class_confidence(label: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["urls", "copy", "visibility", "runs", "scorecard", "calendar"]
+SUBJECTS = ["urls", "copy", "visibility", "runs", "scorecard", "calendar", "checks"]
 
 
 def load_all():
