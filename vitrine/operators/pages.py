@@ -116,51 +116,75 @@ def json_types() -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.col("dom.objects"), lambda o: o["types"]))))
 
 
-def page_record(pages: DataFrame) -> DataFrame:
-    """The page record of every parsed page. Select what you need: unused columns are never computed."""
-    with_tags = pages.withColumn("metas", metas()).withColumn("links", links())
-    web = F.filter("links", lambda n: n["url"].rlike("^https?://"))
-    mailto = F.transform(F.filter("links", lambda n: n["url"].startswith("mailto:")),
-                         lambda n: F.regexp_extract(n["url"], r"^mailto:([^?]*)", 1))
-    text = F.array_join(F.col("dom.lines"), "\n")
-    calls = F.filter(web, lambda n: n["text"].rlike(fixed.CALL_WORDS))
-    return with_tags.select(
-        "*",
-        F.array_join(texts("title"), " ").alias("title"),
-        meta("description").alias("meta_description"),
-        canonical().alias("canonical_url"),
-        headings().alias("headings"),
-        F.col("dom.lines").alias("lines"),
-        text.alias("visible_text"),
-        web.alias("web_links"),
-        images().alias("images"),
-        feeds().alias("feeds"),
-        stylesheets().alias("stylesheets"),
-        icons().alias("icons"),
-        script_srcs().alias("script_srcs"),
-        script_sources().alias("script_sources"),
-        inline_script().alias("inline_script"),
-        css().alias("css"),
-        json_types().alias("json_types"),
-        meta("author").alias("author"),
-        F.filter("metas", lambda m: m["key"].isin("robots", "googlebot", "bingbot")).alias("robots_meta"),
-        F.filter("metas", lambda m: m["key"].rlike("^(og|twitter|fb):")).alias("social_meta"),
-        F.filter("metas", lambda m: m["key"].isin("article:published_time", "article:modified_time", "date",
-                                                  "datepublished", "datemodified")).alias("dates"),
-        F.transform(closed("time"), lambda n: F.struct(n["text"].alias("text"), n["attrs"]["datetime"].alias("datetime"))).alias("times"),
-        texts("address").alias("addresses"),
-        F.transform(closed("blockquote"), lambda n: F.struct(n["text"].alias("text"), n["attrs"]["cite"].alias("cite"))).alias("quotation_candidates"),
-        F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(fixed.EMAIL), 0), mailto))).alias("emails"),
-        F.array_sort(F.array_distinct(F.transform(F.filter("links", lambda n: n["url"].startswith("tel:")),
-                                                  lambda n: F.substr(n["url"], F.lit(5))))).alias("telephone_numbers"),
-        F.concat(F.transform(calls, lambda n: F.struct(n["text"].alias("text"), n["url"].alias("url"), F.lit(0.65).alias("confidence"))),
-                 F.transform(F.filter(texts("button"), lambda b: b != ""),
-                             lambda b: F.struct(b.alias("text"), F.lit(None).cast("string").alias("url"), F.lit(0.5).alias("confidence")))).alias("ctas"),
-        F.size(F.filter(NODES, lambda n: F.array_contains(F.split(F.coalesce(n["attrs"]["class"], F.lit("")), r"\s+"),
-                                                          "trustpilot-widget"))).alias("trustpilot_widgets"),
-        classify(F.col("url")).alias("label"),
-        class_confidence(classify(F.col("url"))).alias("label_confidence"),
-    )
+def _text() -> Column:
+    return F.array_join(F.col("dom.lines"), "\n")
+
+
+def _web_links() -> Column:
+    return F.filter("links", lambda n: n["url"].rlike("^https?://"))
+
+
+def _emails() -> Column:
+    mailto = F.transform(F.filter("links", lambda n: n["url"].startswith("mailto:")), lambda n: F.regexp_extract(n["url"], r"^mailto:([^?]*)", 1))
+    return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(_text(), F.lit(fixed.EMAIL), 0), mailto)))
+
+
+def _phones() -> Column:
+    return F.array_sort(F.array_distinct(F.transform(
+        F.filter("links", lambda n: n["url"].startswith("tel:")), lambda n: F.substr(n["url"], F.lit(5)))))
+
+
+def _ctas() -> Column:
+    calls = F.filter(_web_links(), lambda n: n["text"].rlike(fixed.CALL_WORDS))
+    buttons = F.filter(texts("button"), lambda b: b != "")
+    return F.concat(
+        F.transform(calls, lambda n: F.struct(n["text"].alias("text"), n["url"].alias("url"), F.lit(0.65).alias("confidence"))),
+        F.transform(buttons, lambda b: F.struct(b.alias("text"), F.lit(None).cast("string").alias("url"), F.lit(0.5).alias("confidence"))))
+
+
+def _keyed(test) -> Column:
+    return F.filter("metas", lambda m: test(m["key"]))
+
+
+def _dates() -> Column:
+    return _keyed(lambda key: key.isin("article:published_time", "article:modified_time", "date", "datepublished", "datemodified"))
+
+
+def _times() -> Column:
+    return F.transform(closed("time"), lambda n: F.struct(n["text"].alias("text"), n["attrs"]["datetime"].alias("datetime")))
+
+
+def _quotations() -> Column:
+    return F.transform(closed("blockquote"), lambda n: F.struct(n["text"].alias("text"), n["attrs"]["cite"].alias("cite")))
+
+
+def _trustpilot_widgets() -> Column:
+    return F.size(F.filter(NODES, lambda n: F.array_contains(F.split(F.coalesce(n["attrs"]["class"], F.lit("")), r"\s+"), "trustpilot-widget")))
+
+
+# Column of the page record -> how it is built. ``metas`` and ``links`` come first: others read them.
+COLUMNS = {
+    "metas": metas, "links": links,
+    "title": lambda: F.array_join(texts("title"), " "), "meta_description": lambda: meta("description"), "canonical_url": canonical,
+    "headings": headings, "lines": lambda: F.col("dom.lines"), "visible_text": _text, "web_links": _web_links, "images": images,
+    "feeds": feeds, "stylesheets": stylesheets, "icons": icons, "script_srcs": script_srcs, "script_sources": script_sources,
+    "inline_script": inline_script, "css": css, "json_types": json_types, "author": lambda: meta("author"),
+    "robots_meta": lambda: _keyed(lambda key: key.isin("robots", "googlebot", "bingbot")),
+    "social_meta": lambda: _keyed(lambda key: key.rlike("^(og|twitter|fb):")), "dates": _dates, "times": _times,
+    "addresses": lambda: texts("address"), "quotation_candidates": _quotations, "emails": _emails, "telephone_numbers": _phones,
+    "ctas": _ctas, "trustpilot_widgets": _trustpilot_widgets, "label": lambda: classify(F.col("url")),
+    "label_confidence": lambda: class_confidence(classify(F.col("url"))),
+}
+_READS = {"metas": ("meta_description", "author", "robots_meta", "social_meta", "dates"), "links": ("web_links", "emails", "telephone_numbers", "ctas")}
+
+
+def page_record(pages: DataFrame, *names: str) -> DataFrame:
+    """The named columns of the page record (all of them when none is named) beside the columns already there."""
+    wanted = set(names or COLUMNS)
+    for base, readers in _READS.items():
+        if wanted.intersection((base, *readers)):
+            pages = pages.withColumn(base, COLUMNS[base]())
+    return pages.select("*", *[build().alias(name) for name, build in COLUMNS.items() if name in wanted and name not in _READS])
 
 
 def usable_pages(pages: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ select k as page_no, case k % 3 when 1 then 40 when 2 then case when k % 2 = 0 t
   case when k % 4 = 1 then '+1 (512) 555-0100' else '' end as phones, case when k % 5 = 1 then 1 else 0 end as ctas from p""")
 def _(t):
     # Only the call-to-action buttons are counted: link texts are invented words.
-    found = D.records(t)
+    found = D.records(t, "meta_description", "canonical_url", "feeds", "icons", "images", "emails", "telephone_numbers", "ctas")
     return found.select(
         "page_no", F.length("meta_description").alias("description_length"), F.col("canonical_url").alias("canonical"), F.size("feeds").alias("feeds"), F.size("icons").alias("icons"),
         F.size("images").alias("images"), F.array_join(F.filter("emails", lambda e: e.endswith("acme.test")), ",").alias("emails"), F.array_join("telephone_numbers", ",").alias("phones"),
@@ -36,19 +36,19 @@ def _(t):
 
 @query("feed_inventory", P_SQL + "select site, url as source, origin || '/feed' as url, 'application/rss+xml' as type from p where k % 4 = 1")
 def _(t):
-    return P.feed_inventory(D.records(t), KEYS)
+    return P.feed_inventory(D.records(t, "feeds"), KEYS)
 
 
 @query("html_signals", P_SQL + """
 select site, url, canonical as canonical_url, case when k % 4 = 1 then 1 else 0 end as feeds, case k % 6 when 1 then 'Dentist' when 2 then 'Organization,Person,WebSite' when 3 then 'Answer,FAQPage,Question'
   when 5 then 'BreadcrumbList,ListItem,Product,Review' else '' end as types from p""")
 def _(t):
-    return P.html_signals(D.records(t), KEYS)
+    return P.html_signals(D.records(t, "canonical_url", "feeds", "json_types"), KEYS)
 
 
 @query("indexing_report", P_SQL + "select site, url, k % 11 = 0 or k % 13 = 0 or k % 17 = 0 as noindex from p")
 def _(t):
-    return P.indexing_report(D.records(t), KEYS).select("site", "url", "noindex")
+    return P.indexing_report(D.records(t, "robots_meta", "visible_text"), KEYS).select("site", "url", "noindex")
 
 
 TEXT_LENGTH = VISIBLE_SQL + r""", f as (select page_id as k, sum(length(trim(regexp_replace(line, '\s+', ' ', 'g'))) + 1) - 1 as n from l where trim(regexp_replace(line, '\s+', ' ', 'g')) <> '' group by 1)"""
@@ -59,7 +59,7 @@ def _(t):
     from ..sources.html import parse_html
     from .urls import site_pages
 
-    plain = P.page_record(parse_html(site_pages(t))).withColumn("headers", F.create_map().cast("map<string,string>"))
+    plain = P.page_record(parse_html(site_pages(t)), "visible_text", "robots_meta").withColumn("headers", F.create_map().cast("map<string,string>"))
     return P.indexing_report(plain, ["page_no"]).select("page_no", "extracted_characters", "extractability")
 
 
@@ -74,21 +74,21 @@ PREVIEW_SQL = P_SQL + """
 
 @query("preview_issues", PREVIEW_SQL + " select k as page_no, string_agg(x, ',' order by x) as issues from i group by 1")
 def _(t):
-    rows = C.preview_issues(D.records(t))
+    rows = C.preview_issues(D.records(t, "social_meta", "canonical_url"))
     text = F.transform("preview_issues", lambda i: F.concat_ws("|", i["severity"], i["code"], i["tag"]))
     return rows.select("page_no", F.array_join(F.array_sort(text), ",").alias("issues")).filter(F.col("issues") != "")
 
 
 @query("preview_summary", PREVIEW_SQL + " select site, split_part(x, '|', 1) as severity, split_part(x, '|', 2) as code, split_part(x, '|', 3) as tag, count(*) as pages from i group by all")
 def _(t):
-    return C.preview_summary(C.preview_issues(D.records(t)), KEYS)
+    return C.preview_summary(C.preview_issues(D.records(t, "social_meta", "canonical_url")), KEYS)
 
 
 @query("most_used_images", P_SQL + """
 , m as (select site, case when k % 3 = 0 then 'https://img.example.com/' || (k % 7) || '.png' else '/img/1.png' end as image, count(*) as pages from p where k % 3 < 2 group by 1, 2)
 select site, image, pages, place from (select *, row_number() over (partition by site order by pages desc, image) as place from m) where place <= 5""")
 def _(t):
-    return C.most_used_images(D.records(t), KEYS)
+    return C.most_used_images(D.records(t, "social_meta"), KEYS)
 
 
 SECURITY_SQL = P_SQL + """
@@ -101,18 +101,18 @@ SECURITY_SQL = P_SQL + """
 select site, url, https, array_to_string(missing, ',') as missing_headers, case when mixed then 1 else 0 end as mixed, case when k % 8 = 0 then true when k % 4 = 0 then false end as cookie_secure,
   case when k % 8 = 0 then false when k % 4 = 0 then true end as cookie_samesite from s""")
 def _(t):
-    return C.security_row(D.records(t), KEYS).select("site", "url", "https", F.array_join("missing_headers", ",").alias("missing_headers"), F.size("mixed_content").alias("mixed"),
+    return C.security_row(D.records(t, "script_sources", "images"), KEYS).select("site", "url", "https", F.array_join("missing_headers", ",").alias("missing_headers"), F.size("mixed_content").alias("mixed"),
                                                     "cookie_secure", "cookie_samesite")
 
 
 @query("security_summary", SECURITY_SQL + " select site, header, count(*) as pages from (select site, unnest(missing) as header from s) group by 1, 2")
 def _(t):
-    return C.security_summary(C.security_row(D.records(t), KEYS), KEYS)
+    return C.security_summary(C.security_row(D.records(t, "script_sources", "images"), KEYS), KEYS)
 
 
 @query("https_summary", SECURITY_SQL + " select site, count(*) as pages_checked, bool_and(https) as https, count(*) filter (mixed) as mixed_pages from s group by 1")
 def _(t):
-    return C.https_summary(C.security_row(D.records(t), KEYS), KEYS)
+    return C.https_summary(C.security_row(D.records(t, "script_sources", "images"), KEYS), KEYS)
 
 
 SEO_SQL = P_SQL + """
@@ -122,7 +122,7 @@ SEO_SQL = P_SQL + """
 
 
 def _seo(t):
-    rows = D.records(t).withColumn("noindex", F.lit(False)).withColumn("extractability", F.lit("PASS"))
+    rows = D.records(t, "title", "meta_description", "headings", "robots_meta", "canonical_url").withColumn("noindex", F.lit(False)).withColumn("extractability", F.lit("PASS"))
     return C.seo_problems(rows, title_max=40)
 
 
@@ -143,7 +143,7 @@ def _(t):
   case when h1 <> 1 then h1 || ' H1 headings' end, case when k % 4 = 0 then 'no canonical link' end], lambda x: x is not null), ',') as problems from p where k % 19 <> 0)
 select site, url, problems from s where problems <> ''""")
 def _(t):
-    return C.seo_worklist(D.records(t), KEYS, title_max=40).select("site", "url", F.array_join("problems", ",").alias("problems"))
+    return C.seo_worklist(D.records(t, "title", "meta_description", "headings", "canonical_url"), KEYS, title_max=40).select("site", "url", F.array_join("problems", ",").alias("problems"))
 
 
 FONT_SQL = P_SQL + """
@@ -153,7 +153,7 @@ FONT_SQL = P_SQL + """
 
 
 def _sheets(t):
-    pages = D.records(t)
+    pages = D.records(t, "stylesheets")
     bodies = pages.select(F.explode("stylesheets").alias("url")).filter(F.col("url").endswith("/site.css")).distinct().withColumn(
         "body", F.lit("@font-face{font-family: \"Lato\"; src:url(x)} body{ --q: 1; font-family:Lato , serif }"))
     return C.stylesheets(pages, bodies, KEYS)
@@ -169,17 +169,17 @@ def _(t):
 
 @query("page_fonts", FONT_SQL + " select site, k as page_no, family from f")
 def _(t):
-    return C.page_fonts(D.records(t), _sheets(t), KEYS)
+    return C.page_fonts(D.records(t, "css", "stylesheets"), _sheets(t), KEYS)
 
 
 @query("font_summary", FONT_SQL + " select site, family, count(*) as pages, family <> 'serif' as named from f group by 1, 2")
 def _(t):
-    return C.font_summary(C.page_fonts(D.records(t), _sheets(t), KEYS), KEYS)
+    return C.font_summary(C.page_fonts(D.records(t, "css", "stylesheets"), _sheets(t), KEYS), KEYS)
 
 
 @query("named_fonts", FONT_SQL + " select site, count(distinct family) as distinct_families, count(distinct family) filter (family <> 'serif') as named_families from f group by 1")
 def _(t):
-    return C.named_font_count(C.font_summary(C.page_fonts(D.records(t), _sheets(t), KEYS), KEYS), KEYS)
+    return C.named_font_count(C.font_summary(C.page_fonts(D.records(t, "css", "stylesheets"), _sheets(t), KEYS), KEYS), KEYS)
 
 
 TOOL_SQL = P_SQL + """
@@ -250,39 +250,39 @@ def _(t):
 
 @query("unresolved_refs", P_SQL + " select k as page_no, '#nobody' as ref from p where k % 6 = 2")
 def _(t):
-    rows = D.records(t).select("page_no", F.explode(SD.unresolved_refs()).alias("r"))
+    rows = D.records(t, "lines").select("page_no", F.explode(SD.unresolved_refs()).alias("r"))
     return rows.select("page_no", SD.text_of(F.col("r")).alias("ref"))
 
 
 @query("conflicting_ids", P_SQL + " select k as page_no, '#org' as id from p where k % 6 = 2")
 def _(t):
-    return D.records(t).select("page_no", F.explode(SD.conflicting_ids()).alias("id"))
+    return D.records(t, "lines").select("page_no", F.explode(SD.conflicting_ids()).alias("id"))
 
 
 @query("schema_type_counts", P_SQL + """
 select site, type, count(*) as pages from (select site, unnest(case k % 6 when 1 then ['Dentist'] when 2 then ['Organization', 'Person', 'WebSite'] when 3 then ['Answer', 'FAQPage', 'Question']
   when 5 then ['BreadcrumbList', 'ListItem', 'Product', 'Review'] else [] end) as type from p) group by 1, 2""")
 def _(t):
-    return SD.schema_type_counts(D.records(t), KEYS)
+    return SD.schema_type_counts(D.records(t, "json_types"), KEYS)
 
 
 @query("schema_coverage", P_SQL + " select site, count(*) as pages_checked, count(*) filter (k % 6 in (1, 2, 3, 5)) as pages_with_json_ld, count(*) filter (k % 6 = 4) as pages_with_syntax_errors from p group by 1")
 def _(t):
-    return SD.schema_coverage(D.records(t), KEYS)
+    return SD.schema_coverage(D.records(t, "lines"), KEYS)
 
 
 @query("site_entities", P_SQL + """
 select site, case k % 6 when 1 then '#biz' else '#org' end as id, count(*) as pages, case k % 6 when 1 then 1 else 2 end::bigint as names, case k % 6 when 1 then 'Biz @' else 'Org' end as first_name, k % 6 = 2 as conflict
 from p where k % 6 in (1, 2) group by site, k % 6""")
 def _(t):
-    return SD.site_entities(D.records(t), KEYS)
+    return SD.site_entities(D.records(t, "lines"), KEYS)
 
 
 @query("jsonld_objects", P_SQL + """
 select k as page_no, case k % 6 when 1 then 1 when 2 then 6 when 3 then 6 else 7 end::bigint as objects, case k % 6 when 1 then 1 when 2 then 3 when 3 then 1 else 3 end::bigint as entities,
  case k % 6 when 1 then 1 when 2 then 4 else 1 end::bigint as nodes from p where k % 6 in (1, 2, 3, 5)""")
 def _(t):
-    rows = SD.jsonld_objects(D.records(t), ["page_no"])
+    rows = SD.jsonld_objects(D.records(t, "lines"), ["page_no"])
     return rows.groupBy("page_no").agg(F.count("*").alias("objects"), F.count_if("is_entity").alias("entities"), F.count_if("is_node").alias("nodes"))
 
 
@@ -290,7 +290,7 @@ def _(t):
 select k as page_no, 'faq' as kind, unnest(['Unseen question?', 'No answer?', 'Call us']) as text, unnest(['Yes', null, 'Now']) as extra from p where k % 6 = 3 union all
 select k, 'testimonial', 'Good', 'Ann' from p where k % 6 = 5""")
 def _(t):
-    pages = D.records(t)
+    pages = D.records(t, "lines")
     faq = SD.faqs(pages, ["page_no"]).select("page_no", F.lit("faq").alias("kind"), F.col("question").alias("text"), F.col("answer").alias("extra"))
     return faq.unionByName(SD.testimonials(pages, ["page_no"]).select("page_no", F.lit("testimonial").alias("kind"), "text", F.col("author").alias("extra")))
 
@@ -298,7 +298,7 @@ def _(t):
 @query("company_names", P_SQL + """
 select site, n as name, count(*) as pages from (select site, unnest(case k % 6 when 1 then ['Biz @'] when 2 then ['Org', 'Jane Doe'] else [] end) as n from p) group by 1, 2""")
 def _(t):
-    return SD.company_names(D.records(t), KEYS)
+    return SD.company_names(D.records(t, "lines"), KEYS)
 
 
 A11Y_SQL = P_SQL + r"""
@@ -313,27 +313,27 @@ e as (select k, site, 'page-title' as rule, 1 as n, (title = '')::int as bad fro
 
 @query("rule_checks", A11Y_SQL + " select k as page_no, rule, n::bigint as elements, case when bad > 0 then 'WARNING' else 'PASS' end as status from e where n > 0")
 def _(t):
-    return A.rule_checks(A.accessibility_elements(D.records(t), ["page_no"]), ["page_no"]).select("page_no", "rule", "elements", "status")
+    return A.rule_checks(A.accessibility_elements(D.records(t, "lines"), ["page_no"]), ["page_no"]).select("page_no", "rule", "elements", "status")
 
 
 @query("accessibility_findings", A11Y_SQL + """
  select site, rule, case rule when 'page-title' then '2.4.2' when 'html-lang' then '3.1.1' when 'image-alternative' then '1.1.1' when 'link-name' then '2.4.4' else '4.1.2' end as criterion, sum(bad)::bigint as findings
  from e group by 1, 2 having sum(bad) > 0""")
 def _(t):
-    return A.accessibility_findings(A.accessibility_elements(D.records(t), KEYS)).groupBy("site", "rule", "criterion").agg(F.count("*").alias("findings"))
+    return A.accessibility_findings(A.accessibility_elements(D.records(t, "lines"), KEYS)).groupBy("site", "rule", "criterion").agg(F.count("*").alias("findings"))
 
 
 @query("accessibility_summary", A11Y_SQL + """
 , f as (select site, sum(bad)::bigint as findings from e group by 1), c as (select site, count(*) filter (k % 19 <> 0 and k % 23 <> 0) as pages_checked, count(*) filter (k % 19 = 0 or k % 23 = 0) as pages_excluded from p group by 1)
 select site, pages_checked, pages_excluded, coalesce(findings, 0) as findings, case when pages_checked = 0 then 'UNKNOWN' when findings > 0 then 'WARNING' else 'PASS' end as status from c left join f using (site)""")
 def _(t):
-    pages = D.records(t)
+    pages = D.records(t, "lines")
     return A.accessibility_summary(pages, A.accessibility_elements(pages, KEYS), KEYS)
 
 
 @query("exclusions", P_SQL + " select site, case when k % 19 = 0 then 'retrieval_error' else 'truncated_response' end as reason, count(*) as pages from p where k % 19 = 0 or k % 23 = 0 group by 1, 2")
 def _(t):
-    return A.exclusions(D.records(t), KEYS)
+    return A.exclusions(D.records(t, "lines"), KEYS)
 
 
 PROOF_SQL = P_SQL + f"""
@@ -370,7 +370,7 @@ def _(t):
 
 @query("review_profiles", P_SQL + " select distinct site, 'Yelp' as platform, 'https://www.yelp.com/biz/acme' as profile from p where k % 7 = 4")
 def _(t):
-    return SO.review_profiles(D.records(t), KEYS)
+    return SO.review_profiles(D.records(t, "web_links"), KEYS)
 
 
 PROFILE_SQL = P_SQL + """
@@ -384,13 +384,13 @@ o as (select g.* exclude (vouched) from g join (select site, count(*) as n from
 
 @query("owner_profiles", PROFILE_SQL + " select site, network, url, confidence, evidence from o")
 def _(t):
-    pages = D.records(t)
+    pages = D.records(t, "metas", "web_links")
     return SO.owner_profiles(SO.profile_evidence(pages, None, KEYS), pages, KEYS)
 
 
 @query("profile_list", PROFILE_SQL + " select site, network, url, round_even(confidence * 100, 0)::int || '%' as confidence, evidence from o")
 def _(t):
-    pages = D.records(t)
+    pages = D.records(t, "metas", "web_links")
     return SO.profile_list(SO.owner_profiles(SO.profile_evidence(pages, None, KEYS), pages, KEYS), KEYS)
 
 
@@ -408,5 +408,5 @@ def _(t):
     from ..sources.html import parse_html
     from .urls import site_pages
 
-    pages = P.page_record(parse_html(site_pages(t))).withColumn("duplicate_of", F.lit(None).cast("string"))
+    pages = P.page_record(parse_html(site_pages(t)), "visible_text").withColumn("duplicate_of", F.lit(None).cast("string"))
     return P.usable_pages(pages).filter(clean(F.col("visible_text")) != "").select("page_no")

@@ -208,7 +208,7 @@ def _(t):
 def _(t):
     """The whole way from HTML: parse, drop shared lines, score, rank per site."""
     # Parsing is the dear step and its result is read several times, so it is written once.
-    pages = cut(P.page_record(parse_html(site_pages(t))).select("site", "page_no", "label", "visible_text", "lines"))
+    pages = cut(P.page_record(parse_html(site_pages(t)), "label", "visible_text", "lines").select("site", "page_no", "label", "visible_text", "lines"))
     return K.top_pages(K.score_pages(pages, ["site"]), ["site"], "page_no")
 
 

@@ -92,20 +92,20 @@ def captured(t):
         F.when(k % 19 == 0, 503).otherwise(200).alias("status"), F.when(k % 19 == 0, "HTTP 503").alias("error"), (k % 23 == 0).alias("truncated"))
 
 
-def records(t):
-    """Page records of the captured pages with the columns the checks add."""
-    found = P.page_record(parse_html(captured(t)))
+def records(t, *names):
+    """Page records of the captured pages with the named columns and those the checks add."""
+    found = P.page_record(parse_html(captured(t)), *names)
     return found.withColumn("extraction_status", F.lit("EXTRACTED")).withColumn("duplicate_of", F.lit(None).cast("string"))
 
 
 def with_tools(t):
-    return C.detect_tools(records(t).select("site", "page_no", "url", "script_srcs", "inline_script"))
+    return C.detect_tools(records(t, "script_srcs", "inline_script").select("site", "page_no", "url", "script_srcs", "inline_script"))
 
 
 def with_issues(t):
-    return SD.with_issues(records(t).select("site", "page_no", "url", "dom", "lines", "json_types"))
+    return SD.with_issues(records(t, "lines").select("site", "page_no", "url", "dom", "lines"))
 
 
 def with_signals(t):
-    found = records(t).withColumn("review_count", SD.review_count())
-    return SO.proof_signals(found)
+    found = records(t, "lines", "headings", "web_links", "script_sources", "json_types", "quotation_candidates", "label", "trustpilot_widgets")
+    return SO.proof_signals(found.withColumn("review_count", SD.review_count()))
