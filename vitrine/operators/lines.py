@@ -24,7 +24,8 @@ def frequent_items(pages: DataFrame, keys: list[str], items: Column, floor: Call
     counted = hashes.groupBy(*keys, "_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") >= at_least)
     passed = counted.join(totals, keys).filter(F.col("_n") >= floor(F.col("_total"))).groupBy(*keys).agg(
         F.collect_set("_hash").alias("_hashes"), F.first("_total").alias("_total"))
-    kept = base.join(passed, keys).select(
+    # A left join, so that only the one-row-per-group side can ever be broadcast and the pages stay spread out.
+    kept = base.join(passed, keys, "left").select(
         *keys, "_total", F.explode(F.filter("_items", lambda x: F.array_contains("_hashes", F.xxhash64(x)))).alias("item"))
     exact = kept.groupBy(*keys, "item").agg(F.count("*").alias("pages"), F.first("_total").alias("_total"))
     return exact.filter(F.col("pages") >= floor(F.col("_total"))).drop("_total")

@@ -112,11 +112,12 @@ def cited_domains(answers: DataFrame, profiles: DataFrame, keys: list[str]) -> D
 def cited_pages(answers: DataFrame, keys: list[str]) -> DataFrame:
     """Every cited page: citations, answers, and the prompts that led to it in first-seen order."""
     per_prompt = _cited(answers, keys, "page").groupBy(*keys, "address", "prompt").agg(
-        F.sum("n").alias("n"), F.countDistinct("answer_id").alias("answers"), F.min(F.struct("answer_id", "first")).alias("first"))
+        F.sum("n").alias("n"), F.countDistinct("answer_id").alias("answers"), F.min("answer_id").alias("seen_at"),
+        F.min_by("first.title", F.struct("answer_id", "first")).alias("first_title"))
     pages = per_prompt.groupBy(*keys, F.col("address").alias("url")).agg(
-        F.sum("n").alias("citations"), F.sum("answers").alias("answers"), F.min("first").alias("first"),
-        F.array_sort(F.collect_list(F.struct(F.col("first.answer_id").alias("seen"), "prompt"))).alias("seen"))
-    return pages.select(*keys, "url", host(F.col("url")).alias("domain"), F.col("first.first.title").alias("title"), "citations", "answers",
+        F.sum("n").alias("citations"), F.sum("answers").alias("answers"), F.min_by("first_title", "seen_at").alias("title"),
+        F.array_sort(F.collect_list(F.struct("seen_at", "prompt"))).alias("seen"))
+    return pages.select(*keys, "url", host(F.col("url")).alias("domain"), "title", "citations", "answers",
                         F.transform(F.filter("seen", lambda s: s["prompt"].isNotNull()), lambda s: s["prompt"]).alias("prompts"))
 
 
