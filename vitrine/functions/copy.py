@@ -38,7 +38,8 @@ def english_words(text: Column) -> Column:
 
 def opening(line: Column) -> Column:
     """The first three words of a line."""
-    return F.array_join(F.slice(F.regexp_extract_all(F.lower(line), F.lit("([a-z']+)"), 1), 1, 3), " ")
+    words = F.regexp_extract(F.lower(line), "^[^a-z']*([a-z']+(?:[^a-z']+[a-z']+){0,2})", 1)
+    return F.regexp_replace(words, "[^a-z']+", " ")
 
 
 def openings(lines: Column) -> Column:
@@ -100,8 +101,9 @@ def unsupported_claims(text: Column, brand: Column | None) -> Column:
     if brand is not None:
         named = F.when(F.coalesce(brand, F.lit("")) != "", F.regexp_replace(text, F.concat(F.lit(FLAGS), literal(brand)), F.lit("brand"))).otherwise(text)
     boasts = count(named, phrase_pattern(fixed.PUFFERY))
+    # Few sentences hold a statistic at all, so that is asked first.
     bare = F.filter(F.split(text, r"[!?\n]|\.(?= )"),
-                    lambda s: ~s.rlike(pattern("sourced")) & ~s.rlike(pattern("measured")))
+                    lambda s: s.rlike(pattern("stat")) & ~s.rlike(pattern("sourced")) & ~s.rlike(pattern("measured")))
     return boasts + F.aggregate(bare, F.lit(0), lambda total, s: total + count(s, pattern("stat")))
 
 

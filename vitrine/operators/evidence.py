@@ -37,6 +37,9 @@ def attribute_quotes(claims: DataFrame, read: DataFrame, pages: DataFrame, keys:
     return named.select(*ids, F.coalesce(F.when(F.col("verified"), F.col("_found")), "_known", "url").alias("url"), F.coalesce("verified", F.lit(False)).alias("verified"))
 
 
+FEW_PAGES = 3  # A person on more pages is an author or the business itself.
+
+
 # ---- pages worth reading -----------------------------------------------------------------------------------------
 def reading_pages(pages: DataFrame, keys: list[str], limit: int = fixed.READ_PAGES) -> DataFrame:
     """The pages that say most about a business, by class and then page order."""
@@ -52,7 +55,7 @@ def people_rank(url: Column, has_person: Column, label: Column) -> Column:
 
 def people_pages(pages: DataFrame, people: DataFrame, keys: list[str], limit: int = fixed.PEOPLE_PAGES) -> DataFrame:
     """Pages likely to present people: their URLs, then pages with Person data (of people on at most three pages)."""
-    few = people.filter(F.col("pages") <= 3).select(*keys, F.explode("urls").alias("url")).distinct().withColumn("_person", F.lit(True))
+    few = people.filter(F.col("pages") <= FEW_PAGES).select(*keys, F.explode("urls").alias("url")).distinct().withColumn("_person", F.lit(True))
     ranked = pages.join(few, [*keys, "url"], "left").withColumn("_rank", people_rank(F.col("url"), F.coalesce("_person", F.lit(False)), F.col("label")))
     return first_n(ranked.filter(F.col("_rank").isNotNull()), keys, [F.col("_rank"), F.col("page_no")], limit, "place").drop("_person")
 
@@ -136,9 +139,14 @@ def schema_people(pages: DataFrame, keys: list[str], max_rounds: int = 50) -> Da
     else:
         raise RuntimeError("people did not settle")
     merged = rows.join(tokened.select(*keys, "name", "node"), [*keys, "name"]).join(labels, [*keys, "node"])
-    return merged.groupBy(*keys, "person").agg(
+    people = merged.groupBy(*keys, "person").agg(
         F.min_by("name", F.struct("page_no", "name")).alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("fields")))).alias("fields"),
-        F.sum("links").alias("same_as"), F.countDistinct("url").alias("pages"), F.array_sort(F.collect_set("url")).alias("urls"))
+        F.sum("links").alias("same_as"), F.countDistinct("url").alias("pages"))
+    # Only people on a few pages are looked up by page; an author on every page keeps its count, not a list.
+    few = people.filter(F.col("pages") <= FEW_PAGES).select(*keys, "person")
+    urls = merged.select(*keys, "person", "url").join(few, [*keys, "person"], "left_semi").distinct().groupBy(*keys, "person").agg(
+        F.array_sort(F.collect_list("url")).alias("urls"))
+    return people.join(urls, [*keys, "person"], "left")
 
 
 def practitioner_summary(people: DataFrame, keys: list[str]) -> DataFrame:
