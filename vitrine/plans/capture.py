@@ -223,7 +223,7 @@ DIGEST_SQL = """
 with p as (select doc_id as k, lang as site, repeat('h', (doc_id % 300)::int) as head, text as body, count(*) over (partition by lang) as n from documents),
 h as (select *, greatest(0, least(4000, floor(40000.0 / n)))::int as cap from p),
 hh as (select site, k, n, body, case when length(head) <= cap then head else left(head, cap) || chr(10) || '[trimmed: ' || (length(head) - cap) || ' more characters]' end as head from h),
-r as (select item_id as k, 'en' as site, text, least(40000, floor(80000.0 / (count(*) over () + 1)))::int as cap from benchmark),
+r as (select item_id as k, ['de', 'en', 'fr'][(item_id % 3 + 1)::int] as site, text, least(40000, floor(80000.0 / (count(*) over (partition by item_id % 3) + 1)))::int as cap from benchmark),
 rr as (select site, k, case when length(text) <= cap then text else left(text, cap) || chr(10) || '[trimmed: ' || (length(text) - cap) || ' more characters]' end as text from r),
 u as (select site, any_value(n) as n, 200000 - sum(length(head)) - coalesce((select sum(length(text)) from rr where rr.site = hh.site), 0) as room from hh group by site),
 e as (select site, room, greatest(200, floor(room::double / n))::bigint as even from u),
@@ -236,7 +236,8 @@ select site, 'page', k, head || chr(10) || case when length(body) <= each then b
 @query("corpus_digest", DIGEST_SQL)
 def _(t):
     pages = t.documents.select(F.col("lang").alias("site"), F.col("doc_id").alias("page_no"), F.repeat(F.lit("h"), (F.col("doc_id") % 300).cast("int")).alias("head"), F.col("text").alias("body"))
-    reports = t.benchmark.select(F.lit("en").alias("site"), F.col("item_id").alias("pos"), "text")
+    language = F.element_at(F.array(F.lit("de"), F.lit("en"), F.lit("fr")), (F.col("item_id") % 3 + 1).cast("int"))
+    reports = t.benchmark.select(language.alias("site"), F.col("item_id").alias("pos"), "text")
     return S.corpus_digest(reports, pages, KEYS, budget=200_000)
 
 
