@@ -80,7 +80,9 @@ def _body(k):
 def captured(t):
     """Raw captured pages: site, page_no, url, html and what the response said."""
     k, url = F.col("page_id"), F.col("url")
-    html = F.replace(F.replace(F.col("html"), F.lit("</head>"), F.concat(_head(k, url), F.lit("</head>"))), F.lit("<footer>"), F.concat(_body(k), F.lit("<footer>")))
+    # Quotation marks of the invented text go, so that the quotes on a page are the ones written into it.
+    plain = F.replace(F.col("html"), F.lit("&quot;"), F.lit(""))
+    html = F.replace(F.replace(plain, F.lit("</head>"), F.concat(_head(k, url), F.lit("</head>"))), F.lit("<footer>"), F.concat(_body(k), F.lit("<footer>")))
     pairs = [("content-type", F.lit("text/html"), F.lit(True)), ("strict-transport-security", F.lit("max-age=1"), k % 2 == 0),
              ("content-security-policy", F.when(k % 6 == 0, "frame-ancestors 'none'").otherwise("default-src 'self'"), k % 3 == 0),
              ("x-content-type-options", F.lit("nosniff"), k % 5 != 0), ("referrer-policy", F.lit("no-referrer"), k % 7 == 0),
