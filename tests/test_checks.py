@@ -114,3 +114,9 @@ def test_duplicate_canonicals_keep_the_first_claim(spark):
     rows = spark.createDataFrame([("s", 1, "https://a.test/x", "https://a.test/c"), ("s", 2, "https://a.test/y", "https://a.test/c"), ("s", 3, "https://a.test/z", "https://other.test/")],
                                  "site string, page_no int, url string, canonical_url string")
     assert {r.page_no: r.duplicate_of for r in P.duplicate_canonicals(rows, ["site"], "page_no").collect()} == {1: None, 2: "https://a.test/c", 3: None}
+
+
+def test_postal_addresses(page):
+    html = '<script type="application/ld+json">{"@type":"Store","address":{"@type":"PostalAddress","@context":"x","postalCode":"N1H 1G5","streetAddress":12}}</script>'
+    row = SD.postal_addresses(page({"https://a.test/": html}, "lines"), ["site"]).first()
+    assert row.address == {"@type": "PostalAddress", "postalCode": "N1H 1G5", "streetAddress": "12"}

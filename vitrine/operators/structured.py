@@ -157,6 +157,13 @@ def testimonials(pages: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "url", text_of(F.col("o.props")["reviewBody"]).alias("text"), text_of(F.col("o.props")["author"]).alias("author"))
 
 
+def postal_addresses(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Structured addresses of a page: every property but the context, as text."""
+    found = F.filter(OBJECTS, lambda o: is_a(o, "PostalAddress"))
+    fields = F.map_filter(F.col("o.props"), lambda k, _: k != "@context")
+    return pages.select(*keys, "url", F.explode(found).alias("o")).select(*keys, "url", F.transform_values(fields, lambda _, v: text_of(v)).alias("address"))
+
+
 def company_names(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Names a site's own business entities state, with the pages stating each."""
     own = F.filter(OBJECTS, lambda o: o["is_entity"] & _any_of(o, fixed.ORG_TYPES) & ~empty(prop(o, "name")))
