@@ -39,6 +39,12 @@ class Memo:
     def __init__(self, encode, limit: int = REMEMBERED):
         self.encode, self.limit, self.table = encode, limit, {}
 
+    def one(self, unit):
+        """The value of a part of a unit; never empties the table, which ``fill`` may be filling."""
+        if unit not in self.table:
+            self.table[unit] = self.encode(unit)
+        return self.table[unit]
+
     def fill(self, units) -> dict:
         table = self.table
         if len(table) > self.limit:
@@ -103,7 +109,7 @@ class BareWords:
         if not m:
             return np.array(self.lib.ids(word), "<u4").tobytes()
         if m[2]:
-            return self.memo.fill([m[1].encode()])[m[1].encode()] + self.memo.fill([m[2].encode()])[m[2].encode()]
+            return self.memo.one(m[1].encode()) + np.array(self.lib.word_ids(m[2]), "<u4").tobytes()
         return np.array(self.lib.word_ids(m[1].lower().translate(SPELLED)), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -141,7 +147,7 @@ class SpacedWords:
         if not m:
             return len(self.lib.ids(" " + word))
         if m[2]:
-            return self.memo.fill([m[1].encode()])[m[1].encode()] + 1
+            return self.memo.one(m[1].encode()) + 1
         return len(self.lib.word_ids(LETTER[32] + m[1].translate(SPELLED)))
 
     def count(self, texts: list[str]) -> list[int]:
