@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, token_counts, token_store
+from . import pieces, repeats, simhash, token_counts, token_store
 from .frames import documents
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,10 +20,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.dedup(documents(spark, folder), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"))
 
@@ -32,5 +40,5 @@ def op7_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.packed_digests(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
 
 
-for _query in (op4_sentencepiece, op6_token_counts, op7_token_store):
+for _query in (op2_repeats, op5_simhash, op4_sentencepiece, op6_token_counts, op7_token_store):
     RUN[_query.__name__] = _query
