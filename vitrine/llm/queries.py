@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, repeats, simhash, token_counts, token_store
+from . import pieces, quality, repeats, simhash, token_counts, token_store, toxicity
 from .frames import documents
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,5 +40,13 @@ def op7_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.packed_digests(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
 
 
-for _query in (op2_repeats, op5_simhash, op4_sentencepiece, op6_token_counts, op7_token_store):
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, folder), documents(spark, folder, "labels"))
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(documents(spark, folder), documents(spark, folder, "labels")).drop("n_lines")
+
+
+for _query in (op2_repeats, op4_sentencepiece, op5_simhash, op6_token_counts, op7_token_store, op8_toxicity, op10_quality):
     RUN[_query.__name__] = _query
