@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, quality, repeats, simhash, token_counts, token_store, toxicity
+from . import decontaminate, pieces, quality, repeats, simhash, token_counts, token_store, toxicity
 from .frames import documents
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,10 @@ def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.dedup(documents(spark, folder), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(documents(spark, folder), tokenizer_path("piece_bpe_32k.model"))
 
@@ -48,5 +52,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(documents(spark, folder), documents(spark, folder, "labels")).drop("n_lines")
 
 
-for _query in (op2_repeats, op4_sentencepiece, op5_simhash, op6_token_counts, op7_token_store, op8_toxicity, op10_quality):
+for _query in (op2_repeats, op3_decontaminate, op4_sentencepiece, op5_simhash, op6_token_counts, op7_token_store, op8_toxicity, op10_quality):
     RUN[_query.__name__] = _query
+
+SQL["op3_decontaminate"] = decontaminate.ORACLE
