@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, quality, repeats, simhash, token_counts, token_store, toxicity
+from . import decontaminate, html_text, licenses, pieces, quality, repeats, simhash, token_counts, token_store, toxicity
 from .frames import documents
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(documents(spark, folder, "pages"))
+
+
 def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.dedup(documents(spark, folder), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
 
@@ -48,11 +52,16 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), documents(spark, folder, "labels"))
 
 
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(documents(spark, folder), documents(spark, folder, "labels")).drop("n_lines")
 
 
-for _query in (op2_repeats, op3_decontaminate, op4_sentencepiece, op5_simhash, op6_token_counts, op7_token_store, op8_toxicity, op10_quality):
+for _query in (op1_html_text, op2_repeats, op3_decontaminate, op4_sentencepiece, op5_simhash, op6_token_counts, op7_token_store, op8_toxicity, op9_licenses, op10_quality):
     RUN[_query.__name__] = _query
 
 SQL["op3_decontaminate"] = decontaminate.ORACLE
+SQL["op9_licenses"] = licenses.oracle()
