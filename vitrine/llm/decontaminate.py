@@ -86,6 +86,17 @@ def occurrences(given: DataFrame, windows: DataFrame) -> DataFrame:
     return _in_blocks(prefix, "wid", join)
 
 
+def _given(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(k, h, t)``: id, text hash and text."""
+    text = F.col(text_column).cast("string")
+    return docs.select(F.col(id_column).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), text.alias("t"))
+
+
+def _numbered(of_item: DataFrame) -> DataFrame:
+    """``(wid, n, window)``: distinct windows, numbered once and for all by being stored."""
+    return stored(of_item.select("n", "window").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
                   item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` of every row of ``docs``.
@@ -94,9 +105,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     each; repeated rows are judged each, a null id like any other; an item with a null id counts as none in ``n_items`` but
     its words are hit; an empty benchmark hits nothing; other columns are ignored.
     """
-    given = docs.select(F.col(id_column).cast("bigint").alias("k"), F.xxhash64(F.col(text_column).cast("string")).alias("h"), F.col(text_column).cast("string").alias("t"))
+    given = _given(docs, id_column, text_column)
     of_item = item_windows(benchmark, item_column, item_text, window)
-    numbered = stored(of_item.select("n", "window").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    numbered = _numbered(of_item)
     holders = stored(of_item.join(numbered, ["n", "window"]).select("wid", F.col("item_id").cast("string").alias("item")).dropna().distinct(), "holders")
     # Repeated rows find the same places; a row's id and text stand for all of them.
     hits = stored(occurrences(given, numbered).distinct(), "hits")
@@ -117,6 +128,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
+                         item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs."""
+    hits = occurrences(_given(docs, id_column, text_column), _numbered(item_windows(benchmark, item_column, item_text, window)))
+    bad = stored(hits.select(F.coalesce(F.col("k").cast("string"), F.lit("null")).alias("_key"), F.col("h").alias("_hash")).distinct(), "contaminated")
+    id_text = F.coalesce(F.col(id_column).cast("bigint").cast("string"), F.lit("null"))
+    return docs.join(bad, (id_text == F.col("_key")) & (F.xxhash64(F.col(text_column).cast("string")) == F.col("_hash")), "left_anti")
+
+
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -179,6 +179,11 @@ def remembering(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _lists(found: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *[len(x) // 4 for x in found]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
+
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, ids)`` for every row: the ids that the model file's library gives for the whole text.
 
@@ -191,10 +196,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     def run(batches):
         pieces = remembering(path)
         for part in slices(batches):
-            found = pieces.encode(texts(part))
-            ends = np.cumsum([0, *[len(x) // 4 for x in found]])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield made(schema, part.column("k"), ids)
+            yield made(schema, part.column("k"), _lists(pieces.encode(texts(part))))
 
     return keyed(docs, id_column, text_column).mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -215,13 +217,14 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column:
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, n_decoded bigint, same boolean"
 
 
-def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode every row: ``(doc_id, n_tokens, ids_crc32, n_decoded, same)``.
 
     ``ids_crc32`` is over the ids as little-endian unsigned 32-bit integers, ``n_decoded`` the code points of the decoded
-    text, ``same`` whether it equals the text (false only where a text holds the space mark itself).
+    text, ``same`` whether it equals the text (false only where a text holds the space mark itself). ``with_ids`` adds ``ids``.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_decoded", pa.int64()), ("same", pa.bool_())])
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_decoded", pa.int64()), ("same", pa.bool_())]
+    schema = pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches):
         pieces = remembering(path)
@@ -230,6 +233,6 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
             found = pieces.encode(given)
             decoded = [pieces.model.decode(np.frombuffer(x, "<u4").tolist()) for x in found]
             yield made(schema, part.column("k"), [len(x) // 4 for x in found], [zlib.crc32(x) for x in found], [len(d) for d in decoded],
-                       [a == b for a, b in zip(given, decoded)])
+                       [a == b for a, b in zip(given, decoded)], *([_lists(found)] if with_ids else []))
 
-    return keyed(docs, id_column, text_column).mapInArrow(run, DIGESTS)
+    return keyed(docs, id_column, text_column).mapInArrow(run, DIGESTS + (", ids array<int>" if with_ids else ""))

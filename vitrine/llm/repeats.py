@@ -122,19 +122,22 @@ def spans(found: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int
     return [tuple(x) for x in out]
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
+_OUT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())]
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = WINDOW, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = WINDOW, with_text: bool = True,
+          carry: list[str] | None = None) -> DataFrame:
     """Per row ``(doc_id, n_words, n_removed, n_spans, kept, kept_sha256)``: the words outside repeated windows.
 
     A word goes when a window of ``k`` words over it also starts in a document with a smaller id; windows are judged on the
     input. ``kept`` is the words left, joined by one space (null unless ``with_text``), ``n_spans`` the repeated spans after
     compaction. Content is compared by two 64-bit hashes of the words at its place (key and content, or key and window). Null
     and empty texts have no words; rows with one id are one document and never judge each other; rows with a null id keep all
-    words and are no source; no rows give no rows; other columns are ignored.
+    words and are no source; no rows give no rows; other columns are ignored, but those named in ``carry`` come along as the
+    struct ``row``.
     """
     given = keyed(docs, id_column, text_column)
+    rows = docs.select(F.col(id_column).cast("bigint").alias("k"), F.col(text_column).cast("string").alias("t"), F.struct(*carry).alias("row")) if carry else given
     per_doc = repeated(given, k).groupBy("k").agg(F.collect_list(F.struct("at", "source")).alias("found"))
 
     def run(batches):
@@ -151,7 +154,16 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 removed.append(int(gone.sum()))
                 n_spans.append(len(joined))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if joined else b" ".join(words))
-            yield made(_OUT, part.column("k"), counts, removed, n_spans, [x.decode() for x in kept] if with_text else [None] * len(kept),
-                       [hashlib.sha256(x).hexdigest() for x in kept])
+            row = [("row", part.column("row").type)] if carry else []
+            yield made(pa.schema(_OUT + row), part.column("k"), counts, removed, n_spans, [x.decode() for x in kept] if with_text else [None] * len(kept),
+                       [hashlib.sha256(x).hexdigest() for x in kept], *([part.column("row")] if carry else []))
 
-    return given.join(per_doc, "k", "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, n_spans bigint, kept string, kept_sha256 string")
+    kinds = "doc_id bigint, n_words bigint, n_removed bigint, n_spans bigint, kept string, kept_sha256 string"
+    return rows.join(per_doc, "k", "left").mapInArrow(run, kinds + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""))
+
+
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns; where words went, the text is what is left, joined by one space."""
+    found = dedup(docs, id_column, text_column, k, carry=docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.{text_column}"))
+    return found.select(*[text.alias(c) if c == text_column else F.col(f"row.{c}").alias(c) for c in docs.columns])

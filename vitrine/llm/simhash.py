@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
 from .frames import keyed, made, slices, stored, texts
@@ -145,3 +145,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     linked = root.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
     classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each class the document with the least id.
+
+    Of repeated rows with that id one stays; rows without an id all stay, because nothing tells them apart.
+    """
+    classes = near_duplicates(docs, id_column, text_column, **options)
+    least = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
+    kept = docs.join(least, F.col(id_column).cast("bigint") == F.col("_least"))
+    once = Window.partitionBy("_least").orderBy(F.xxhash64(F.col(text_column)), F.col(text_column))
+    kept = kept.withColumn("_row", F.row_number().over(once)).filter("_row = 1").drop("_row", "_least")
+    return kept.unionByName(docs.filter(F.col(id_column).isNull()))

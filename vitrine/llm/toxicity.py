@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -175,6 +177,19 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, model: Model, text_column: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``limit``. Row-local."""
+    sent = docs.sparkSession.sparkContext.broadcast((list(model.index), model.weights, model.bias))
+
+    @F.pandas_udf("double")
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        local = Model(*sent.value)
+        for batch in batches:
+            yield pd.Series([local.score(t or "") for t in batch], dtype=float)
+
+    return docs.filter(probability(F.col(text_column).cast("string")) < limit)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
     """Train on the labelled rows that are not held out and score every row: see ``train`` and ``score``."""
     return score(docs, train(docs, labels, id_column, text_column, label_column), id_column, text_column)
