@@ -43,7 +43,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_
     text = F.col(text_column).cast("string")
     given = docs.select(F.col(id_column).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), canonical(text).alias("c"))
     lines = F.transform(F.split("c", "\n"), lambda x: F.struct(F.lit(1).alias("level"), F.trim(x).alias("unit")))
-    blocks = F.transform(F.filter(F.split("c", r"\n[ \n]*\n"), lambda x: F.instr(F.trim(F.trim(F.lit("\n"), F.trim(x))), "\n") > 0), lambda x: F.struct(F.lit(2).alias("level"), _one_line(x).alias("unit")))
+    blocks = F.transform(F.filter(F.split("c", r"\n[ \n]*\n"), lambda x: F.instr(F.trim(F.trim(F.trim(x), F.lit("\n"))), "\n") > 0), lambda x: F.struct(F.lit(2).alias("level"), _one_line(x).alias("unit")))
     whole = F.array(F.struct(F.lit(0).alias("level"), _one_line(F.col("c")).alias("unit")))
     units = given.select("k", "h", F.size(F.split("c", r"\n[ \n]*\n")).alias("n_blocks"), F.explode(F.concat(whole, lines, F.coalesce(blocks, F.array().cast("array<struct<level:int,unit:string>>")))).alias("u"))
     units = units.filter("u.unit <> '' and (u.level < 2 or n_blocks > 1)").select("k", "h", "u.level", F.md5("u.unit").alias("digest"))
