@@ -75,7 +75,8 @@ def rhythm(lines: Column) -> Column:
 
 
 def skeleton_hits(lines: Column, common: Column) -> Column:
-    return F.size(F.filter(lines, lambda x: (line_words(x) >= 2) & F.array_contains(common, opening(x))))
+    """Lines of two words or more whose opening is among the hashes ``common``."""
+    return F.size(F.filter(lines, lambda x: (line_words(x) >= 2) & F.array_contains(common, F.xxhash64(opening(x)))))
 
 
 def self_focus(text: Column, lines: Column, brand: Column | None) -> Column:

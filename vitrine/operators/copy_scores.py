@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import copy as C, fixed_values as fixed
 from ..functions.scalars import whole
-from ..session import spread
-from .lines import page_bodies, with_openings
+from .lines import bodies_and_openings
 
 SCORES = ("ai_slop", "marketing_bias")
 
@@ -60,8 +59,8 @@ def score_bodies(bodies: DataFrame, brand: Column | None = None) -> DataFrame:
 
 def score_pages(pages: DataFrame, keys: list[str], brand: Column | None = None, chrome_share: float = fixed.CHROME_SHARE,
                 opening_share: float = fixed.SKELETON_SHARE) -> DataFrame:
-    """From pages with ``lines`` to scored pages: shared lines out, template openings found, copy scored."""
-    return score_bodies(with_openings(page_bodies(spread(pages), keys, chrome_share), keys, opening_share), brand)
+    """From pages with ``lines`` to scored pages: shared lines out, template openings found, copy scored. Reads the texts twice."""
+    return score_bodies(bodies_and_openings(pages, keys, chrome_share, opening_share), brand)
 
 
 def long_scores(scored: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:

@@ -31,8 +31,9 @@ def copy_pages(t):
     sample = F.element_at(F.array(*map(F.lit, SAMPLES)), (F.col("doc_id") % 8 + 1).cast("int"))
     text = F.when(sample != "", F.concat("text", F.lit("\n"), sample, F.lit(" Page "), "doc_id", F.lit("."))).otherwise(F.col("text"))
     label = F.element_at(F.array(F.lit("article"), F.lit("service"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return t.documents.select(F.col("lang").alias("site"), F.col("doc_id").alias("page_no"), label.alias("label"),
-                              text.alias("visible_text"), F.split(text, "\n").alias("lines"))
+    # The given table is one block of one file; dealt by document it is as many tasks as any other input.
+    return t.documents.repartition("doc_id").select(F.col("lang").alias("site"), F.col("doc_id").alias("page_no"), label.alias("label"),
+                                                    text.alias("visible_text"), F.split(text, "\n").alias("lines"))
 
 
 def scored_pages(t):
@@ -85,7 +86,7 @@ def _(t):
 
 @query("skeleton_openings", TEXT_SQL + "select site, opening, pages from common")
 def _(t):
-    return L.skeleton_openings(L.page_bodies(copy_pages(t), ["site"], CHROME), ["site"], OPENINGS)
+    return L.skeleton_openings(copy_pages(t), ["site"], CHROME, OPENINGS)
 
 
 @query("page_bodies", TEXT_SQL + """

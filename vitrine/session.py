@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,19 +43,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and read them back: bounded lineage that survives a lost executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Write the rows as Parquet to the shared folder and read them back: bounded lineage that survives a lost executor.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance before expensive per-row work when the scan has fewer splits than there are cores.
-
-    A large input has more splits than cores and passes through untouched.
+    ``replaces`` is an earlier result of ``cut`` that nothing reads any more, such as the round before; its files are deleted.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vitrine-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    old = getattr(replaces, "_cut_path", None)
+    if old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return found
 
 
 class Tables:
