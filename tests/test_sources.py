@@ -123,12 +123,43 @@ def test_people_merge_by_containment(page):
         return f'<script type="application/ld+json">{json.dumps({"@context": "https://schema.org", "@type": "Person", "name": name, **more})}</script>'
 
     pages = page({"https://a.test/1": person("Dr. Jane Smith, DDS", jobTitle="Dentist"), "https://a.test/2": person("Jane Q Smith", sameAs=["https://x.test/j"]),
-                  "https://a.test/3": person("Bob Smith")}, "lines")
-    got = {r.name: (r.pages, r.same_as, r.fields) for r in E.schema_people(pages, K).collect()}
-    assert got == {"Dr. Jane Smith, DDS": (2, 1, ["jobTitle", "sameAs"]), "Bob Smith": (1, 0, [])}
+                  "https://a.test/3": person("Bob Smith"), **{f"https://a.test/{i}": person("Jane Smith", sameAs=["https://x.test/j", "https://y.test/j", "none"]) for i in range(4, 9)}}, "lines")
+    people, places = E.schema_people(pages, K)
+    got = {r.name: (r.pages, r.same_as, r.fields) for r in people.collect()}
+    assert got == {"Dr. Jane Smith, DDS": (7, 2, ["jobTitle", "sameAs"]), "Bob Smith": (1, 0, [])}
+    assert places.count() == 8
 
 
 def test_dimensions_report_missing_inputs(spark):
     people = spark.createDataFrame([], "site string, profile_url string, dedicated_page boolean, person_schema boolean, same_as boolean, credentials boolean")
     results, status = registry.collect({"people": people})
     assert list(results) == ["practitioners"] and status["citation_gap"] == "UNKNOWN: needs ai_search, captured, profiles"
+
+
+def test_robots_paths_compare_without_percent_encoding(spark):
+    robots = spark.createDataFrame([("s", 200, "User-agent: *\nDisallow: /caf%C3%A9\nDisallow: /a b\nDisallow: /c+d\n")], "site string, status int, text string")
+    urls = [("/café", False), ("/caf%c3%a9", False), ("/a%20b", False), ("/c+d", False), ("/c d", True), ("/cafe", True), ("/100%", True)]
+    asked = spark.createDataFrame([("s", f"https://s.test{u}") for u, _ in urls], "site string, url string")
+    got = {r.url: r.allowed for r in W.robots_access(asked, robots, K, ["GPTBot"]).collect()}
+    assert got == {f"https://s.test{u}": allowed for u, allowed in urls}
+
+
+def test_sitemaps_are_read_as_xml(spark):
+    body = "<urlset xmlns='x'><url><loc><![CDATA[https://s.test/a?x=1&y=2]]></loc></url><!-- <loc>https://s.test/no</loc> --><url><loc>https://s.test/b?x=1&#38;y=2</loc></url></urlset><!-- end -->"
+    chain = [(f"https://s.test/{i}.xml", 200, f"<sitemapindex><sitemap><loc>https://s.test/{i + 1}.xml</loc></sitemap></sitemapindex>", False, True) for i in range(25)]
+    many = "<urlset>" + "".join(f"<url><loc>https://s.test/p{i}</loc></url>" for i in range(12_000)) + "</urlset>"
+    rows = [*chain, ("https://s.test/25.xml", 200, body, False, True), ("https://s.test/many.xml", 200, many, False, True), ("https://s.test/cut.xml", 200, body, True, True), ("https://s.test/no.xml", 200, body, False, False)]
+    responses = spark.createDataFrame(rows, "url string, status int, body string, truncated boolean, allowed boolean")
+    seeds = spark.createDataFrame([("s", i, f"https://s.test/{n}.xml", "https://s.test") for i, n in enumerate(["0", "many", "cut", "no"])], "site string, pos int, url string, scope string")
+    pages, documents = W.sitemap_locs(seeds, responses, K)
+    assert pages.count() == 12_002 and documents.count() == 29 and documents.filter("parse_error").count() == 0
+    limited, marked = W.sitemap_locs(seeds, responses, K, max_sitemaps=3, max_urls=10_000)
+    assert limited.count() == 10_000 and marked.count() == 3 and marked.filter("url_limit_reached").count() == 1
+
+
+def test_first_n_beyond_the_map_side_limit(spark):
+    from vitrine.operators.ranking import first_n
+
+    rows = spark.range(5000).selectExpr("id % 2 as site", "id")
+    assert first_n(rows, K, [F.col("id")], 1500).groupBy("site").count().collect()[0]["count"] == 1500
+    assert first_n(rows, K, [F.col("id")], None).filter("position = 2500").count() == 2

@@ -15,7 +15,9 @@ from .structured import OBJECTS, is_a, prop, text_of
 # ---- quotes ------------------------------------------------------------------------------------------------------
 def verify_quotes(claims: DataFrame, pages: DataFrame, keys: list[str], page: str = "url") -> DataFrame:
     """Adds ``verified``: the quote, white space and case aside, occurs on the page it names."""
-    text = pages.select(*keys, page, squash(F.col("visible_text")).alias("_text"))
+    # Only pages that a claim names send their text.
+    named = pages.join(claims.select(*keys, page).distinct(), [*keys, page], "left_semi")
+    text = named.select(*keys, page, squash(F.col("visible_text")).alias("_text"))
     quote = squash(F.col("quote"))
     joined = claims.join(text, [*keys, page], "left")
     return joined.withColumn("verified", F.coalesce((quote != "") & F.contains("_text", quote), F.lit(False))).drop("_text")
@@ -41,7 +43,7 @@ FEW_PAGES = 3  # A person on more pages is an author or the business itself.
 
 
 # ---- pages worth reading -----------------------------------------------------------------------------------------
-def reading_pages(pages: DataFrame, keys: list[str], limit: int = fixed.READ_PAGES) -> DataFrame:
+def reading_pages(pages: DataFrame, keys: list[str], limit: int | None = fixed.READ_PAGES) -> DataFrame:
     """The pages that say most about a business, by class and then page order."""
     rank = lookup(F.col("label"), {name: i for i, name in enumerate(fixed.READ_ORDER)}, len(fixed.READ_ORDER))
     return first_n(pages.filter(strip(F.col("visible_text")) != ""), keys, [rank, F.col("page_no")], limit, "place")
@@ -53,9 +55,12 @@ def people_rank(url: Column, has_person: Column, label: Column) -> Column:
     return F.when(named & ~F.lower(where).contains("about"), 0).when(has_person, 1).when(named, 2).when(label == "homepage", 3)
 
 
-def people_pages(pages: DataFrame, people: DataFrame, keys: list[str], limit: int = fixed.PEOPLE_PAGES) -> DataFrame:
-    """Pages likely to present people: their URLs, then pages with Person data (of people on at most three pages)."""
-    few = people.filter(F.col("pages") <= FEW_PAGES).select(*keys, F.explode("urls").alias("url")).distinct().withColumn("_person", F.lit(True))
+def people_pages(pages: DataFrame, people: DataFrame, places: DataFrame, keys: list[str], limit: int | None = fixed.PEOPLE_PAGES) -> DataFrame:
+    """Pages likely to present people: their URLs, then pages with Person data (of people on at most three pages).
+
+    ``people`` and ``places`` are what ``schema_people`` gives. ``limit`` ``None`` keeps every such page.
+    """
+    few = places.join(people.filter(F.col("pages") <= FEW_PAGES).select(*keys, "person"), [*keys, "person"], "left_semi").select(*keys, "url").distinct().withColumn("_person", F.lit(True))
     ranked = pages.join(few, [*keys, "url"], "left").withColumn("_rank", people_rank(F.col("url"), F.coalesce("_person", F.lit(False)), F.col("label")))
     return first_n(ranked.filter(F.col("_rank").isNotNull()), keys, [F.col("_rank"), F.col("page_no")], limit, "place").drop("_person")
 
@@ -110,17 +115,19 @@ def same_person(names: DataFrame, keys: list[str]) -> DataFrame:
     return met.filter((F.size("small") <= F.size("large")) & (F.size(F.array_except("small", "large")) == 0)).select(*keys, "small", "large")
 
 
-def schema_people(pages: DataFrame, keys: list[str], max_rounds: int = 50) -> DataFrame:
-    """People in a site's structured data, merged by name: fields they have, links to them, pages naming them.
+def schema_people(pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """People in a site's structured data, merged by name, and the pages that name them.
 
-    Names are the nodes and containment the edges; labels spread along them until nothing changes.
+    The first result has a row per person: fields they have, distinct links to them, pages naming them; the second a row per
+    person and page. Names are the nodes and containment the edges; labels spread along them until nothing changes.
     """
     person = F.filter(OBJECTS, lambda o: is_a(o, "Person") & F.coalesce(strip(text_of(prop(o, "name"))) != "", F.lit(False)))
+    same_as = F.col("o.props")["sameAs"]
+    links = F.filter(F.coalesce(F.from_json(same_as, "array<string>"), F.array(text_of(same_as))), lambda u: u.startswith("http"))
     rows = cut(pages.select(*keys, "page_no", "url", F.explode(person).alias("o")).select(
         *keys, "page_no", "url", strip(text_of(F.col("o.props")["name"])).alias("name"),
         F.array_compact(F.array(*[F.when(F.map_contains_key("o.props", f) & ~F.col("o.props")[f].isin("null", '""', "[]", "{}"), F.lit(f)) for f in fixed.PERSON_FIELDS])).alias("fields"),
-        F.size(F.filter(F.coalesce(F.from_json(F.col("o.props")["sameAs"], "array<string>"), F.array(text_of(F.col("o.props")["sameAs"]))),
-                        lambda u: u.startswith("http"))).alias("links")))
+        F.coalesce(links, F.array().cast("array<string>")).alias("links")))
     names = rows.groupBy(*keys, "name").agg(F.count("*").alias("n"))
     # A name of fewer than two words only equals itself.
     tokened = names.withColumn("tokens", name_tokens(F.col("name"))).withColumn(
@@ -128,25 +135,21 @@ def schema_people(pages: DataFrame, keys: list[str], max_rounds: int = 50) -> Da
     sets = tokened.filter(F.size("tokens") >= 2).select(*keys, "tokens").distinct()
     found = same_person(sets, keys).select(*keys, F.array_join("small", " ").alias("a"), F.array_join("large", " ").alias("b")).filter(F.col("a") != F.col("b"))
     edges = cut(found.unionByName(found.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(tokened.select(*keys, "node", F.col("node").alias("person")).distinct())
-    for _ in range(max_rounds):
+    moved, changed = cut(tokened.select(*keys, "node", F.col("node").alias("person"), F.col("node").alias("_new")).distinct()), True
+    while changed:
+        labels = moved.select(*keys, "node", F.col("_new").alias("person"))
         heard = edges.join(labels.select(*keys, F.col("node").alias("a"), "person"), [*keys, "a"]).groupBy(*keys, F.col("b").alias("node")).agg(F.min("person").alias("_heard"))
         joined = labels.join(heard, [*keys, "node"], "left").withColumn("_new", F.least("person", F.coalesce("_heard", "person")))
-        moved = cut(joined)
-        labels = moved.select(*keys, "node", F.col("_new").alias("person"))
-        if moved.filter(F.col("_new") != F.col("person")).isEmpty():
-            break
-    else:
-        raise RuntimeError("people did not settle")
-    merged = rows.join(tokened.select(*keys, "name", "node"), [*keys, "name"]).join(labels, [*keys, "node"])
-    people = merged.groupBy(*keys, "person").agg(
-        F.min_by("name", F.struct("page_no", "name")).alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("fields")))).alias("fields"),
-        F.sum("links").alias("same_as"), F.countDistinct("url").alias("pages"))
-    # Only people on a few pages are looked up by page; an author on every page keeps its count, not a list.
-    few = people.filter(F.col("pages") <= FEW_PAGES).select(*keys, "person")
-    urls = merged.select(*keys, "person", "url").join(few, [*keys, "person"], "left_semi").distinct().groupBy(*keys, "person").agg(
-        F.array_sort(F.collect_list("url")).alias("urls"))
-    return people.join(urls, [*keys, "person"], "left")
+        moved = cut(joined, replaces=moved)
+        changed = not moved.filter(F.col("_new") != F.col("person")).isEmpty()
+    merged = rows.join(tokened.select(*keys, "name", "node"), [*keys, "name"]).join(moved.select(*keys, "node", "person"), [*keys, "node"])
+    fields = merged.select(*keys, "person", F.explode_outer("fields").alias("field")).groupBy(*keys, "person").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    linked = merged.select(*keys, "person", F.explode("links").alias("link")).distinct().groupBy(*keys, "person").agg(F.count("*").alias("same_as"))
+    places = merged.select(*keys, "person", "url").distinct()
+    counted = places.groupBy(*keys, "person").agg(F.count("*").alias("pages"))
+    named = merged.groupBy(*keys, "person").agg(F.min_by("name", F.struct("page_no", "name")).alias("name"))
+    people = named.join(fields, [*keys, "person"]).join(counted, [*keys, "person"]).join(linked, [*keys, "person"], "left")
+    return people.withColumn("same_as", F.coalesce("same_as", F.lit(0).cast("bigint"))), places
 
 
 def practitioner_summary(people: DataFrame, keys: list[str]) -> DataFrame:

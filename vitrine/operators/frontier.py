@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fixed
@@ -47,12 +49,17 @@ def agent_policies(rules: DataFrame, keys: list[str], agents: list[str]) -> Data
     return chosen.join(lines, [*keys, "group"]).groupBy(*keys, "bot").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
 
 
+def decoded(text: Column) -> Column:
+    """Percent-encoding undone, so that ``/caf%C3%A9``, ``/caf%c3%a9`` and ``/café`` are one path; kept as it is where it is broken."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
 def rule_allows(url: Column, rules: Column) -> Column:
-    """The first rule whose path starts the URL's decides; none allows."""
-    target = let(F.concat(path(url), F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise("")), lambda p: F.when(p == "", "/").otherwise(p))
+    """The first rule whose path starts the URL's decides; none allows. Both are compared without percent-encoding."""
+    target = let(F.concat(path(url), F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise("")), lambda p: F.when(p == "", "/").otherwise(decoded(p)))
 
     def decide(where: Column) -> Column:
-        hit = F.get(F.filter(rules, lambda r: (r["value"] == "*") | F.startswith(where, r["value"])), 0)
+        hit = F.get(F.filter(rules, lambda r: (r["value"] == "*") | F.startswith(where, decoded(r["value"]))), 0)
         return F.when(hit.isNull(), True).otherwise((hit["kind"] == "allow") | (hit["value"] == ""))
 
     return let(target, decide)
@@ -82,40 +89,66 @@ def access_targets(starts: DataFrame, pages: DataFrame, keys: list[str]) -> Data
 
 
 # ---- sitemaps ----------------------------------------------------------------------------------------------------
-def sitemap_locs(seeds: DataFrame, responses: DataFrame, keys: list[str], max_sitemaps: int = 20, max_urls: int = 10_000) -> tuple[DataFrame, DataFrame]:
+_SITEMAP = "type string, found array<string>, broken boolean"
+
+
+def read_sitemap(bodies: pd.Series) -> pd.DataFrame:
+    """Root kind and the text of every ``loc`` of sitemap documents; ``broken`` where the XML is, or is something else."""
+    rows = []
+    for body in bodies:
+        try:
+            root = ElementTree.fromstring(body or "")
+            kind = root.tag.rsplit("}", 1)[-1]
+            if kind not in ("sitemapindex", "urlset"):
+                raise ValueError(kind)
+            rows.append((kind, [e.text.strip() for e in root.iter() if isinstance(e.tag, str) and e.tag.rsplit("}", 1)[-1] == "loc" and e.text], False))
+        except (ElementTree.ParseError, ValueError):
+            rows.append((None, [], True))
+    return pd.DataFrame(rows, columns=["type", "found", "broken"])
+
+
+def sitemap_locs(seeds: DataFrame, responses: DataFrame, keys: list[str], max_sitemaps: int | None = None,
+                 max_urls: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages listed by the sitemaps of each site, and the sitemap documents read.
 
-    ``seeds``: keys, pos, url, scope (the site's origin). ``responses``: url, status, body. Index documents lead to more
-    documents: one round per level, at most ``max_sitemaps`` documents per site, none twice.
+    ``seeds``: keys, pos, url, scope (the site's origin). ``responses``: url, status, body and, where known, ``truncated`` and
+    ``allowed`` (by robots): a document that is cut off or refused is not read. Index documents lead to more documents: one
+    round per level until none is new, none read twice. With ``max_sitemaps`` a site's first documents are read, with
+    ``max_urls`` its first pages kept; ``url_limit_reached`` marks documents that list more.
     """
-    docs = responses.select(F.col("url").alias("doc"), "status", "body")
-    order = [F.col("level"), F.col("parent"), F.col("at")]
+    usable = F.col("status") == 200
+    for name, good in (("truncated", False), ("allowed", True)):
+        if name in responses.columns:
+            usable = usable & F.coalesce(F.col(name), F.lit(good)).eqNullSafe(good)
+    docs = responses.select(F.col("url").alias("doc"), "status", F.when(usable, F.col("body")).alias("body"), usable.alias("usable"))
+    parse, order = F.pandas_udf(read_sitemap, _SITEMAP), [F.col("level"), F.col("parent"), F.col("at"), F.col("doc")]
     place = F.struct(F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("parent"), F.col("pos").cast("bigint").alias("at"))
     queue = seeds.filter(origin(F.col("url")) == F.col("scope")).groupBy(*keys, "scope", F.col("url").alias("doc")).agg(F.min(place).alias("p")).select(*keys, "scope", "doc", "p.*")
-    queue = cut(first_n(queue, keys, order, max_sitemaps, "number"))
-    read = []
-    for level in range(1, max_sitemaps + 1):
-        kind = F.regexp_extract("body", r"<(?:[A-Za-z0-9_]+:)?(sitemapindex|urlset)[\s>]", 1)
-        closed = F.regexp_like("body", F.concat(F.lit(r"</(?:[A-Za-z0-9_]+:)?"), kind, F.lit(r"\s*>\s*$")))
-        locs = F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<(?:[A-Za-z0-9_]+:)?loc\s*>\s*([^<]*?)\s*</"), 1), lambda u: normalize_url(F.replace(u, F.lit("&amp;"), F.lit("&"))))
-        ok = (F.col("status") == 200) & (kind != "") & closed
-        parsed = queue.join(docs, "doc", "left").withColumn("type", F.when(ok, kind)).withColumn(
-            "locs", F.when(ok, F.slice(F.filter(locs, lambda u: u.isNotNull()), 1, max_urls)).otherwise(F.array().cast("array<string>"))).drop("body")
-        read.append(cut(parsed.withColumn("parse_error", (F.col("status") == 200) & F.col("type").isNull())))
+    queue = cut(first_n(queue, keys, order, max_sitemaps, "number").withColumn("number", F.col("number").cast("bigint")))
+    read, level = [], 0
+    while not queue.isEmpty():
+        level += 1
+        met = queue.join(docs, "doc", "left").withColumn("x", F.when(F.coalesce("usable", F.lit(False)), parse("body")))
+        locs = F.filter(F.transform("x.found", normalize_url), lambda u: u.isNotNull())
+        parsed = met.select(*keys, "scope", "doc", "level", "parent", "at", "number", "status", F.col("x.type").alias("type"),
+                            F.coalesce(locs, F.array().cast("array<string>")).alias("locs"), F.coalesce("x.broken", F.lit(False)).alias("parse_error"))
+        over = F.lit(False) if max_urls is None else F.size("locs") > max_urls
+        read.append(cut(parsed.withColumn("url_limit_reached", over)))
         seen = reduce(DataFrame.unionByName, [r.select(*keys, "doc") for r in read])
         children = read[-1].filter(F.col("type") == "sitemapindex").select(*keys, "scope", F.col("number").alias("parent"), F.posexplode("locs").alias("at", "doc"))
         fresh = children.filter(origin(F.col("doc")) == F.col("scope")).join(seen, [*keys, "doc"], "left_anti").groupBy(*keys, "scope", "doc").agg(
             F.min(F.struct(F.lit(level).alias("level"), F.col("parent").cast("bigint").alias("parent"), F.col("at").cast("bigint").alias("at"))).alias("p")).select(*keys, "scope", "doc", "p.*")
         taken = seen.groupBy(*keys).agg(F.count("*").alias("_taken"))
-        ranked = first_n(fresh, keys, order, max_sitemaps, "number").join(taken, keys, "left")
-        room = F.coalesce("_taken", F.lit(0))
-        queue = cut(ranked.filter(F.col("number") + room <= max_sitemaps).withColumn("number", F.col("number") + room).drop("_taken"))
-        if queue.isEmpty():
-            break
+        ranked = first_n(fresh, keys, order, max_sitemaps, "number").join(taken, keys, "left").withColumn("number", F.col("number") + F.coalesce("_taken", F.lit(0)))
+        queue = cut((ranked if max_sitemaps is None else ranked.filter(F.col("number") <= max_sitemaps)).drop("_taken"), replaces=queue)
+    if not read:
+        nothing = queue.select(*keys, "doc", "number", F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("type"), F.lit(0).alias("locs"),
+                               F.lit(False).alias("parse_error"), F.lit(False).alias("url_limit_reached"))
+        return queue.select(*keys, F.col("doc").alias("url"), F.col("number").alias("place")), nothing
     documents = reduce(DataFrame.unionByName, read)
     listed = documents.filter(F.col("type") == "urlset").select(*keys, "scope", "number", F.posexplode("locs").alias("at", "url")).filter(origin(F.col("url")) == F.col("scope"))
-    pages = first_n(listed.groupBy(*keys, "url").agg(F.min(F.struct("number", "at")).alias("first")), keys, [F.col("first")], max_urls, "place")
-    return pages.select(*keys, "url", "place"), documents.select(*keys, "doc", "number", "status", "type", F.size("locs").alias("locs"), "parse_error")
+    pages = first_n(listed.groupBy(*keys, "url").agg(F.min(F.struct("number", "at")).alias("first")), keys, [F.col("first"), F.col("url")], max_urls, "place")
+    return pages.select(*keys, "url", "place"), documents.select(*keys, "doc", "number", "status", "type", F.size("locs").alias("locs"), "parse_error", "url_limit_reached")
 
 
 # ---- crawl order -------------------------------------------------------------------------------------------------
@@ -136,18 +169,19 @@ def edge_frontier(level: DataFrame, links: DataFrame, queued: DataFrame, keys: l
 
 
 def crawl_frontier(starts: DataFrame, seeds: DataFrame, pages: DataFrame, links: DataFrame, keys: list[str], max_depth: int = 3,
-                   max_pages: int = 50, max_urls: int = 10_000) -> DataFrame:
+                   max_pages: int = 50, max_urls: int | None = None) -> DataFrame:
     """Breadth-first order over a captured link graph: page number and depth, or the reason a URL was left out.
 
     ``starts``: keys, url, scope. ``seeds``: keys, url, pos (sitemap pages, depth 1). ``pages``: keys, url, canonical_url,
-    allowed. ``links``: keys, source, pos, target. One round per depth; a site keeps at most ``max_pages`` pages and
-    ``max_urls`` queued URLs, and each round's rows are written before the next one reads them.
+    allowed. ``links``: keys, source, pos, target. One round per depth; a site keeps at most ``max_pages`` pages and, where
+    set, ``max_urls`` queued URLs; what a limit leaves out comes back with the reason ``page_limit`` or ``queue_limit``. Each
+    round's rows are written before the next one reads them.
     """
     first = starts.select(*keys, "scope", "url", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("parent_seq"), F.lit(0).cast("bigint").alias("pos"))
     extra = seeds.join(starts.select(*keys, "scope", F.col("url").alias("_start")), keys).filter(F.col("url") != F.col("_start")).groupBy(
         *keys, "scope", "url").agg(F.min("pos").alias("pos")).select(*keys, "scope", "url", F.lit(1).alias("depth"), F.lit(-1).cast("bigint").alias("parent_seq"), F.col("pos").cast("bigint").alias("pos"))
     seeded = cut(extra)
-    queue, done = cut(first), []
+    queue, done, left_out = cut(first), [], []
     facts = pages.select(*keys, "url", "canonical_url", "allowed")
     for depth in range(max_depth + 2):
         before = reduce(DataFrame.unionByName, done) if done else None
@@ -167,9 +201,13 @@ def crawl_frontier(starts: DataFrame, seeds: DataFrame, pages: DataFrame, links:
         fresh = edge_frontier(fetched, links, queued, keys).withColumn("depth", F.lit(depth + 1))
         if depth == 0:
             fresh = fresh.unionByName(seeded)
-        room = queued.groupBy(*keys).agg(F.count("*").alias("_queued"))
-        limited = first_n(fresh, keys, [F.col("parent_seq"), F.col("pos"), F.col("url")], max_urls, "_n").join(room, keys, "left")
-        queue = cut(limited.filter((F.col("_n") + F.coalesce("_queued", F.lit(0)) <= max_urls) | (F.col("parent_seq") == -1)).drop("_n", "_queued"))
+        if max_urls is not None:
+            room = queued.groupBy(*keys).agg(F.count("*").alias("_queued"))
+            ranked = cut(first_n(fresh, keys, [F.col("parent_seq"), F.col("pos"), F.col("url")], None, "_n").join(room, keys, "left"))
+            fits = (F.col("_n") + F.coalesce("_queued", F.lit(0)) <= max_urls) | (F.col("parent_seq") == -1)
+            left_out.append(ranked.filter(~fits).select(*keys, "url", "depth"))
+            fresh = ranked.filter(fits).drop("_n", "_queued")
+        queue = cut(fresh)
         if queue.isEmpty():
             break
     every = reduce(DataFrame.unionByName, done)
@@ -178,18 +216,24 @@ def crawl_frontier(starts: DataFrame, seeds: DataFrame, pages: DataFrame, links:
     last = every.filter(F.col("page_number") == max_pages).select(*keys, F.col("seq").alias("_last"))
     joined = every.join(last, keys, "left")
     late = F.coalesce(F.col("seq") > F.col("_last"), F.lit(False))
-    return joined.select(*keys, "url", "depth", F.when(~over & ~late, F.col("page_number")).alias("page_number"), F.when(over | late, "page_limit").otherwise(F.col("reason")).alias("reason"))
+    judged = joined.select(*keys, "url", "depth", F.when(~over & ~late, F.col("page_number")).alias("page_number"), F.when(over | late, "page_limit").otherwise(F.col("reason")).alias("reason"))
+    # A URL that found no room at one depth may have found some at a later one.
+    for dropped in left_out:
+        unseen = dropped.dropDuplicates([*keys, "url"]).join(judged.select(*keys, "url"), [*keys, "url"], "left_anti")
+        judged = judged.unionByName(unseen.select(*keys, "url", "depth", F.lit(None).cast("bigint").alias("page_number"), F.lit("queue_limit").alias("reason")))
+    return judged
 
 
-def _settle(placed: DataFrame, earlier: DataFrame | None, keys: list[str], max_depth: int, max_rounds: int = 100) -> DataFrame:
+def _settle(placed: DataFrame, earlier: DataFrame | None, keys: list[str], max_depth: int) -> DataFrame:
     """Reasons and page numbers of one level. A page's canonical keeps later URLs out, unless that page is itself kept
-    out; the rounds end when no verdict changes."""
+    out; the rounds end when no verdict changes. A claim only reaches later URLs, so verdicts settle from the front."""
     claimed_before = None
     if earlier is not None:
         claimed_before = earlier.select(*keys, "url").distinct().withColumn("_before", F.lit(True))
     rows = placed.join(claimed_before, [*keys, "url"], "left") if claimed_before is not None else placed.withColumn("_before", F.lit(None).cast("boolean"))
     state = rows.withColumn("claimed", F.coalesce("_before", F.lit(False)))
-    for _ in range(max_rounds):
+    stable = False
+    while not stable:
         state = cut(state)
         kept = state.withColumn("reason", skip_reason(max_depth)).filter(F.col("reason").isNull() & F.col("canonical_url").isNotNull() & (F.col("canonical_url") != F.col("url")))
         claims = kept.groupBy(*keys, F.col("canonical_url").alias("url")).agg(F.min("seq").alias("_claim"))
@@ -197,10 +241,6 @@ def _settle(placed: DataFrame, earlier: DataFrame | None, keys: list[str], max_d
         changed = nxt.filter(F.col("_new") != F.col("claimed"))
         stable = changed.isEmpty()
         state = nxt.withColumn("claimed", F.col("_new")).drop("_new", "_claim")
-        if stable:
-            break
-    else:
-        raise RuntimeError("canonical claims did not settle")
     judged = state.withColumn("reason", skip_reason(max_depth))
     numbered = positions(judged.filter(F.col("reason").isNull()), keys, [F.col("seq")], "_page").withColumn("page_number", F.col("_page") + F.col("_pages"))
     columns = [*keys, "scope", "url", "depth", "seq", "canonical_url", "reason", "page_number"]

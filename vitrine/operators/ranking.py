@@ -23,8 +23,19 @@ def positions(rows: DataFrame, keys: list[str], order: list[Column], name: str =
     return local.join(shift, [*keys, "_part"]).withColumn(name, F.col("_local") + F.col("_shift")).drop("_part", "_local", "_shift")
 
 
-def first_n(rows: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "position") -> DataFrame:
-    """The first ``n`` rows of each group; every map task passes on at most ``n`` rows per group."""
+#: Up to here Spark keeps the first rows of a group on the map side (spark.sql.optimizer.windowGroupLimitThreshold).
+MAP_SIDE_RANKS = 1000
+
+
+def first_n(rows: DataFrame, keys: list[str], order: list[Column], n: int | None, name: str = "position") -> DataFrame:
+    """The first ``n`` rows of each group, all of them for ``None``.
+
+    Up to ``MAP_SIDE_RANKS`` rows every map task passes on at most ``n`` rows per group; beyond, rows are numbered by range
+    partitions, so no group is sorted in one task either way.
+    """
+    if n is None or n > MAP_SIDE_RANKS:
+        placed = positions(rows, keys, order, name)
+        return placed if n is None else placed.filter(F.col(name) <= n)
     ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(name) <= n)
 

@@ -154,10 +154,12 @@ def _sitemaps(t):
         F.lit("/bad.xml</loc></sitemap><sitemap><loc>https://else.test/s.xml</loc></sitemap></sitemapindex>")).alias("body"))
     bad = t.nation.select(F.concat(_root(n), F.lit("/bad.xml")).alias("url"), F.lit("<urlset><url><loc>https://x.test/</loc>").alias("body"))
     c = F.col("c_nationkey")
-    entry = F.struct("c_custkey", F.concat(F.lit("<url><loc>"), _root(c), F.lit("/c"), "c_custkey", F.lit("?b=2&amp;a=1</loc></url>")).alias("x"))
+    address = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("<![CDATA["), _root(c), F.lit("/c"), "c_custkey", F.lit("?b=2&a=1]]>"))).when(
+        F.col("c_custkey") % 3 == 1, F.concat(_root(c), F.lit("/c"), "c_custkey", F.lit("?b=2&#38;a=1"))).otherwise(F.concat(_root(c), F.lit("/c"), "c_custkey", F.lit("?b=2&amp;a=1")))
+    entry = F.struct("c_custkey", F.concat(F.lit("<url><!-- <loc>https://x.test/no</loc> --><loc>"), address, F.lit("</loc></url>")).alias("x"))
     sets = t.customer.groupBy("c_nationkey", (F.col("c_custkey") % 4).alias("m")).agg(F.array_sort(F.collect_list(entry)).alias("e")).select(
         F.concat(_root(c), F.lit("/s"), "m", F.lit(".xml")).alias("url"),
-        F.concat(F.lit("<s:urlset xmlns:s='x'>"), F.array_join(F.transform("e", lambda e: e["x"]), "\n"), F.lit("<url><loc>https://else.test/a</loc></url></s:urlset>\n")).alias("body"))
+        F.concat(F.lit("<s:urlset xmlns:s='x'>"), F.array_join(F.transform("e", lambda e: e["x"]), "\n"), F.lit("<url><loc>https://else.test/a</loc></url></s:urlset>\n<!-- end -->\n")).alias("body"))
     return W.sitemap_locs(seeds, index.unionByName(bad).unionByName(sets).withColumn("status", F.lit(200)), KEYS)
 
 

@@ -96,7 +96,11 @@ def captured(t):
 
 def records(t, *names):
     """Page records of the captured pages with the named columns and those the checks add."""
-    found = P.page_record(parse_html(captured(t)), *names)
+    return records_of(captured(t), *names)
+
+
+def records_of(pages, *names):
+    found = P.page_record(parse_html(pages), *names)
     return found.withColumn("extraction_status", F.lit("EXTRACTED")).withColumn("duplicate_of", F.lit(None).cast("string"))
 
 

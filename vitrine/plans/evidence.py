@@ -181,8 +181,9 @@ def _(t):
     url = F.concat(F.lit("https://s.test/"), path, F.when(path == "", "").otherwise(F.concat(F.lit("/x"), "doc_id")))
     pages = t.documents.select(F.col("lang").alias("site"), F.col("doc_id").alias("page_no"), F.when(path == "", F.concat(F.lit("https://s.test/?"), "doc_id")).otherwise(url).alias("url"),
                                F.when(path == "", "homepage").otherwise("other").alias("label"))
-    people = pages.filter(F.col("page_no") % 7 == 0).select("site", F.lit(1).alias("pages"), F.array("url").alias("urls"))
-    return E.people_pages(pages, people, KEYS).select("site", "page_no", "place")
+    places = pages.filter(F.col("page_no") % 7 == 0).select("site", F.col("url").alias("person"), "url")
+    people = places.select("site", "person", F.lit(1).alias("pages"))
+    return E.people_pages(pages, people, places, KEYS).select("site", "page_no", "place")
 
 
 @query("crawl_text", """
@@ -240,9 +241,11 @@ def _(t):
 
 
 @query("schema_people", P_SQL + """
-select site, 'Jane Doe' as name, 0::bigint as same_as, count(*) as pages, 'worksFor' as fields from p where k % 6 = 2 group by 1""")
+select site, 'Jane Doe' as name, 1 + count(distinct k % 24) as same_as, count(*) as pages, 'sameAs,worksFor' as fields from p where k % 6 = 2 group by 1""")
 def _(t):
-    found = E.schema_people(D.records(t, "lines"), KEYS)
+    linked = F.concat(F.lit('"name":"Jane Doe","sameAs":["https://jane.example.org/","mailto:jane","https://l'), F.col("page_no") % 24, F.lit('.example.org/"]'))
+    captured = D.captured(t).withColumn("html", F.replace("html", F.lit('"name":"Jane Doe"'), linked))
+    found, _ = E.schema_people(D.records_of(captured, "lines"), KEYS)
     return found.select("site", "name", "same_as", "pages", F.array_join("fields", ",").alias("fields"))
 
 
