@@ -54,7 +54,7 @@ def similar_titles(titles: DataFrame, keys: list[str], threshold: float = fixed.
     return met.filter(shared >= (F.col("_na") + F.col("_nb") - shared) * threshold - 1e-9).select(*keys, "early", "late").distinct()
 
 
-def near_duplicate_titles(titles: DataFrame, keys: list[str], threshold: float = fixed.SIMILAR_TITLES, max_rounds: int = 1000) -> DataFrame:
+def near_duplicate_titles(titles: DataFrame, keys: list[str], threshold: float = fixed.SIMILAR_TITLES) -> DataFrame:
     """Titles kept in order: one is dropped when it repeats an earlier kept title. ``titles``: keys, pos, title, existing.
 
     Equal word sets meet in an aggregate first (the earliest stands for all), so copies never form pairs. Then each
@@ -69,18 +69,15 @@ def near_duplicate_titles(titles: DataFrame, keys: list[str], threshold: float =
     first = cut(first)
     edges = cut(similar_titles(first.select(*keys, "set_id", "words"), keys, threshold))
     node = [*keys, "set_id"]
-    state = first.select(*node, F.when(F.col("existing"), True).alias("kept"))
-    for _ in range(max_rounds):
+    state, open_left = first.select(*node, F.when(F.col("existing"), True).alias("kept")), True
+    while open_left:  # each round settles at least the earliest open title of a group
         settled = state.select(*keys, F.col("set_id").alias("early"), F.col("kept").alias("_early_kept"))
         seen = edges.join(settled, [*keys, "early"]).groupBy(*keys, F.col("late").alias("set_id")).agg(
             F.bool_or(F.coalesce("_early_kept", F.lit(False))).alias("_hit"), F.bool_or(F.col("_early_kept").isNull()).alias("_open"))
         joined = state.join(seen, node, "left")
         verdict = F.when(F.col("_hit"), False).when(~F.coalesce("_open", F.lit(False)), True)
         state = cut(joined.select(*node, F.coalesce("kept", verdict).alias("kept")))
-        if state.filter(F.col("kept").isNull()).isEmpty():
-            break
-    else:
-        raise RuntimeError("titles did not settle")
+        open_left = not state.filter(F.col("kept").isNull()).isEmpty()
     return first.join(state.filter("kept"), node).filter(~F.col("existing")).select(*keys, "pos", "title")
 
 

@@ -144,15 +144,17 @@ def families_in_url(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(values, lambda v: F.split(v, r"\|"))), lambda f: F.split_part(f, F.lit(":"), F.lit(1)))))
 
 
-def stylesheets(pages: DataFrame, bodies: DataFrame, keys: list[str], limit: int = 20) -> DataFrame:
-    """Distinct stylesheets of a site with their families; of first-party ones only the first ``limit`` are read.
+def stylesheets(pages: DataFrame, bodies: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Distinct stylesheets of a site with their families; with ``limit`` only a site's first first-party ones are read.
 
     ``bodies``: url, body of captured stylesheets.
     """
     seen = pages.select(*keys, origin(F.col("url")).alias("scope"), F.col("page_no"), F.posexplode("stylesheets").alias("pos", "sheet"))
     sheets = seen.groupBy(*keys, "sheet").agg(F.min(F.struct("page_no", "pos")).alias("first"), F.first("scope").alias("scope")).withColumn(
         "source", stylesheet_source(F.col("sheet"), F.col("scope")))
-    own = first_n(sheets.filter(F.col("source") == "first-party"), keys, [F.col("first"), F.col("sheet")], limit, "place")
+    own = sheets.filter(F.col("source") == "first-party")
+    if limit is not None:
+        own = first_n(own, keys, [F.col("first"), F.col("sheet")], limit, "place")
     read = own.select(*keys, "sheet").join(bodies.select(F.col("url").alias("sheet"), "body"), "sheet").select(*keys, "sheet", font_families(F.col("body")).alias("read"))
     none = F.array().cast("array<string>")
     families = F.when(F.col("source") == "Google Fonts", families_in_url(F.col("sheet"))).otherwise(F.coalesce("read", none))

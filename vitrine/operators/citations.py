@@ -25,9 +25,11 @@ def mark_owned(cited: DataFrame, profiles: DataFrame, keys: list[str]) -> DataFr
     return joined.withColumn("owned", F.coalesce(mine, F.lit(False))).drop("_domain", "_profiles")
 
 
-def cited_to_check(marked: DataFrame, keys: list[str], limit: int = fixed.CITED_TO_CHECK) -> DataFrame:
-    """Third-party pages with ``to_check`` on the most cited ones; the rest stay in the result."""
+def cited_to_check(marked: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Third-party pages with ``to_check``: all of them, or with ``limit`` a site's most cited ones."""
     others = marked.filter(~F.col("owned"))
+    if limit is None:
+        return others.withColumn("to_check", F.lit(True))
     best = first_n(others, keys, [F.desc("answers"), F.desc("citations"), F.asc("url")], limit).select(*keys, "url", F.lit(True).alias("to_check"))
     return others.join(best, [*keys, "url"], "left").withColumn("to_check", F.coalesce("to_check", F.lit(False)))
 
@@ -51,29 +53,32 @@ def matched_terms(text: Column, links: Column, profile: dict[str, Column]) -> Co
     return F.concat(site, F.transform(listed, lambda p: pair("profile", p)), words("name", profile["names"]), words("person", profile["people"]))
 
 
-def citation_check(cited: DataFrame, captured: DataFrame, profiles: DataFrame, keys: list[str], limit: int = fixed.CITED_TO_CHECK) -> DataFrame:
-    """Every cited page with its status; the third-party pages to check are joined to their captured bodies.
+def citation_check(cited: DataFrame, captured: DataFrame, profiles: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Every cited page with its status; third-party pages are compared with their captured bodies.
 
-    ``captured``: url, allowed, status, content_type, text, links.
+    ``captured``: url, allowed, status, content_type, text, links. One pass over the cited pages: a page that is owned, or with
+    ``limit`` not among a site's most cited ones, looks for no body.
     """
     marked = mark_owned(cited, profiles, keys)
-    owned = marked.filter("owned").withColumn("status", F.lit("owned")).withColumn("match", F.lit(None).cast("string"))
+    if limit is None:
+        rows = marked.withColumn("to_check", ~F.col("owned"))
+    else:
+        best = cited_to_check(marked, keys, limit).filter("to_check").select(*keys, "url", "to_check")
+        rows = marked.join(best, [*keys, "url"], "left").withColumn("to_check", F.coalesce("to_check", F.lit(False)))
     own = profiles.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("domain", "profiles", "names", "people")])
-    # Only pages worth checking look for a body, so the captured texts are not shuffled for the rest.
-    rows = cited_to_check(marked, keys, limit)
-    chosen = rows.filter("to_check").join(captured.withColumnRenamed("status", "_status"), "url", "left").join(own, keys, "left")
+    bodies = captured.select(F.col("url").alias("_wanted"), "allowed", F.col("status").alias("_status"), "content_type", "text", "links")
+    # Pages without a body to look for have a null key and so meet nothing; each keeps a place of its own by its address.
+    wanted = F.when(F.col("to_check"), F.col("url"))
+    read = rows.join(bodies, wanted == F.col("_wanted"), "left").join(own, keys, "left")
+    read = read.withColumn("found", matched_terms(F.col("text"), F.col("links"), {c: F.col(f"_{c}") for c in ("domain", "profiles", "names", "people")}))
     kind = F.lower(F.coalesce("content_type", F.lit("")))
-    terms = matched_terms(F.col("text"), F.col("links"), {c: F.col(f"_{c}") for c in ("domain", "profiles", "names", "people")})
-    read = chosen.withColumn("found", terms)
-    status = F.when(F.col("allowed").eqNullSafe(False), "blocked_by_robots").when(
+    status = F.when(F.col("owned"), "owned").when(~F.col("to_check"), "not_checked").when(F.col("allowed").eqNullSafe(False), "blocked_by_robots").when(
         F.col("_status").isNull() | (F.col("_status") >= 400), "unreachable").when(
         ~(kind.contains("html") | (kind == "") | kind.startswith("text/")), "unreadable").when(
         F.size("found") > 0, "mentioned").otherwise("not_mentioned")
     strong = F.exists("found", lambda f: f["by"].isin("link", "domain", "profile"))
-    checked = read.withColumn("status", status).withColumn(
-        "match", F.when(F.col("status") == "mentioned", F.when(strong, "strong").otherwise("name_only"))).select(*owned.columns)
-    rest = rows.filter(~F.col("to_check")).withColumn("status", F.lit("not_checked")).withColumn("match", F.lit(None).cast("string")).select(*owned.columns)
-    return owned.unionByName(checked).unionByName(rest)
+    return read.withColumn("status", status).withColumn("match", F.when(F.col("status") == "mentioned", F.when(strong, "strong").otherwise("name_only"))).select(
+        *marked.columns, "status", "match")
 
 
 def citation_gap_domains(checked: DataFrame, keys: list[str]) -> DataFrame:

@@ -190,8 +190,8 @@ def uncovered_findings(resolved: DataFrame, task_findings: DataFrame, keys: list
     return resolved.join(covered, [*keys, "finding_id"], "left_anti")
 
 
-def flatten_one_level(table: DataFrame, limit: int = 200) -> DataFrame:
-    """Structs of scalars become dotted columns, anything deeper a count of its parts; the first ``limit`` rows."""
+def flatten_one_level(table: DataFrame) -> DataFrame:
+    """Structs of scalars become dotted columns, anything deeper a count of its parts; every row."""
     from pyspark.sql import types as T
 
     nested = (T.ArrayType, T.MapType, T.StructType)
@@ -206,4 +206,4 @@ def flatten_one_level(table: DataFrame, limit: int = 200) -> DataFrame:
             columns.append(F.when(column.isNotNull(), F.concat(F.size(column), F.lit(" items" if isinstance(kind, T.ArrayType) else " fields"))).alias(field.name))
         else:
             columns.append(column)
-    return table.select(*columns).limit(limit)
+    return table.select(*columns)

@@ -224,8 +224,12 @@ def duplicate_canonicals(pages: DataFrame, keys: list[str], order: str, canonica
     """
     same_site = origin(F.col(canonical_col)) == origin(F.col("url")) if canonical_col == "canonical_url" else F.lit(True)
     claims = pages.filter(F.col(canonical_col).isNotNull() & same_site).groupBy(*keys, canonical_col).agg(F.min(order).alias("_first"))
-    return pages.join(claims, [*keys, canonical_col], "left").withColumn(
-        "duplicate_of", F.when(F.col(order) > F.col("_first"), F.col(canonical_col))).drop("_first")
+    named = pages.filter(F.col(canonical_col).isNotNull()).join(claims, [*keys, canonical_col], "left").withColumn(
+        "duplicate_of", F.when(F.col(order) > F.col("_first"), F.col(canonical_col)))
+    # Pages without one claim nothing and would all meet on one key.
+    rest = pages.filter(F.col(canonical_col).isNull()).withColumn("duplicate_of", F.lit(None).cast("string"))
+    columns = [*pages.columns, "duplicate_of"] if "duplicate_of" not in pages.columns else pages.columns
+    return named.select(columns).unionByName(rest.select(columns))
 
 
 def link_inventory(pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -100,7 +100,7 @@ def _quoted_line() -> Column:
         inner = F.regexp_extract(line, quote, 2)
         near = F.array(F.regexp_extract(line, quote, 1), F.regexp_extract(line, quote, 3),
                        F.when(i > 0, F.get("lines", i - 1)).otherwise(""), F.coalesce(F.get("lines", i + 1), F.lit("")))
-        return F.when((F.length(line) <= fixed.LINE_MAX) & (inner != "") & ~strip(inner).endswith(","), F.exists(near, vouches)).otherwise(False)
+        return F.when((inner != "") & ~strip(inner).endswith(","), F.exists(near, vouches)).otherwise(False)
 
     return F.get(F.filter("lines", attributed), 0)
 
@@ -155,7 +155,7 @@ def proof_summary(pages: DataFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("status", F.when(F.col("has_proof") & F.col("has_ask"), "PASS").when(F.col("has_proof") | F.col("has_ask"), "WARNING").otherwise("FAIL"))
 
 
-def proof_examples(pages: DataFrame, keys: list[str], limit: int = fixed.EXAMPLES) -> DataFrame:
+def proof_examples(pages: DataFrame, keys: list[str], limit: int | None = fixed.EXAMPLES) -> DataFrame:
     """The first examples of a site, one per kind and page, clipped."""
     firsts = F.filter("signals", lambda s, i: F.array_position(F.transform("signals", lambda x: x["kind"]), s["kind"]) == i + 1)
     rows = pages.select(*keys, "page_no", "url", F.posexplode(firsts).alias("pos", "s")).select(

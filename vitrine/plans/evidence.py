@@ -150,7 +150,7 @@ def _(t):
 @query("attribute_quotes", r"""
 with d as (select doc_id as k, lang as site, source, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents),
 r as (select *, row_number() over (partition by site order by k) as place from d qualify place <= 8),
-q as (select k, site, left(t, 25) as q from d where k < 100000 and t <> ''),
+q as (select k, site, left(t, 25) as q from d where t <> ''),
 m as (select q.k, min(place) as place from q join r on q.site = r.site and contains(r.t, q.q) group by 1)
 select q.k as claim_id, 'https://s.test/' || coalesce(r.k, q.k) as url, m.place is not null as verified from q left join m using (k) left join r on r.site = q.site and r.place = m.place""")
 def _(t):
@@ -428,11 +428,11 @@ def _(t):
 
 def _task_findings(t):
     slug = F.element_at(F.array(*map(F.lit, B.BUILDER_ORDER)), (F.col("l_partkey") % 11 + 1).cast("int"))
-    return t.lineitem.filter(F.col("l_quantity") > 48).select((F.col("l_suppkey") % 40).alias("site"), slug.alias("slug"), F.col("l_orderkey").alias("finding_id")).distinct()
+    return t.lineitem.select((F.col("l_suppkey") % 40).alias("site"), slug.alias("slug"), F.col("l_orderkey").alias("finding_id")).distinct()
 
 
 TASK_SQL = f"""
-with f as (select distinct l_suppkey % 40 as site, {B.BUILDER_ORDER}[(l_partkey % 11 + 1)::int] as slug, l_orderkey as finding_id from lineitem where l_quantity > 48),
+with f as (select distinct l_suppkey % 40 as site, {B.BUILDER_ORDER}[(l_partkey % 11 + 1)::int] as slug, l_orderkey as finding_id from lineitem),
 w as (select c_custkey % 40 as site, 'seo' as slug, count(*) as rows from customer where c_custkey % 3 = 0 group by 1 union all select c_custkey % 40, 'questions', count(*) from customer where c_custkey % 40 < 20 group by 1),
 c as (select site, slug, count(*) as findings from f group by 1, 2),
 t as (select coalesce(w.site, c.site) as site, coalesce(w.slug, c.slug) as slug, coalesce(rows, 0) as rows, coalesce(findings, 0) as findings from w full join c on w.site = c.site and w.slug = c.slug),
@@ -459,15 +459,18 @@ def _(t):
 
 
 @query("uncovered_findings", """
-with r as (select l_suppkey % 40 as site, case when l_partkey % 5 = 0 then 'meta_ads' else 'copy' end as area, l_orderkey as finding_id, l_quantity from lineitem)
-select site, area, finding_id from r where area = 'copy' and not exists (select 1 from r x where x.site = r.site and x.finding_id = r.finding_id and (x.area = 'meta_ads' or x.l_quantity > 48))""")
+with r as (select l_suppkey % 40 as site, case when l_partkey % 5 = 0 then 'meta_ads' else 'copy' end as area, l_orderkey as finding_id, l_linenumber from lineitem),
+f as (select distinct c_custkey % 40 as site, o_orderkey as finding_id from orders join customer on o_custkey = c_custkey)
+select site, area, finding_id from r where area = 'copy' and not exists (select 1 from r x where x.site = r.site and x.finding_id = r.finding_id and x.area = 'meta_ads')
+  and not exists (select 1 from f where f.site = r.site and f.finding_id = r.finding_id)""")
 def _(t):
     resolved = t.lineitem.select((F.col("l_suppkey") % 40).alias("site"), F.when(F.col("l_partkey") % 5 == 0, "meta_ads").otherwise("copy").alias("area"), F.col("l_orderkey").alias("finding_id"))
-    return B.uncovered_findings(resolved, _task_findings(t), KEYS)
+    tasks = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select((F.col("c_custkey") % 40).alias("site"), F.col("o_orderkey").alias("finding_id")).distinct()
+    return B.uncovered_findings(resolved, tasks, KEYS)
 
 
-@query("flatten_one_level", "select p_partkey as id, p_name as \"about.name\", p_size as \"about.size\", '2 items' as tags from part order by p_partkey limit 200")
+@query("flatten_one_level", "select p_partkey as id, p_name as \"about.name\", p_size as \"about.size\", '2 items' as tags from part")
 def _(t):
-    rows = t.part.orderBy("p_partkey").select(F.col("p_partkey").alias("id"), F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size")).alias("about"), F.array("p_type", "p_brand").alias("tags"))
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size")).alias("about"), F.array("p_type", "p_brand").alias("tags"))
     return B.flatten_one_level(rows)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fixed
 from ..functions.identity import identity_check
 from ..operators import citations as CI, visibility as V
 from .registry import query
@@ -171,7 +172,7 @@ def _(t):
 @query("cited_to_check", SOURCE_SQL + "select site, url, r <= 40 as to_check from ranked")
 def _(t):
     marked = CI.mark_owned(V.cited_pages(sources(t), KEYS), source_profiles(t), KEYS)
-    return CI.cited_to_check(marked, KEYS).select("site", "url", "to_check")
+    return CI.cited_to_check(marked, KEYS, fixed.CITED_TO_CHECK).select("site", "url", "to_check")
 
 
 def captures(t):
@@ -195,7 +196,7 @@ checked as (select r.site, r.url, r.domain, r.citations, case when r.r > 40 then
 @query("cited_mentions", CAPTURE_SQL + """
 select site, url, status, case when status = 'mentioned' then case when strong then 'strong' else 'name_only' end end as match from checked""")
 def _(t):
-    rows = CI.citation_check(V.cited_pages(sources(t), KEYS), captures(t), source_profiles(t), KEYS)
+    rows = CI.citation_check(V.cited_pages(sources(t), KEYS), captures(t), source_profiles(t), KEYS, fixed.CITED_TO_CHECK)
     return rows.filter(F.col("status") != "owned").select("site", "url", "status", "match")
 
 
@@ -203,7 +204,7 @@ def _(t):
 select site, domain, count(*) as pages, sum(citations)::bigint as citations, case when bool_or(status = 'mentioned') then true when bool_or(status = 'not_mentioned') then false end as mentioned
 from checked group by 1, 2""")
 def _(t):
-    return CI.citation_gap_domains(CI.citation_check(V.cited_pages(sources(t), KEYS), captures(t), source_profiles(t), KEYS), KEYS)
+    return CI.citation_gap_domains(CI.citation_check(V.cited_pages(sources(t), KEYS), captures(t), source_profiles(t), KEYS, fixed.CITED_TO_CHECK), KEYS)
 
 
 @query("citation_gap_summary", CAPTURE_SQL + """
@@ -213,7 +214,7 @@ select site, count(*) as cited_pages, count(*) filter (status = 'owned') as owne
  count(*) filter (status = 'unreadable') as unreadable, count(*) filter (status = 'not_checked') as not_checked, count(*) filter (status = 'mentioned' and not strong) as mentioned_name_only,
  case when bool_or(status in ('unreachable', 'blocked_by_robots')) then 'PARTIAL' else 'COMPLETE' end as status from al group by 1""")
 def _(t):
-    return CI.citation_gap_summary(CI.citation_check(V.cited_pages(sources(t), KEYS), captures(t), source_profiles(t), KEYS), KEYS)
+    return CI.citation_gap_summary(CI.citation_check(V.cited_pages(sources(t), KEYS), captures(t), source_profiles(t), KEYS, fixed.CITED_TO_CHECK), KEYS)
 
 
 @query("answer_citations", """
