@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["urls", "copy", "visibility", "runs", "scorecard", "calendar", "checks", "evidence", "capture"]
+SUBJECTS = ["urls", "copy", "visibility", "runs", "scorecard", "calendar", "checks", "evidence", "capture", "worklists"]
 
 
 def load_all():
