@@ -62,16 +62,28 @@ def rated(hits: Column, words: Column, cap: int) -> Column:
     return whole(F.least(rate(hits, words) / F.lit(float(cap)), F.lit(1.0)) * 100)
 
 
-def rhythm(lines: Column) -> Column:
-    """Sentence-length uniformity from the coefficient of variation; 0 under eight sentences."""
+def sentence_sums(lines: Column) -> Column:
+    """Number, sum and sum of squares of the words in sentences."""
     lengths = F.transform(sentences(lines), lambda s: line_words(s).cast("double"))
-    sums = F.aggregate(lengths, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+    return F.aggregate(lengths, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
                        lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
-    def score(a: Column) -> Column:
-        cv = F.sqrt(a["n"] * a["q"] - a["s"] * a["s"]) / a["s"]
-        return F.when(a["n"] < 8, F.lit(0).cast("bigint")).otherwise(whole(between((F.lit(0.6) - cv) / 0.35, 0.0, 1.0) * 100))
 
-    return let(sums, score)
+
+def variation(sums: Column) -> Column:
+    """Coefficient of variation of sentence lengths."""
+    return F.sqrt(sums["n"] * sums["q"] - sums["s"] * sums["s"]) / sums["s"]
+
+
+def rhythm(lines: Column) -> Column:
+    """Sentence-length uniformity from the coefficient of variation; 0 under eight sentences."""
+    return let(sentence_sums(lines), lambda a: F.when(a["n"] < 8, F.lit(0).cast("bigint")).otherwise(
+        whole(between((F.lit(0.6) - variation(a)) / 0.35, 0.0, 1.0) * 100)))
+
+
+def rhythm_facts(lines: Column) -> Column:
+    """``(count, cv, mean_words)`` of the sentences; the last two NULL under eight."""
+    return let(sentence_sums(lines), lambda a: F.struct(
+        a["n"].cast("bigint").alias("count"), F.when(a["n"] >= 8, F.bround(variation(a), 2)).alias("cv"), F.when(a["n"] >= 8, F.bround(a["s"] / a["n"], 1)).alias("mean_words")))
 
 
 def skeleton_hits(lines: Column, common: Column) -> Column:

@@ -37,6 +37,31 @@ def signal_columns(brand: Column | None = None) -> dict[str, Column]:
     }
 
 
+def evidence_patterns() -> dict[str, list[str]]:
+    """The patterns whose matches a signal counts; ``specificity`` is the counter-signal of ``vagueness``."""
+    named = {name: [C.pattern(name)] for name in ("pressure", "fomo", "loss_aversion", "authority")}
+    return {
+        "stock_phrases": [C.phrase_pattern(fixed.STOCK)], "contrast_frames": [C.pattern("contrast"), C.pattern("split_contrast")],
+        "formula_openers": [C.phrase_pattern(fixed.OPENERS), C.pattern("no_just")], "em_dashes": ["—"], "triads": [C.pattern("triad")],
+        "specificity": [C.pattern("number")], "one_sidedness": [C.phrase_pattern(fixed.BALANCE)], **named}
+
+
+def signal_counts(bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, signal, count, per_1k)`` of every page with enough words; ``bodies`` as for ``score_bodies``."""
+    counted = bodies.withColumn("words", C.english_words(F.col("body")).cast("bigint")).filter(F.col("words") >= fixed.MIN_WORDS)
+    each = [F.struct(F.lit(n).alias("signal"), C.count(F.col("body"), *p).cast("bigint").alias("count")) for n, p in evidence_patterns().items()]
+    rows = counted.select(*keys, "words", F.explode(F.array(*each)).alias("s")).select(*keys, "words", "s.*")
+    return rows.select(*keys, "signal", "count", F.bround(C.rate(F.col("count"), F.col("words")), 1).alias("per_1k"))
+
+
+def signal_examples(bodies: DataFrame, keys: list[str], signals: list[str] | None = None, limit: int = 5) -> DataFrame:
+    """``(keys, signal, place, example)``: the text around the first matches of each signal, in page order."""
+    patterns = {n: p for n, p in evidence_patterns().items() if signals is None or n in signals}
+    found = [F.struct(F.lit(n).alias("signal"), C.snippets(F.col("body"), "|".join(f"(?:{p})" for p in ps), limit).alias("examples")) for n, ps in patterns.items()]
+    rows = bodies.select(*keys, F.explode(F.array(*found)).alias("s"))
+    return rows.select(*keys, "s.signal", F.posexplode("s.examples").alias("place", "example"))
+
+
 def score_bodies(bodies: DataFrame, brand: Column | None = None) -> DataFrame:
     """Subscores and both scores per page; all NULL under 80 words."""
     counted = bodies.withColumn("words", C.english_words(F.col("body")).cast("bigint"))

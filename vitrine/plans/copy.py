@@ -164,6 +164,33 @@ def _(t):
     return scored_pages(t).select("site", "page_no", "words", *BIAS, "marketing_bias")
 
 
+EVIDENCE = {"stock_phrases": "stock", "contrast_frames": "contrast", "formula_openers": "openers", "em_dashes": "dashes", "triads": "triads_n", "specificity": "numbers",
+            "one_sidedness": "balance", "pressure": "pressure_n", "fomo": "fomo_n", "loss_aversion": "loss_n", "authority": "authority_n"}
+
+
+@query("signal_counts", SIGNAL_SQL + f"""
+, u as (select site, page_no, words, unnest([{', '.join(f"{{'signal': '{n}', 'count': {c}}}" for n, c in EVIDENCE.items())}]) as x from raw where words >= 80)
+select site, page_no, x.signal as signal, x.count::bigint as count, round_even(x.count / words * 1000.0, 1) as per_1k from u""")
+def _(t):
+    return K.signal_counts(L.page_bodies(copy_pages(t), ["site"], CHROME), ["site", "page_no"])
+
+
+@query("signal_examples", TEXT_SQL + r"""
+select site, page_no, 'em_dashes' as signal, 0 as place, (case when pos > 40 then '…' else '' end)
+  || trim(regexp_replace(substr(body, greatest(0, pos - 40) + 1, least(length(body), pos + 1 + 40) - greatest(0, pos - 40)), '\s+', ' ', 'g'))
+  || (case when pos + 1 + 40 < length(body) then '…' else '' end) as example from (select *, instr(body, '—') - 1 as pos from b) where pos >= 0""")
+def _(t):
+    return K.signal_examples(L.page_bodies(copy_pages(t), ["site"], CHROME), ["site", "page_no"], ["em_dashes"], 1)
+
+
+@query("rhythm_facts", SIGNAL_SQL + r"""
+select site, page_no, count(*) as count, case when count(*) >= 8 then round_even(sqrt((count(*) * sum(n * n) - sum(n) * sum(n))::double) / sum(n), 2) end as cv,
+  case when count(*) >= 8 then round_even(sum(n)::double / count(*), 1) end as mean_words from sent group by 1, 2""")
+def _(t):
+    rows = L.page_bodies(copy_pages(t), ["site"], CHROME).select("site", "page_no", C.rhythm_facts(F.col("body_lines")).alias("r"))
+    return rows.select("site", "page_no", "r.*").filter(F.col("count") > 0)
+
+
 @query("copy_levels", SIGNAL_SQL + """
 select site, page_no, case when ai_slop is null then 'UNKNOWN' when ai_slop >= 60 then 'HIGH' when ai_slop >= 30 then 'MEDIUM' else 'LOW' end as slop_level,
  case when marketing_bias is null then 'UNKNOWN' when marketing_bias >= 60 then 'HIGH' when marketing_bias >= 30 then 'MEDIUM' else 'LOW' end as bias_level from s""")
