@@ -233,9 +233,10 @@ def labelled_pages(n: int = 60, seed: int = 7) -> list[str]:
         parts = [f"<h1 {M}>{words(2, 9)}</h1>"] if rng.random() < 0.8 else []
         if parts and rng.random() < 0.2:
             parts = [f"<header {M}>{parts[0]}</header>"]
-        for _ in range(rng.randint(1, 9)):
-            kind = rng.random()
-            text = words(1, 2) + "." if rng.random() < 0.15 else sentences(rng.randint(1, 5))
+        short = rng.random() < 0.25
+        for _ in range(rng.randint(1, 2) if short else rng.randint(1, 9)):
+            kind = rng.random() * (0.66 if short else 1)
+            text = words(1, 5) + "." if rng.random() < (0.6 if short else 0.15) else sentences(rng.randint(1, 5))
             if kind < 0.66:
                 parts.append(f"<p {M}>{rng.choice(['', '<b>'])}{text}" + rng.choice(["</p>", "</p>", "<br>"]))
             elif kind < 0.74:
@@ -299,7 +300,7 @@ def labelled_pages(n: int = 60, seed: int = 7) -> list[str]:
         body = "".join(before) + article() + "".join(after) + (bottom() if rng.random() < 0.85 else "")
         if rng.random() < 0.4:
             body = f'<div {rng.choice(["id=page", "class=wrapper", "class=site", ""])}>{body}</div>'
-        out.append(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{body}</body></html>")
+        out.append(body if rng.random() < 0.15 else f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{body}</body></html>")
     return out
 
 
