@@ -163,3 +163,18 @@ def test_first_n_beyond_the_map_side_limit(spark):
     rows = spark.range(5000).selectExpr("id % 2 as site", "id")
     assert first_n(rows, K, [F.col("id")], 1500).groupBy("site").count().collect()[0]["count"] == 1500
     assert first_n(rows, K, [F.col("id")], None).filter("position = 2500").count() == 2
+
+
+def test_content_is_a_folder_per_run(spark, tmp_path):
+    pages = spark.createDataFrame([("s", 1, "home", "Hi", "u1", "text"), ("s", 2, "blog", None, "u2", "more"), ("r", 3, "blog", "", "u3", "x"), ("s", 4, "blog", "B", "u4", "y")],
+                                  "site string, page_no bigint, label string, title string, url string, visible_text string")
+    S.write_content(pages, f"file:{tmp_path}/content", K)
+    rows = spark.read.parquet(f"file:{tmp_path}/content").collect()
+    assert sorted((r.site, r.file) for r in rows) == [("r", "blog"), ("s", "blog"), ("s", "blog-0004"), ("s", "home")]
+    assert [r.value for r in rows if r.file == "home"] == ["# Hi\n\nSource: u1\n\ntext\n"]
+
+
+def test_responses_keep_their_declared_schema(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"url": "https://s.test/", "status": 200, "body": "<p>x</p>", "unknown": 1}\n{"url": "https://s.test/b", "status": "no"}\n')
+    rows = S.read_responses(spark, f"file:{tmp_path}/r.json", "json")
+    assert set(rows.columns) == set(S.RESPONSES.fieldNames()) and sorted((r.url, r.status) for r in rows.collect()) == [("https://s.test/", 200), ("https://s.test/b", None)]

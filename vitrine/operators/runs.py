@@ -19,6 +19,11 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
 
 
+def _newest() -> Column:
+    """Of runs of one moment the greater id counts as newer."""
+    return F.struct("created_at", "run_id")
+
+
 def run_index(manifests: DataFrame, present: DataFrame) -> DataFrame:
     """Crawl manifests that can be read, of runs that still exist."""
     crawls = manifests.filter(F.col("counts").isNotNull() & F.col("created_at").isNotNull())
@@ -30,16 +35,16 @@ def previous_runs(runs: DataFrame, host: str, before=None) -> DataFrame:
     """Earlier crawl runs of a host, newest first; ``www.`` is ignored and reputation-only runs are left out."""
     same = F.regexp_replace("site", r"^www\.", "") == host.removeprefix("www.")
     found = runs.filter(same & ~F.col("command").eqNullSafe("reputation"))
-    return (found.filter(F.col("created_at") < before) if before is not None else found).orderBy(F.desc("created_at"))
+    return (found.filter(F.col("created_at") < before) if before is not None else found).orderBy(F.desc("created_at"), F.desc("run_id"))
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    newest = runs.groupBy("site").agg(F.max_by(F.struct(*[c for c in runs.columns if c != "site"]), "created_at").alias("r"))
+    newest = runs.groupBy("site").agg(F.max_by(F.struct(*[c for c in runs.columns if c != "site"]), _newest()).alias("r"))
     return newest.select("site", "r.*")
 
 
 def site_list(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("site").agg(F.count("*").alias("runs"), F.max_by("run_id", "created_at").alias("newest_run"),
+    return runs.groupBy("site").agg(F.count("*").alias("runs"), F.max_by("run_id", _newest()).alias("newest_run"),
                                     F.max("created_at").alias("created_at")).orderBy(F.desc("created_at"))
 
 
@@ -47,7 +52,7 @@ def standalone_reputation(runs: DataFrame, reputation: DataFrame) -> DataFrame:
     """Each crawl with its own reputation scores, or those of the site's newest reputation-only run."""
     alone = runs.filter(F.col("command") == "reputation").select("site", "run_id", "created_at").join(
         reputation.select("run_id", "scores"), "run_id").groupBy("site").agg(
-        F.max_by(F.struct("run_id", "scores"), "created_at").alias("stand_in"))
+        F.max_by(F.struct("run_id", "scores"), _newest()).alias("stand_in"))
     crawls = runs.filter(F.col("command") != "reputation").join(reputation.select("run_id", "scores"), "run_id", "left")
     return crawls.join(alone, "site", "left").select(
         "site", "run_id", F.coalesce("scores", "stand_in.scores").alias("scores"),

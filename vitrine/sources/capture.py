@@ -65,11 +65,17 @@ def read_bundle_json(spark: SparkSession, expected: DataFrame, folder: str, sche
     return expected.join(data, "file", "left").select("file", state.alias("state"), F.when(state == "ok", F.col("data")).alias("data"))
 
 
+def by_run(rows: DataFrame, keys: list[str], rows_per_file: int = 1_000_000):
+    """A Parquet writer with one folder per run: rows of a run meet first, in pieces that Spark evens out, and files stay small
+    enough to be hashed whole."""
+    return rows.hint("rebalance", *keys).write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).partitionBy(*keys)
+
+
 def write_bundle(tables: dict[str, DataFrame], folder: str, keys: tuple[str, ...] = ("site", "run_id")) -> DataFrame:
     """Each table as Parquet partitioned by its keys; refuses a folder that has data. Returns the manifest rows."""
     spark = next(iter(tables.values())).sparkSession
     for name, rows in tables.items():
-        rows.write.mode("errorifexists").partitionBy(*keys).parquet(f"{folder}/{name}")
+        by_run(rows, list(keys)).parquet(f"{folder}/{name}")
     manifest = artifacts(stored_files(spark, [f"{folder}/{name}" for name in tables]), folder)
     manifest.write.mode("errorifexists").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -101,9 +107,9 @@ def content_names(pages: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_content(pages: DataFrame, folder: str, keys: list[str]) -> None:
-    """Readable text per page, partitioned by run and file name."""
+    """Readable text per page as Parquet: a folder per run, the file name a page would have as the column ``file``."""
     text = F.concat(F.lit("# "), F.coalesce(F.nullif("title", F.lit("")), "url"), F.lit("\n\nSource: "), "url", F.lit("\n\n"), "visible_text", F.lit("\n"))
-    content_names(pages, keys).select(*keys, "file", text.alias("value")).write.mode("errorifexists").partitionBy(*keys, "file").text(folder)
+    by_run(content_names(pages, keys).select(*keys, "file", text.alias("value")), keys).parquet(folder)
 
 
 def redirect_report(responses: DataFrame, keys: list[str]) -> DataFrame:
