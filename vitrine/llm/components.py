@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import stored
+from ..session import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,13 +24,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)`` of every node in ``edges``: ``root`` is the least node that can be reached.
 
     Each round joins rows to the least neighbour of their node, which is a partial aggregate, so a node with very many
-    neighbours is no group of one task. A round is written to the shared folder before the next; rounds end when nothing
+    neighbours is no group of one task. A round is written to the shared folder before the next and the one before it deleted; rounds end when nothing
     changes and grow with the logarithm of the longest path. Loops count as a node alone; no edges give no rows.
     """
-    now = stored(edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).dropna().filter("a <> b").distinct(), "edges")
+    now = cut(edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).dropna().filter("a <> b").distinct())
     mark = None
     while True:
-        now = stored(_small_star(_large_star(now)), "edges")
+        now = cut(_small_star(_large_star(now)), replaces=now)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == mark:
             break
