@@ -94,13 +94,6 @@ def test_repeated_windows(spark, seed):
     assert sorted(map(tuple, found), key=repr) == brute_dedup(rows)
 
 
-def test_windows_compared_in_a_shuffle_give_the_same(spark, monkeypatch):
-    rows = corpus(5)
-    monkeypatch.setattr(repeats, "BROADCAST_ROWS", -1)
-    found = repeats.dedup(spark.createDataFrame([(*r, "x", None) for r in rows], SCHEMA)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert sorted(map(tuple, found), key=repr) == brute_dedup(rows)
-
-
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert repeats.dedup(none).count() == 0 and simhash.near_duplicates(none).count() == 0

@@ -22,17 +22,17 @@ WINDOW = 13
 #: Words of a leading run.
 LEAD = 3
 _BASE = U(0xA24BAED4963EE407)
-#: Rows of the branching keys up to which they are sent to every executor; more of them meet their windows in a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of text whose words are arrays at a time: some fifty bytes of arrays for each.
+ARRAY_BYTES = 1 << 20
 
 
-def text_marks(words: Words, n_texts: int) -> np.ndarray:
+def text_marks(words: Words) -> np.ndarray:
     """28 bits of each text's word sequence: they tell apart texts that share an id."""
     return run_hashes(words.hashes, words.first[:-1], words.first[1:], _BASE) >> U(36)
 
 
-def stretches(words: Words, n_texts: int, k: int = WINDOW, lead: int = LEAD):
-    """Per stretch: text number, first window (as word number in the text), number of windows, key, content, and all window hashes.
+def stretches(words: Words, k: int = WINDOW, lead: int = LEAD):
+    """Per stretch: text number, first window (as word number in the text), number of windows, key and content.
 
     A window's leading run is the ``lead`` words around its longest middle word, ties by hash, the first of equals; windows
     with equal words have equal leading runs, so equal passages fall into the same stretches except at their ends.
@@ -40,7 +40,7 @@ def stretches(words: Words, n_texts: int, k: int = WINDOW, lead: int = LEAD):
     whole = words.whole(k)
     empty = np.zeros(0, np.int64)
     if not whole.any():
-        return empty, empty, empty, empty.astype(U), empty.astype(U), empty.astype(U), empty
+        return empty, empty, empty, empty.astype(U), empty.astype(U)
     runs = words.windows(lead)
     length = np.minimum(words.end - words.start, 255).astype(np.uint64)[lead // 2:lead // 2 + len(runs)]
     order = ((U(255) - length) << U(56)) | (runs >> U(8))
@@ -59,10 +59,9 @@ def stretches(words: Words, n_texts: int, k: int = WINDOW, lead: int = LEAD):
     new[1:] = (at[valid[1:]] != at[valid[:-1]]) | (valid[1:] != valid[:-1] + 1)
     first = valid[new]
     size = np.diff(np.append(np.flatnonzero(new), len(valid)))
-    key = runs[at[first]]
     content = mixed(run_hashes(words.hashes, first, first + size + k - 1, _BASE) + (at[first] - first).astype(np.uint64))
     doc = words.doc[first]
-    return doc, first - words.first[doc], size, key, content, words.windows(k), first
+    return doc, first - words.first[doc], size, runs[at[first]], content
 
 
 # ``at`` packs the text's mark (28 bits), the first window (31 bits) and the number of windows (4 bits).
@@ -70,45 +69,59 @@ def _packed(mark, pos, size):
     return ((mark.astype(np.int64) << 35) | (pos.astype(np.int64) << 4) | size).astype(np.int64)
 
 
-def _rows(docs: DataFrame, k: int, with_windows: bool) -> DataFrame:
-    fields = [("m", pa.int64()), ("k", pa.int64()), ("at", pa.int64())] + ([("hs", pa.list_(pa.int64()))] if with_windows else [("s", pa.int64())])
-    schema = pa.schema(fields)
+def _rows(docs: DataFrame, k: int) -> DataFrame:
+    """``(m, k, at, s)``: every stretch with its key and content."""
+    schema = pa.schema([("m", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("s", pa.int64())])
 
     def run(batches):
-        for part in slices(batches, limit=1 << 20):
+        for part in slices(batches, limit=ARRAY_BYTES):
             w = Words(texts(part))
-            doc, pos, size, key, content, windows, first = stretches(w, part.num_rows, k)
+            doc, pos, size, key, content = stretches(w, k)
             ids = part.column("k").to_numpy(zero_copy_only=False)
-            at = _packed(text_marks(w, part.num_rows)[doc], pos, size)
-            if with_windows:
-                ends = np.cumsum(np.append(0, size))
-                flat = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
-                last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(windows[flat].view(np.int64)))
-            else:
-                last = pa.array(content.view(np.int64))
-            yield made(schema, pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(at), last)
+            yield made(schema, pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(_packed(text_marks(w)[doc], pos, size)), pa.array(content.view(np.int64)))
 
-    kinds = {"m": "bigint", "k": "bigint", "at": "bigint", "s": "bigint", "hs": "array<bigint>"}
-    return docs.filter("k is not null").mapInArrow(run, ", ".join(f"{f.name} {kinds[f.name]}" for f in schema))
+    return docs.filter("k is not null").mapInArrow(run, "m bigint, k bigint, at bigint, s bigint")
+
+
+def _windows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``(h, g, k, at)``: hashes of 64 and 32 bits of every single window in the wanted stretches ``(k, at)``, from the texts they lie in."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("k", pa.int64()), ("at", pa.int64())])
+    per_doc = wanted.groupBy("k").agg(F.collect_list("at").alias("ats"))
+
+    def run(batches):
+        for part in slices(batches, limit=ARRAY_BYTES):
+            w = Words(texts(part))
+            lists = part.column("ats")
+            doc = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+            at = lists.flatten().to_numpy()
+            mark = text_marks(w).astype(np.int64)[doc]
+            own = (at >> 35) & 0xFFFFFFF == mark
+            doc, at = doc[own], at[own]
+            size, pos = at & 15, (at >> 4) & 0x7FFFFFFF
+            before = np.cumsum(np.append(0, size))
+            each = np.repeat(np.arange(len(at)), size)
+            step = np.arange(before[-1]) - before[each]
+            first = w.first[doc[each]] + pos[each] + step
+            h, g = w.windows(k)[first], (run_hashes(w.hashes, first, first + k, _BASE) >> U(32)).astype(np.uint32)
+            ids = part.column("k").to_numpy()
+            yield made(schema, pa.array(h.view(np.int64)), pa.array(g.view(np.int32)), pa.array(ids[doc[each]]), pa.array((at[each] & -16) + step * 16 + 1))
+
+    return docs.join(per_doc, "k").mapInArrow(run, "h bigint, g int, k bigint, at bigint")
 
 
 def repeated(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """``(k, at, n, source)``: stretches of ``n`` windows of document ``k`` that start in the earlier document ``source`` too.
+    """``(k, at, source)``: stretches of document ``k`` all of whose windows start in the earlier document ``source`` too.
 
     ``docs`` has the columns ``k`` (id) and ``t`` (text). Hot keys are pre-aggregated before the shuffle, and joins back to the
-    occurrences can be split by Spark.
+    occurrences can be split by Spark. Texts are shuffled once for the windows of branching stretches.
     """
-    keys = _rows(docs, k, False).groupBy("m").agg(F.min("k").alias("source"), F.max("k").alias("last"), (F.min("s") != F.max("s")).alias("branching"))
+    keys = _rows(docs, k).groupBy("m").agg(F.min("k").alias("source"), F.max("k").alias("last"), (F.min("s") != F.max("s")).alias("branching"))
     keys = stored(keys.filter("source < last").drop("last"), "keys")
-    paths = _rows(docs, k, False).join(keys.filter("not branching").drop("branching"), "m").filter("k > source").select("k", "at", "source")
-    branching = keys.filter("branching").select("m")
-    if branching.count() <= BROADCAST_ROWS:
-        branching = F.broadcast(branching)
-    windows = _rows(docs, k, True).join(branching, "m").select("m", "k", "at", F.posexplode("hs").alias("i", "h"))
-    windows = stored(windows.select("m", "h", "k", (F.col("at").bitwiseAND(F.lit(-16)) + F.col("i") * 16 + 1).alias("at")), "windows")
-    sources = windows.groupBy("m", "h").agg(F.min("k").alias("source"), F.max("k").alias("last")).filter("source < last").drop("last")
-    single = windows.join(sources, ["m", "h"]).filter("k > source").select("k", "at", "source")
-    return paths.union(single)
+    met = stored(_rows(docs, k).select("m", "k", "at").join(keys, "m").filter("branching or k > source").drop("m"), "met")
+    windows = stored(_windows(docs, met.filter("branching").select("k", "at"), k), "windows")
+    sources = windows.groupBy("h", "g").agg(F.min("k").alias("source"), F.max("k").alias("last")).filter("source < last").drop("last")
+    single = windows.join(sources, ["h", "g"]).filter("k > source").select("k", "at", "source")
+    return met.filter("not branching").select("k", "at", "source").union(single)
 
 
 def spans(found: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int]]:
@@ -131,7 +144,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     A word goes when a window of ``k`` words over it also starts in a document with a smaller id; windows are judged on the
     input. ``kept`` is the words left, joined by one space (null unless ``with_text``), ``n_spans`` the repeated spans after
-    compaction. Content is compared by two 64-bit hashes of the words at its place (key and content, or key and window). Null
+    compaction. Content is compared by hashes of the words at its place: key and content of 64 bits each, or 96 bits of a single window. Null
     and empty texts have no words; rows with one id are one document and never judge each other; rows with a null id keep all
     words and are no source; no rows give no rows; other columns are ignored, but those named in ``carry`` come along as the
     struct ``row``.
@@ -141,9 +154,9 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     per_doc = repeated(given, k).groupBy("k").agg(F.collect_list(F.struct("at", "source")).alias("found"))
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=ARRAY_BYTES):
             all_texts, counts, removed, n_spans, kept = texts(part), [], [], [], []
-            marked = text_marks(Words(all_texts), len(all_texts)).tolist()
+            marked = text_marks(Words(all_texts)).tolist()
             for t, mark, found in zip(all_texts, marked, part.column("found").to_pylist()):
                 words = t.encode().split()
                 joined = spans([((x["at"] >> 4) & 0x7FFFFFFF, x["at"] & 15, x["source"]) for x in found or [] if (x["at"] >> 35) & 0xFFFFFFF == mark], k)
