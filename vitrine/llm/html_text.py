@@ -333,3 +333,13 @@ def extract(pages: DataFrame, model: TreeModel | None = None, id_column: str = "
 
     given = pages.select(F.col(id_column).cast("bigint").alias("k"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("t"))
     return given.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+
+
+#: For the given pages only: their articles are marked as such, so SQL can cut them out without a model.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1) AS x FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '<[^>]*\z', '') AS x FROM a),
+u AS (SELECT page_id, url, replace(replace(replace(replace(x, '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>') AS x FROM t),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM u)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""

@@ -25,7 +25,7 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.dedup(documents(spark, folder), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+    return repeats.dedup(documents(spark, folder), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,5 +63,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 for _query in (op1_html_text, op2_repeats, op3_decontaminate, op4_sentencepiece, op5_simhash, op6_token_counts, op7_token_store, op8_toxicity, op9_licenses, op10_quality):
     RUN[_query.__name__] = _query
 
+SQL["op1_html_text"] = html_text.ORACLE
+SQL["op2_repeats"] = repeats.ORACLE
 SQL["op3_decontaminate"] = decontaminate.ORACLE
 SQL["op9_licenses"] = licenses.oracle()

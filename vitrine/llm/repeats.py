@@ -180,3 +180,15 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = dedup(docs, id_column, text_column, k, carry=docs.columns)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.{text_column}"))
     return found.select(*[text.alias(c) if c == text_column else F.col(f"row.{c}").alias(c) for c in docs.columns])
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13),
+g AS (SELECT rid, doc_id, p, array_to_string(w[p:p + 12], ' ') AS t FROM p),
+f AS (SELECT t, min(doc_id) AS first FROM g GROUP BY t),
+r AS (SELECT DISTINCT rid, unnest(range(p, p + 13)) AS q FROM g JOIN f USING (t) WHERE first < doc_id),
+v AS (SELECT rid, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word FROM d),
+k AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS kept FROM v ANTI JOIN r USING (rid, q) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
