@@ -104,5 +104,6 @@ def test_citation_limit_keeps_the_rest_as_not_checked(spark):
     rows = spark.createDataFrame([("a", 1, "q", [(f"https://p{i}.test/", "T") for i in range(50)])], "site string, answer_id int, prompt string, sources array<struct<url:string,title:string>>")
     profile = spark.createDataFrame([("a", "acme.test", [], [], [])], "site string, domain string, names array<string>, people array<string>, profiles array<string>")
     bodies = spark.createDataFrame([], "url string, allowed boolean, status int, content_type string, text string, links array<string>")
-    counts = {r.status: r["count"] for r in CI.citation_check(V.cited_pages(rows, ["site"]), bodies, profile, ["site"]).groupBy("status").count().collect()}
+    counts = {r.status: r["count"] for r in CI.citation_check(V.cited_pages(rows, ["site"]), bodies, profile, ["site"], 40).groupBy("status").count().collect()}
     assert counts == {"unreachable": 40, "not_checked": 10}
+    assert CI.citation_check(V.cited_pages(rows, ["site"]), bodies, profile, ["site"]).filter("status = 'unreachable'").count() == 50

@@ -11,15 +11,15 @@ def positions(rows: DataFrame, keys: list[str], order: list[Column], name: str =
     """``row_number`` per group without ever holding a group in one task.
 
     Rows are range-partitioned by key and order, numbered inside their partition, and shifted by the number of rows of
-    the same group in earlier partitions. The range partitions are written first, so a lost executor cannot move a row
-    between the numbering and the counting. ``order`` must be total.
+    the same group in earlier partitions. The numbered rows are written first and counted from there, so a lost executor
+    cannot move a row between the numbering and the counting. ``order`` must be total.
     """
     by_key = [F.col(k) for k in keys]
-    placed = cut(rows.repartitionByRange(*by_key, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
+    placed = rows.repartitionByRange(*by_key, *order).withColumn("_part", F.spark_partition_id())
+    local = cut(placed.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))))
+    sizes = local.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
     return local.join(shift, [*keys, "_part"]).withColumn(name, F.col("_local") + F.col("_shift")).drop("_part", "_local", "_shift")
 
 
