@@ -9,7 +9,7 @@ from ..operators import copy_scores as K, lines as L, pages as P
 from ..session import cut
 from ..sources.html import parse_html
 from .registry import query
-from .urls import HOST, site_pages
+from .urls import HOST, VISIBLE_SQL, site_pages
 
 CHROME = 0.02  # The commonest lines of these documents are on 2% of them.
 OPENINGS = 0.05  # And the commonest line openings on 5%.
@@ -232,7 +232,16 @@ def _(t):
     return K.top_pages(scored_pages(t), ["site"], "page_no")
 
 
-@query("page_copy_top")
+PAGE_COPY_SQL = VISIBLE_SQL.replace("\nl as (", "\nraw_lines as (") + rf""",
+texts as (select page_id, string_agg(line, chr(10) order by n) as text from (select page_id, n, trim(regexp_replace(line, '\s+', ' ', 'g')) as line from raw_lines) where line <> '' group by 1),
+d as (select {HOST} as site, p.page_id as page_no, '' as label, coalesce(text, '') as visible_text from pages p left join texts using (page_id)),
+""" + LONG_SQL[LONG_SQL.index("n as (select site, count(*) as pages"):].replace(f"{CHROME} * n.pages", f"{fixed.CHROME_SHARE} * n.pages").replace(
+    f"{OPENINGS} * n.pages", f"{fixed.SKELETON_SHARE} * n.pages")
+
+
+@query("page_copy_top", PAGE_COPY_SQL + """
+select site, score_name, page_no, score, position from (select *, row_number() over (partition by site, score_name order by score desc, page_no) as position
+  from long where score is not null) where position <= 10""")
 def _(t):
     """The whole way from HTML: parse, drop shared lines, score, rank per site."""
     # Parsing is the dear step and its result is read several times, so it is written once.
