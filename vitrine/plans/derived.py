@@ -89,7 +89,8 @@ def captured(t):
              ("x-frame-options", F.lit("DENY"), k % 4 == 0), ("set-cookie", F.when(k % 8 == 0, "a=1; Secure; HttpOnly").otherwise("a=1; samesite=lax"), k % 4 == 0),
              ("x-robots-tag", F.lit("NOINDEX"), k % 17 == 0)]
     headers = F.map_from_entries(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n), v)) for n, v, c in pairs])))
-    return t.pages.select(
+    # The given table is one block of one file; dealt by page it is as many tasks as any other input.
+    return t.pages.repartition("page_id").select(
         host(url).alias("site"), k.alias("page_no"), url.alias("url"), html.alias("html"), headers.alias("headers"), (k % 4).cast("int").alias("depth"),
         F.when(k % 19 == 0, 503).otherwise(200).alias("status"), F.when(k % 19 == 0, "HTTP 503").alias("error"), (k % 23 == 0).alias("truncated"))
 
