@@ -152,7 +152,11 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Of repeated rows with that id one stays; rows without an id all stay, because nothing tells them apart.
     """
-    classes = near_duplicates(docs, id_column, text_column, **options)
+    return least_of_class(docs, near_duplicates(docs, id_column, text_column, **options), id_column, text_column)
+
+
+def least_of_class(docs: DataFrame, classes: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when of each class ``(doc_id, component_id)`` the document with the least id stays."""
     least = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
     kept = docs.join(least, F.col(id_column).cast("bigint") == F.col("_least"))
     once = Window.partitionBy("_least").orderBy(F.xxhash64(F.col(text_column)), F.col(text_column))
