@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .fixed_values import LICENSE_TEXTS, SPELLINGS
 
-#: A line that only says whose copyright it is.
+#: A line that only says whose copyright it is, as the SQL has it.
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright |\(c\)|©)[^\n]*"
+#: The same for the scan: the word, mark or (c) before a year, mark or (c), or a line "Copyright <name>" that is a paragraph of its own.
+_OWNED = (r"(?md)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*[:,]?[ \t]*(?:\(c\)|©|[\[<{(]?(?:\d{4}|yyyy|year)\b)|\(c\)[ \t]*(?:copyright\b|[\[<{(]?(?:\d{4}|yyyy|year)\b)|©)[^\n]*"
+          r"|(?:(?<=\n[ \t]{0,9}\n)|\A)[^\p{L}\p{N}\n]*copyright (?!notice|holder|owner|law|license|licence|and |or |is |in |protect|infring)[^\n]{1,100}(?=\s*?\n[ \t]*\n|\s*\z)")
 _PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical(text: Column) -> Column:
     """Lower case, copyright lines out, spellings made equal, everything but letters, digits and line ends one space."""
-    out = F.regexp_replace(F.lower(text), _COPYRIGHT.replace("(?m)", "(?md)"), "")
+    out = F.regexp_replace(F.lower(text), _OWNED, "")
     for pattern, new in SPELLINGS:
         out = F.regexp_replace(out, pattern, new) if pattern[0] == "[" else F.replace(out, F.lit(pattern), F.lit(new))
     return F.regexp_replace(out, _PUNCTUATION, " ")
