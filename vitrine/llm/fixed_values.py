@@ -35,7 +35,8 @@ ATTRIBUTE_WORDS = {
 }
 
 #: Elements that stay inside a line of text. Fixed values.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source map area audio video track embed param".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source map area audio video track embed param".split()) | set(
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction".split())
 #: Elements without an end tag. Fixed values.
 VOID = set("area base br col embed hr img input link meta param source track wbr frame keygen".split())
 #: Elements whose start ends an open paragraph. Fixed values.

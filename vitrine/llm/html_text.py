@@ -18,8 +18,9 @@ from .frames import made, slices
 # Comments and elements whose content is no text; tags; other markup; a tag cut off by the end.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|math|iframe|object|canvas|textarea|select|title|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<svg(?=[\s/>])[^>]*/>"
+    r"|<(script|style|template|noscript|svg|annotation|annotation-xml|iframe|object|canvas|textarea|select|title|xmp|noembed|noframes)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>"
     r"|<[!?/][^>]*>"
     r"|<[a-zA-Z/!?][^>]*\Z", re.S | re.I)
