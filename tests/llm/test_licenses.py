@@ -23,3 +23,13 @@ def test_wrapped_texts_keep_lines_that_begin_with_copyright(spark):
     isc = LICENSE_TEXTS[1][1]
     for line in ("Copyright A. Name", "© A. Name", "Copyright 2020 A. Name", "(c) 2020 A. Name", "Copyright [yyyy] [name]"):
         assert scanned(spark, [f"{line}\n\n{isc}"])[0][0] == "ISC"
+
+
+def test_whole_texts_with_titles_and_blank_lines(spark):
+    mit = LICENSE_TEXTS[0][1].replace("\n", "\n\n")
+    whole = licenses.whole_texts()
+    got = scanned(spark, [f"MIT License\n\nCopyright (c) 2020 A. Name\n\n{mit}", f"Some words before.\n\n{mit}\n\nSome words after.", *[t for _, t in whole], *[f"before\n\n{t}\n\nafter" for _, t in whole[3:]]])
+    assert got[0][0] == "MIT" and got[1] == (None, 1, "MIT")
+    assert [r[0] for r in got[2:2 + len(whole)]] == [n for n, _ in whole]
+    assert all(n in notices.split(",") for (n, _), (_, _, notices) in zip(whole[3:], got[2 + len(whole):]))
+    assert {"BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Unlicense"} <= {n for n, _ in whole}

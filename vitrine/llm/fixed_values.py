@@ -86,3 +86,16 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC0-1.0", "Licensed under CC0 1.0."),
     ("All-Rights-Reserved", "All rights reserved."),
 ]
+
+#: Licences whose whole text is a file of ``license_texts``. Fixed values.
+LICENSE_FILES = "Apache-2.0 BSD-2-Clause BSD-3-Clause CC0-1.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 MPL-2.0 Unlicense".split()
+
+#: Lines that may stand above a whole text. Fixed values.
+LICENSE_TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng license"],
+    "BSD-2-Clause": ["All rights reserved.", "BSD 2-Clause License", "BSD 2-Clause License\nAll rights reserved.", "Simplified BSD License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["All rights reserved.", "BSD 3-Clause License", "BSD 3-Clause License\nAll rights reserved.", "New BSD License", "The BSD 3-Clause License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .fixed_values import LICENSE_TEXTS, SPELLINGS
+from .fixed_values import LICENSE_FILES, LICENSE_TEXTS, LICENSE_TITLES, SPELLINGS
 
 #: A line that only says whose copyright it is, as the SQL has it.
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright |\(c\)|©)[^\n]*"
@@ -26,27 +29,72 @@ def _one_line(canon: Column) -> Column:
     return F.trim(F.regexp_replace(canon, r"[ \n]+", " "))
 
 
-def known_digests(spark: SparkSession, texts=LICENSE_TEXTS) -> DataFrame:
+def whole_texts() -> list[tuple[str, str]]:
+    """Known texts of more than one line: name, text. Lists of conditions stand with numbers and with bullets."""
+    out = [(name, text) for name, text in LICENSE_TEXTS if "\n" in text]
+    for name in LICENSE_FILES:
+        text = pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+        out.append((name, text))
+        if name.startswith("BSD"):
+            numbers = iter(range(1, 9))
+            out.append((name, re.sub(r"(?m)^ *\d\. ", "* ", text) if re.search(r"(?m)^ *\d\. ", text) else re.sub(r"(?m)^ *\* ", lambda _: f"{next(numbers)}. ", text)))
+    return out
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """Every known text, whole texts also below each of their usual titles."""
+    whole = whole_texts()
+    return [*LICENSE_TEXTS, *whole, *[(name, f"{title}\n{text}") for name, text in whole for title in LICENSE_TITLES.get(name, [])]]
+
+
+def starts(spark: SparkSession) -> dict[str, int]:
+    """Digest of the first paragraph of each whole text, and the most blocks that the text may be cut into by empty lines."""
+    rows = []
+    for name, text in whole_texts():
+        first = re.split(r"\n\s*\n", text.strip())[0] if re.search(r"\n\s*\n", text.strip()) else text.split("\n")[0]
+        n = sum(1 for line in text.split("\n") if line.strip())
+        rows += [(n, first), *[(n, f"{title}\n{first}") for title in LICENSE_TITLES.get(name, [])]]
+    found = spark.createDataFrame(rows, "n int, text string").groupBy(F.md5(_one_line(canonical(F.col("text")))).alias("d")).agg(F.max("n"))
+    return {r[0]: r[1] for r in found.collect()}
+
+
+def known_digests(spark: SparkSession, texts=None) -> DataFrame:
     """``(license, digest)`` of the known texts, each digest once (the first name in order wins a tie)."""
+    texts = known_texts() if texts is None else texts
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "i int, license string, text string")
     digests = rows.select("i", "license", F.md5(_one_line(canonical(F.col("text")))).alias("digest"))
     return digests.groupBy("digest").agg(F.min_by("license", "i").alias("license"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text",
+         first: dict[str, int] | None = None) -> DataFrame:
     """``(doc_id, license, n_notices, notices)`` of every row.
 
     ``license`` names the known text that the whole text is (null if none). A document may also carry known texts inside: its
     lines, and its blocks of lines between empty lines, are entire texts looked up the same way; ``n_notices`` counts those
     found, ``notices`` their names, sorted and comma-joined (a block of one line is looked up as a line only, and the whole
     text is no block). Null, empty and punctuation-only texts match nothing; repeated rows are scanned each; a null id like
-    any other; other columns are ignored. The known texts are joined by digest and may be a table of any size.
+    any other; other columns are ignored. Runs of two and more neighbouring blocks, but not the whole text, are looked up from
+    each block that is the first paragraph of a known whole text (``first``: its digest and the most blocks). The known texts are joined by digest and may be a table of any size.
     """
+    first = first if first is not None else starts(docs.sparkSession) if known is None else {}
     known = known if known is not None else known_digests(docs.sparkSession)
     text = F.col(text_column).cast("string")
     given = docs.select(F.col(id_column).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), canonical(text).alias("c"))
     lines = F.transform(F.split("c", "\n"), lambda x: F.struct(F.lit(1).alias("level"), F.trim(x).alias("unit")))
     blocks = F.transform(F.filter(F.split("c", r"\n[ \n]*\n"), lambda x: F.instr(F.trim(F.trim(F.trim(x), F.lit("\n"))), "\n") > 0), lambda x: F.struct(F.lit(2).alias("level"), _one_line(x).alias("unit")))
+    if first:
+        longest = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+        paragraphs = F.filter(F.transform(F.split("c", r"\n[ \n]*\n"), _one_line), lambda x: x != "")
+        at = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("i"), F.try_element_at(longest, F.md5(x)).alias("m"))), lambda x: x.m.isNotNull())
+
+        def runs(x):
+            most = F.least(x.m, F.size("p") - x.i)
+            lengths = F.when(most >= 2, F.sequence(F.lit(2), most)).otherwise(F.array().cast("array<int>"))
+            return F.transform(F.filter(lengths, lambda r: r < F.size("p")), lambda r: F.struct(F.lit(3).alias("level"), F.concat_ws(" ", F.slice(F.col("p"), x.i + 1, r)).alias("unit")))
+
+        given = given.withColumn("p", paragraphs)
+        blocks = F.concat(F.coalesce(blocks, F.array().cast("array<struct<level:int,unit:string>>")), F.coalesce(F.flatten(F.transform(at, runs)), F.array().cast("array<struct<level:int,unit:string>>")))
     whole = F.array(F.struct(F.lit(0).alias("level"), _one_line(F.col("c")).alias("unit")))
     units = given.select("k", "h", F.size(F.split("c", r"\n[ \n]*\n")).alias("n_blocks"), F.explode(F.concat(whole, lines, F.coalesce(blocks, F.array().cast("array<struct<level:int,unit:string>>")))).alias("u"))
     units = units.filter("u.unit <> '' and (u.level < 2 or n_blocks > 1)").select("k", "h", "u.level", F.md5("u.unit").alias("digest"))
