@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, licenses, pieces, quality, repeats, simhash, token_counts, token_store, toxicity
+from . import centroids, decontaminate, html_text, languages, licenses, negatives, pieces, quality, repeats, simhash, token_counts, token_store, toxicity
 from .frames import documents
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,10 +60,27 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(documents(spark, folder), documents(spark, folder, "labels")).drop("n_lines")
 
 
-for _query in (op1_html_text, op2_repeats, op3_decontaminate, op4_sentencepiece, op5_simhash, op6_token_counts, op7_token_store, op8_toxicity, op9_licenses, op10_quality):
+def op11_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.identified(documents(spark, folder))
+
+
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % negatives.EVERY == 0)
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clustered(documents(spark, folder, "embeddings"))
+
+
+for _query in (op1_html_text, op2_repeats, op3_decontaminate, op4_sentencepiece, op5_simhash, op6_token_counts, op7_token_store, op8_toxicity, op9_licenses, op10_quality,
+               op11_languages, op12_negatives, op13_centroids):
     RUN[_query.__name__] = _query
 
 SQL["op1_html_text"] = html_text.ORACLE
 SQL["op2_repeats"] = repeats.ORACLE
 SQL["op3_decontaminate"] = decontaminate.ORACLE
 SQL["op9_licenses"] = licenses.oracle()
+SQL["op12_negatives"] = negatives.ORACLE
+SQL["op13_centroids"] = centroids.oracle()
