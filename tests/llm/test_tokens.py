@@ -63,6 +63,20 @@ def test_packed_ids_come_back_in_order(spark):
     assert one[0]["ids"] == [*tok.encode(ODD[5], add_special_tokens=False).ids, 2]
 
 
+def test_words_of_any_kind_with_a_table_that_forgets():
+    lib, counts = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeéßÉthn") for _ in range(rng.choice([1, 2, 5, 9, 24, 25, 40]))) + rng.choice(["", "", ".", "!!", "$$$", "'s", "-x"]) for _ in range(800)]
+    given = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(120)] + ["<|ENDOFTEXT|> a", "A<|EndOfText|>b", "##  ..", "ªº µ ½"]
+    bare, spaced = memo.BareWords(WORDS), memo.SpacedWords(BYTES)
+    bare.memo.limit = spaced.memo.limit = 40_000
+    for i in range(0, len(given), 10):
+        some = given[i:i + 10]
+        assert [np.frombuffer(x, "<u4").tolist() for x in bare.encode(some)] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+        assert spaced.count(some) == [len(counts.encode(t, add_special_tokens=False).ids) for t in some]
+    assert len(bare.memo.young) + len(bare.memo.old) < 400
+
+
 @pytest.mark.parametrize("bits", range(1, 33))
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000, dtype=np.uint64).astype("<u4")

@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .frames import keyed, made, slices, texts
-from .memo import REMEMBERED
+from .memo import Memo
 
 MARK = "▁"
-UNKNOWN = -1
+#: Bytes of words that a worker remembers, and pairs of pieces of which it knows whether one may follow the other (about 200 bytes each).
+TABLE_BYTES, PAIRS = 48 << 20, 200_000
 
 
 class PieceModel:
@@ -92,7 +93,7 @@ class PieceModel:
                 limit, left = a, halves[left][1]
             else:  # of two merges of one rank the left one is taken first, so the right one is undone first
                 limit, right = b + 0.5, halves[right][0]
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) >= PAIRS:
             self.follows.clear()
         self.follows[key] = good
         return good
@@ -147,11 +148,19 @@ _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 class Pieces:
     """Ids of whole texts: distinct marked words of a slice that are not remembered are segmented together."""
 
-    def __init__(self, path: str, limit: int = REMEMBERED):
-        self.model, self.memo, self.limit = model(path), {}, limit
+    def __init__(self, path: str, limit: int = TABLE_BYTES):
+        self.model = model(path)
+        self.memo = Memo(self._segmented, limit)
+
+    def _segmented(self, units: list[str]) -> list[bytes]:
+        found = self.model.segment([MARK + u for u in units])
+        return [np.array(found[MARK + u], "<u4").tobytes() for u in units]
 
     def encode(self, all_texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids per text."""
+        if not self.model.marks_lead:
+            whole = self.model.segment(sorted({MARK + t.replace(" ", MARK) for t in all_texts if t}))
+            return [np.array(whole[MARK + t.replace(" ", MARK)] if t else [], "<u4").tobytes() for t in all_texts]
         units = []
         for t in all_texts:
             if not t:
@@ -160,17 +169,7 @@ class Pieces:
                 units.append([u[1:] for u in _UNIT.findall(MARK + t.replace(" ", MARK))])
             else:
                 units.append(t.split(" "))
-        table = self.memo
-        if len(table) > self.limit:
-            table.clear()
-        new = {u for us in units for u in us}.difference(table)
-        if self.model.marks_lead:
-            for word, ids in self.model.segment([MARK + u for u in new]).items():
-                table[word[1:]] = np.array(ids, "<u4").tobytes()
-            get = table.__getitem__
-            return [b"".join(map(get, us)) for us in units]
-        whole = self.model.segment(sorted({MARK + t.replace(" ", MARK) for t in all_texts if t}))
-        return [np.array(whole[MARK + t.replace(" ", MARK)] if t else [], "<u4").tobytes() for t in all_texts]
+        return [b"".join(vs) for vs in self.memo.values(units)]
 
 
 @functools.cache

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .fixed_values import IDENTITY_TERMS
 from .frames import keyed, made, slices, stored, texts
-from .memo import REMEMBERED
 
 #: Labelled rows a model is fitted on, per class: those with the least hash of their id. A bound, not a share.
 SAMPLE_ROWS = {1: 4000, 0: 8000}
 #: Features kept, and the toxic rows of the sample that must have one.
 FEATURES, LEAST_ROWS = 3000, 4
+#: Words of which a worker remembers the features (about 150 bytes each).
+REMEMBERED = 100_000
 PREFIXES = range(3, 9)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
