@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from vitrine.llm import repeats, simhash
@@ -101,3 +102,16 @@ def test_empty_tables(spark):
 
 def test_compaction_joins_neighbours_with_one_source():
     assert repeats.spans([(5, 2, 1), (0, 5, 1), (30, 1, 1), (31, 1, 2)], 13) == [(0, 19, 1), (30, 43, 1), (31, 44, 2)]
+
+
+def test_fingerprints_that_differ_in_the_first_bit_are_linked(spark):
+    base = [0x123456789ABCDEF0, 0x0F0F0F0F0F0F0F0F]
+    fps = np.array([x ^ flip for x in base for flip in (0, 1 << 63, 1 << 63 | 1, 1 << 63 | 6, 15)], np.uint64).view(np.int64)
+    a = fps.view(np.uint64)
+    assert (simhash.near(fps, fps, 3) == [[bin(int(x) ^ int(y)).count("1") <= 3 for y in a] for x in a]).all()
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp bigint")
+    found = {frozenset((r["a"], r["b"])) for r in simhash.links(df).collect()}
+    joined = {k: k for k in fps.tolist()}
+    for x, y in map(tuple, found):
+        joined = {k: joined[x] if v == joined[y] else v for k, v in joined.items()}
+    assert len(set(joined.values())) == 2

@@ -43,7 +43,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """The matrix of pairs at ``radius`` or fewer differing bits."""
-    return np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+    # Of a signed number the bits of its absolute value are counted.
+    return np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius
 
 
 def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
