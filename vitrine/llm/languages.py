@@ -21,6 +21,8 @@ from .frames import keyed, made, slices, stored, texts
 ORDER = 4
 #: What a model learns from, per language: at most so many rows, those with the least hash, and of these so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 1 << 19
+#: Leading bits of the hash by which rows are counted.
+STEP_BITS = 12
 #: Bytes of a worker's table of common byte runs, and runs that are costed at a time.
 TABLE_BYTES, RUNS = 16 << 20, 1 << 20
 #: Units of a bit.
@@ -153,15 +155,21 @@ class Model:
 def _sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str) -> DataFrame:
     """``(lang, t)``: at most ``SAMPLE_ROWS`` distinct rows per language with the least hash, and ``SAMPLE_CHARS`` characters.
 
-    Ranks are limited on the map side before the shuffle, so a language of any size sends ``SAMPLE_ROWS`` narrow rows a task.
+    Rows are counted by steps of their hash first, so that only about ``SAMPLE_ROWS`` narrow rows of a language of any size are
+    ranked. There is a row per language in what is broadcast.
     """
     rows = docs.select(F.col(id_column).cast("bigint").alias("k"), F.col(text_column).cast("string").alias("t"), F.col(lang_column).cast("string").alias("lang"))
     rows = rows.filter("lang is not null and t is not null").filter(~held_out(F.col("k"))).withColumn("h", F.xxhash64("t"))
-    narrow = rows.select("lang", "k", "h", F.xxhash64("k", "h").alias("o"), F.char_length("t").alias("size"))
-    by = Window.partitionBy("lang").orderBy(F.col("size") > SAMPLE_CHARS, "o", "h", "k")
-    least = narrow.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= SAMPLE_ROWS)
+    # Steps of the hash, those of texts longer than the whole allowance last: such a text is learned from only where a language has no others.
+    o = F.xxhash64("k", "h")
+    step = F.shiftrightunsigned(o, 64 - STEP_BITS) + F.when(F.char_length("t") > SAMPLE_CHARS, 1 << STEP_BITS).otherwise(0)
+    narrow = rows.select("lang", "k", "h", o.alias("o"), step.alias("step"), F.char_length("t").alias("size"))
+    steps = Window.partitionBy("lang").orderBy("step")
+    counts = narrow.groupBy("lang", "step").count().withColumn("before", F.sum("count").over(steps) - F.col("count"))
+    ends = counts.filter(F.col("before") < SAMPLE_ROWS).groupBy("lang").agg(F.max("step").alias("end"))
+    by = Window.partitionBy("lang").orderBy("step", "o", "h", "k")
+    least = narrow.join(F.broadcast(ends), "lang").filter("step <= end").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= SAMPLE_ROWS)
     before = F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # A text longer than the whole allowance is learned from only where a language has no others.
     least = least.withColumn("before", before).filter((F.col("before") + F.col("size") <= SAMPLE_CHARS) | (F.col("rank") == 1))
     chosen = stored(least.select("lang", F.col("k").alias("ck"), F.col("h").alias("ch")).distinct(), "lang-rows")
     found = rows.join(F.broadcast(chosen.withColumnRenamed("lang", "cl")), F.expr("lang = cl and h = ch and k <=> ck"))
