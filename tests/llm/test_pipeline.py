@@ -7,11 +7,12 @@ from pathlib import Path
 import corpus_pipeline
 import numpy as np
 import sentencepiece
-from vitrine.llm import toxicity
+from vitrine.llm import near_copies, toxicity
 from vitrine.llm.queries import tokenizer_path
 
 from test_decontaminate import brute as brute_hits
-from test_near_and_repeats import brute_classes, corpus
+from test_near_and_repeats import corpus
+from test_near_copies import brute_similar
 
 REPO = Path(__file__).resolve().parents[2]
 
@@ -31,9 +32,12 @@ def test_stages_follow_each_other(spark, monkeypatch, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     model = toxicity.Model(["^idiot$"], np.array([9.0]), -3.0)
     monkeypatch.setattr(toxicity, "train", lambda *a, **k: model)
+    # Texts of a few words: all pairs are held against each other.
+    monkeypatch.setattr(near_copies, "choices", lambda n, s: np.zeros((1, 0), int))
+    monkeypatch.setattr(near_copies, "radius", lambda s: 128)
 
     left = [(r[0], r[1]) for r in rows if "idiot" not in r[1]]
-    left = [(d, t) for (d, t), (k, _, least) in zip(sorted(left), sorted(brute_classes(left))) if d == k == least]
+    left = [(d, t) for (d, t), (k, least) in zip(sorted(left), sorted(brute_similar(left))) if d == k == least]
     first, cut = {}, []
     for d, t in left:
         w = t.encode().split()
@@ -58,6 +62,20 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_odd_documents_go_through_every_stage(spark, monkeypatch, tmp_path):
+    rows = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (3, "you idiot", None, None, 9), (None, "no id here", "en", "s", 10), (4, "fine words", "en", "s", 10), (4, "fine words", "en", "s", 10),
+            (5, "long text " * 30_000, "en", "s", 300_000)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, None), (1, "zebra crossing")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: toxicity.Model(["^idiot$"], np.array([9.0]), -3.0))
+    got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {None, 1, 4, 5} and got[1] == 0  # the null and the empty text are copies of each other
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_the_rest_imports_without_the_pipeline(tmp_path):
     for name in ("vitrine", "__spark_entry__.py"):
         (tmp_path / name).symlink_to(REPO / name) if name != "vitrine" else (tmp_path / name).mkdir()

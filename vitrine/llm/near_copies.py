@@ -1,12 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles (near-dedup stage of the pipeline).
+"""Near copies by wide fingerprints, compared in tiles, and exact Jaccard similarity (near-dedup stage of the pipeline).
 
-Two sets at a similarity of ``s`` or more share one of their first ``n - ceil(s n) + 1`` members under any one order of all
-members (prefix filter), so only documents that share such a member are compared, and no pair is lost.
+Operator 5 at five words and a similarity of 0.8: fingerprints of 128 bits are put into blocks by several choices of their bits,
+blocks are cut into tiles ordered by population count, tiles are compared with exclusive-or and bit counts, and tile pairs
+whose counts differ beyond the radius are skipped. Every pair within the radius that decides a class is then held against the
+sets of shingles themselves.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -16,232 +17,298 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .frames import keyed, made, slices, stored, texts
+from .words import Words, mixed
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-#: Rows of a tile: documents that share one shingle are compared tile by tile.
+BITS = 128
+#: Rows of a tile: a pair of tiles is a matrix of at most ``TILE ** 2`` comparisons.
 TILE = 1024
-#: Documents read for the order of shingles, and the most common shingles kept. They set an order only; results do not depend on them.
-ORDER_ROWS, ORDER_SHINGLES = 4096, 100_000
+#: Fingerprints that a block is meant to hold where all differ, and the share of pairs at the similarity that some block brings together.
+BLOCK, MEET = 256, 0.99
 #: Bits of the map of documents to be compared; a bit that is set by chance costs a row, not a result.
 MAP_BITS = 1 << 24
+#: Bytes of text that are shingled at a time.
+SLICE = 1 << 20
+_U = np.uint64
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which fingerprints of two equally large sets differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius(similarity: float, bits: int = BITS) -> int:
+    """Three deviations above the bits that differ on average at ``similarity``: sets of a few shingles differ in more than large ones."""
+    p = differing(similarity)
+    return min(bits, round(bits * p + 3 * math.sqrt(bits * p * (1 - p))))
+
+
+def choices(nodes: int, similarity: float) -> np.ndarray:
+    """Rows of bit places, one row a table: as many bits as leave ``BLOCK`` fingerprints in a block, as many tables as let a share
+    ``MEET`` of the pairs at ``similarity`` agree in one of them."""
+    wide = min(32, max(8, math.ceil(math.log2(max(2, nodes) / BLOCK))))
+    agree = (1 - differing(similarity)) ** wide
+    tables = max(1, math.ceil(math.log(1 - MEET) / math.log(1 - min(agree, 0.99))))
+    rng, out = np.random.default_rng(SEED), []
+    while len(out) < tables:  # stretches of one order share no bit, so one differing bit spoils one of them only
+        order = rng.permutation(BITS)
+        out += [np.sort(order[i:i + wide]) for i in range(0, BITS - wide + 1, wide)]
+    return np.stack(out[:tables])
+
+
+def shingle_sets(given: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+    """Per text the distinct 64-bit hashes of the runs of ``k`` words, ascending; of the whole text if it has fewer words; none
+    without words."""
+    w = Words(given, lower=True)
+    runs = w.windows(k)
+    out = []
+    for first, n in zip(w.first.tolist(), w.count.tolist()):
+        if n >= k:
+            out.append(np.unique(runs[first:first + n - k + 1]))
+        else:
+            h = np.zeros(min(n, 1), _U)
+            for x in w.hashes[first:first + n]:
+                h = h * _U(0xD6E8FEB86659FD93) + x
+            out.append(mixed(h + _U(n)))
+    return out
 
 
-@functools.lru_cache(maxsize=500_000)
-def _word(word: bytes) -> int:
+def set_key(s: np.ndarray) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(word, SEED)
-
-
-def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
-    """The distinct 64-bit hashes of the runs of ``k`` words, ascending; of the whole text if it has fewer words; none without words."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    k = min(k, len(words))
-    w = np.fromiter(map(_word, words), np.uint64, len(words))
-    n = len(w) - k + 1
-    h = w[:n].copy()
-    for i in range(1, k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i:i + n]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return np.unique(h)
-
+    return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED)], _U).view(np.int64)[0])
 
-def set_key(s: np.ndarray) -> int:
-    import xxhash
 
-    return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+_BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
-def at_least(n: int, similarity: float) -> int:
-    """The least overlap of a set of ``n`` with another at ``similarity``."""
-    return math.ceil(similarity * n - 1e-9)
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """``BITS`` bits of every set as pairs of 64-bit numbers: a bit is 1 where more than half of the members' hashes have it."""
+    out = np.zeros((len(sets), BITS // 64), _U)
+    for i in range(0, len(sets), 64):
+        some = sets[i:i + 64]
+        size = np.array([len(s) for s in some])
+        members = np.concatenate([*some, np.zeros(0, _U)])
+        both = np.stack([mixed(members * _U(2 * j + 1) + _U(j)) for j in range(BITS // 64)], axis=1)
+        raw = both.view(np.uint8).reshape(len(members), BITS // 8)
+        place = (np.repeat(np.arange(len(some)), size)[:, None] * (BITS // 8) + np.arange(BITS // 8)[None, :]) * 256 + raw
+        counts = np.bincount(place.ravel(), minlength=len(some) * BITS // 8 * 256).reshape(-1, 256)
+        ones = (counts @ _BIT_OF).reshape(len(some), BITS)
+        out[i:i + 64] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8")
+    return out
 
 
-def _common(docs: DataFrame, k: int) -> np.ndarray:
-    """Common shingles of some documents, the less common first."""
-    n = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("t"), F.lit(max(1, n // ORDER_ROWS))) == 0).select(F.substring("t", 1, 20_000).alias("t")).distinct()
-    schema = pa.schema([("s", pa.int64())])
+def _marks(docs: DataFrame, k: int) -> DataFrame:
+    schema = pa.schema([("k", pa.int64()), ("fp", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for part in slices(batches):
-            yield made(schema, pa.array(np.concatenate([shingles(t, k) for t in texts(part)]).view(np.int64)))
+        for part in slices(batches, limit=SLICE):
+            sets = shingle_sets(texts(part), k)
+            bits = wide_fingerprints(sets).view(np.int64)
+            yield made(schema, part.column("k"), [set_key(s) for s in sets], *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(2)])
 
-    found = some.mapInArrow(run, "s bigint").groupBy("s").count().filter("count > 3").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES)
-    return np.array([r[0] for r in found.collect()][::-1], np.int64).view(np.uint64)
+    return docs.mapInArrow(run, "k bigint, fp bigint, a bigint, b bigint")
 
 
-def _marks(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    common = _common(docs, k)
-    by_hash = np.argsort(common)
-    at = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash.astype(np.int64) + 1))
-    schema = pa.schema([("k", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+_PLACED = ["key", "ones", "fp", "a", "b", "root"]
 
-    def prefix(s):
-        known, rank = at.value
-        if len(known) and len(s):
-            i = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            s = s[np.lexsort((s, np.where(known[i] == s, rank[i], 0)))]
-        return s[:len(s) - at_least(len(s), similarity) + 1].view(np.int64)
+
+def _placed(nodes: DataFrame, tables: np.ndarray) -> DataFrame:
+    """Every node once per table: ``(key, ones, fp, a, b, root)``."""
+    schema = pa.schema([(c, pa.int64()) for c in _PLACED])
+    weights = 1 << np.arange(tables.shape[1], dtype=np.int64)
 
     def run(batches):
-        for part in slices(batches):
-            sets = [shingles(t, k) for t in texts(part)]
-            yield made(schema, part.column("k"), [set_key(s) for s in sets], [len(s) for s in sets], pa.array([prefix(s) for s in sets], pa.list_(pa.int64())))
+        for batch in batches:
+            fp, a, b, root = (batch.column(c).to_numpy() for c in ("fp", "a", "b", "root"))
+            both = np.stack([a, b], axis=1)
+            bits = np.unpackbits(both.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+            ones = bits.sum(axis=1, dtype=np.int64)
+            for t, places in enumerate(tables):
+                key = bits[:, places].astype(np.int64) @ weights + (t << tables.shape[1])
+                yield made(schema, *map(pa.array, (key, ones, fp, a, b, root)))
 
-    return docs.mapInArrow(run, "k bigint, fp bigint, n int, prefix array<bigint>")
+    return nodes.select("fp", "a", "b", "root").mapInArrow(run, ", ".join(f"{c} bigint" for c in _PLACED))
 
 
-def _starts(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+_TILES = "tile bigint, low_key bigint, low_ones bigint, high_key bigint, high_ones bigint, head binary, tail binary, rows binary"
+_TILE = pa.schema([(c, pa.int64()) for c in ("tile", "low_key", "low_ones", "high_key", "high_ones")] + [(c, pa.binary()) for c in ("head", "tail", "rows")])
 
 
-def _shared(nodes: DataFrame) -> DataFrame:
-    """``(token, n, fp, at)`` of prefix members that more than one document has (and those at the borders of partitions)."""
-    rows = nodes.select("fp", "n", F.posexplode("prefix").alias("at", "token")).select("token", "n", "fp", "at")
-    ordered = rows.repartitionByRange("token", "n", "fp").sortWithinPartitions("token", "n", "fp")
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("at", pa.int32())])
+def _tiles(placed: DataFrame, tile: int) -> DataFrame:
+    ordered = placed.repartitionByRange("key", "ones", "fp").sortWithinPartitions("key", "ones", "fp")
 
     def run(batches):
-        # The last row of a batch waits for the next; the first and the last of a partition stay.
-        held, before = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = [batch.column(c).to_numpy() for c in schema.names]
-            table = table if held is None else [np.concatenate(x) for x in zip(held, table)]
-            t = table[0]
-            same = t[1:] == t[:-1]
-            keep = np.r_[before is None or before == t[0], same] | np.r_[same, False]
-            keep[-1] = False
-            before, held = (t[-2] if len(t) > 1 else before), [x[-1:] for x in table]
-            yield made(schema, *[pa.array(x[keep]) for x in table])
-        if held is not None:
-            yield made(schema, *[pa.array(x) for x in held])
-
-    return ordered.mapInArrow(run, "token bigint, n int, fp bigint, at int")
+        number = TaskContext.get().partitionId() << 32
+        rest = np.zeros((0, len(_PLACED)), np.int64)
+        for batch in [*batches, None]:
+            if batch is not None:
+                rest = np.concatenate([rest, np.stack([batch.column(c).to_numpy() for c in _PLACED], axis=1)])
+            while len(rest) >= tile or (batch is None and len(rest)):
+                part, rest = rest[:tile], rest[tile:]
+                number += 1
+                head, tail = part[part[:, 0] == part[0, 0]], part[part[:, 0] == part[-1, 0]]
+                yield made(_TILE, [number], [part[0, 0]], [part[0, 1]], [part[-1, 0]], [part[-1, 1]], [head.tobytes()], [tail.tobytes()], [part.tobytes()])
 
+    return stored(ordered.mapInArrow(run, _TILES), "near-tiles")
 
-def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose sets are at ``similarity`` or more."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    needed = stored(ends.join(nodes.select("fp", "least"), "fp"), "compared")
-    place = F.pmod(F.col("fp").bitwiseXOR(F.coalesce("least", F.lit(0).cast("bigint"))), F.lit(MAP_BITS)).cast("int")
-    bits = np.zeros(MAP_BITS, bool)
-    for r in needed.select(place.alias("p")).distinct().toLocalIterator():
-        bits[r[0]] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
-    schema = pa.schema([("fp", pa.int64()), ("s", pa.binary())])
 
-    def sets(batches):
-        for part in slices(batches):
-            fps, out = [], []
-            for key, t in zip(part.column("k").to_pylist(), texts(part)):
-                s = shingles(t, k)
-                fp = set_key(s)
-                p = (fp ^ (key or 0)) % MAP_BITS
-                if shared.value[p >> 3] >> (7 - (p & 7)) & 1:
-                    fps.append(fp)
-                    out.append(s.tobytes())
-            yield made(schema, fps, out)
-
-    found = docs.mapInArrow(sets, "fp bigint, s binary").join(needed.select("fp"), "fp").groupBy("fp").agg(F.first("s").alias("s"))
-    found = stored(found, "sets")
-    both = pairs.join(found.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(found.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
-    link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """The matrix of pairs of rows within ``most`` differing bits."""
+    # Of a signed number the bits of its absolute value are counted.
+    a, b = x.view(_U), y.view(_U)
+    away = np.bitwise_count(a[:, None, 3] ^ b[None, :, 3])
+    away += np.bitwise_count(a[:, None, 4] ^ b[None, :, 4])
+    return away <= most
 
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and both / (len(x) + len(y) - both) >= similarity)
-            keep = pa.array(keep, pa.bool_())
-            yield made(link, batch.column("a").filter(keep), batch.column("b").filter(keep))
 
-    return stored(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "linked")
+def _rows(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64).reshape(-1, len(_PLACED))
 
 
-_TILES = "tile bigint, low_key bigint, low_n int, high_key bigint, high_n int, head binary, tail binary, rows binary"
+def _blocks(raw: bytes) -> list[np.ndarray]:
+    """The blocks of a tile that hold more than one row."""
+    rows = _rows(raw)
+    return [g for g in np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1) if len(g) > 1]
 
 
-def _pairs(rows: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Pairs ``(a, b)`` of ``rows (token, n, fp, at, root)`` with one token and two roots whose sizes and places allow ``similarity``."""
-    ordered = rows.repartitionByRange("token", "n", "fp").sortWithinPartitions("token", "n", "fp")
-    schema = pa.schema([("tile", pa.int64()), ("low_key", pa.int64()), ("low_n", pa.int32()), ("high_key", pa.int64()), ("high_n", pa.int32()),
-                        ("head", pa.binary()), ("tail", pa.binary()), ("rows", pa.binary())])
+def _met(tiles: DataFrame, most: int) -> DataFrame:
+    """Pairs of tiles that share a block and whose population counts allow ``most`` differing bits."""
+    left = tiles.select(F.col("tile").alias("t1"), F.col("high_key").alias("key"), "high_ones", "tail")
+    right = tiles.select(F.col("tile").alias("t2"), F.col("low_key").alias("key"), "low_ones", "head")
+    return left.join(right, "key").filter(f"t1 < t2 and low_ones - high_ones <= {most}")
 
-    def cut_tiles(batches):
-        number = TaskContext.get().partitionId() << 32
-        rest = np.zeros((0, 5), np.int64)
-        for batch in [*batches, None]:
-            if batch is not None:
-                rest = np.concatenate([rest, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "fp", "at", "root")], axis=1)])
-            while len(rest) >= tile or (batch is None and len(rest)):
-                part, rest = rest[:tile], rest[tile:]
-                number += 1
-                head, tail = part[part[:, 0] == part[0, 0]], part[part[:, 0] == part[-1, 0]]
-                yield made(schema, [number], [part[0, 0]], [part[0, 1]], [part[-1, 0]], [part[-1, 1]], [head.tobytes()], [tail.tobytes()], [part.tobytes()])
 
-    tiles = stored(ordered.mapInArrow(cut_tiles, _TILES), "near-tiles")
-    link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINK = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
 
-    def fit(x, y):
-        n = x[:, None, 1] + y[None, :, 1]
-        most = np.minimum((x[:, 1] - x[:, 3])[:, None], (y[:, 1] - y[:, 3])[None, :])
-        i, j = np.nonzero((most >= similarity / (1 + similarity) * n - 1e-6) & (x[:, None, 4] != y[None, :, 4]))
-        return x[i, 2], y[j, 2]
+def _neighbours(tiles: DataFrame, most: int) -> DataFrame:
+    """``(fp, lo, hi)``: each node's least and greatest neighbour found within tiles and against the first tile of a block."""
+    schema = pa.schema([("fp", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
-    def out(a, b):
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return made(link, pa.array(pairs[0]), pa.array(pairs[1]))
+    def ends(near, x, y):
+        i = np.flatnonzero(near.any(axis=1))
+        if len(i):
+            other = np.broadcast_to(y[None, :, 2], (len(i), len(y)))
+            low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+            yield made(schema, pa.array(x[i, 2]), pa.array(np.where(near[i], other, high).min(axis=1)), pa.array(np.where(near[i], other, low).max(axis=1)))
 
     def inside(batches):
         for batch in batches:
             for raw in batch.column("rows").to_pylist():
-                part = np.frombuffer(raw, np.int64).reshape(-1, 5)
-                found = [fit(g, g) for g in np.split(part, _starts(part[:, 0])[1:]) if len(g) > 1]
-                if found:
-                    yield out(*[np.concatenate(x) for x in zip(*found)])
+                for g in _blocks(raw):
+                    near = _near(g, g, most)
+                    np.fill_diagonal(near, False)
+                    yield from ends(near, g, g)
 
     def between(batches):
         for batch in batches:
-            for x, y in zip(batch.column("tail").to_pylist(), batch.column("head").to_pylist()):
-                yield out(*fit(*[np.frombuffer(v, np.int64).reshape(-1, 5) for v in (x, y)]))
+            for x, y in zip(*(map(_rows, batch.column(c).to_pylist()) for c in ("tail", "head"))):
+                near = _near(x, y, most)
+                yield from ends(near, x, y)
+                yield from ends(near.T, y, x)
+
+    first = tiles.groupBy("high_key").agg(F.min("tile").alias("t1"))
+    met = _met(tiles, most).join(first.withColumnRenamed("high_key", "key"), ["key", "t1"]).select("tail", "head")
+    columns = "fp bigint, lo bigint, hi bigint"
+    found = tiles.select("rows").mapInArrow(inside, columns).union(met.mapInArrow(between, columns))
+    return found.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _pairs(tiles: DataFrame, most: int) -> DataFrame:
+    """All pairs ``(x, y)`` within ``most`` differing bits whose roots differ."""
+    def found(x, y, upper):
+        near = _near(x, y, most) & (x[:, None, 5] != y[None, :, 5])
+        i, j = np.nonzero(np.triu(near, 1) if upper else near)
+        if len(i):
+            p, q = x[i, 2], y[j, 2]
+            yield made(_LINK, pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)))
 
-    left = tiles.select(F.col("tile").alias("t1"), F.col("high_key").alias("key"), "high_n", "tail")
-    right = tiles.select(F.col("tile").alias("t2"), F.col("low_key").alias("key"), "low_n", "head")
-    met = left.join(right, "key").filter(f"t1 < t2 and high_n >= {similarity - 1e-9} * low_n").select("tail", "head")
-    return tiles.select("rows").mapInArrow(inside, "a bigint, b bigint").union(met.mapInArrow(between, "a bigint, b bigint")).distinct()
+    def inside(batches):
+        for batch in batches:
+            for raw in batch.column("rows").to_pylist():
+                for g in _blocks(raw):
+                    yield from found(g, g, True)
+
+    def between(batches):
+        for batch in batches:
+            for x, y in zip(*(map(_rows, batch.column(c).to_pylist()) for c in ("tail", "head"))):
+                yield from found(x, y, False)
+
+    return tiles.select("rows").mapInArrow(inside, "x bigint, y bigint").union(_met(tiles, most).select("tail", "head").mapInArrow(between, "x bigint, y bigint")).distinct()
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of ``pairs (x, y)`` whose sets are at ``similarity`` or more.
+
+    Only the documents that stand for a node of a pair are shingled again; a map of bits, whose size does not depend on the
+    data, tells the tasks which.
+    """
+    spark = docs.sparkSession
+    ends = pairs.select(F.col("x").alias("fp")).union(pairs.select(F.col("y").alias("fp"))).distinct()
+    needed = stored(ends.join(nodes.select("fp", "least"), "fp"), "compared")
+    place = F.pmod(F.xxhash64("least"), F.lit(MAP_BITS))
+    words = needed.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
+    bits = np.zeros(MAP_BITS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    shared = spark.sparkContext.broadcast(bits)
+    schema = pa.schema([("fp", pa.int64()), ("s", pa.binary())])
+
+    def sets(batches):
+        for part in slices(batches, limit=SLICE):
+            at = part.column("p").to_numpy()
+            part = part.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
+            found = shingle_sets(texts(part), k) if part.num_rows else []
+            if found:
+                yield made(schema, [set_key(s) for s in found], [s.tobytes() for s in found])
+
+    marked = docs.select("t", F.pmod(F.xxhash64("k"), F.lit(MAP_BITS)).alias("p"))
+    found = marked.mapInArrow(sets, "fp bigint, s binary").join(needed.select("fp"), "fp").groupBy("fp").agg(F.first("s").alias("s"))
+    found = stored(found, "sets")
+    both = pairs.join(found.select(F.col("fp").alias("x"), F.col("s").alias("a")), "x").join(found.select(F.col("fp").alias("y"), F.col("s").alias("b")), "y")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                a, b = (np.frombuffer(v.as_buffer(), _U) for v in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both > 0 and both / (len(a) + len(b) - both) >= similarity)
+            keep = pa.array(keep, pa.bool_())
+            yield made(_LINK, batch.column("x").filter(keep), batch.column("y").filter(keep))
+
+    return stored(both.select("x", "y", "a", "b").mapInArrow(verify, "x bigint, y bigint"), "linked")
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """``(doc_id, component_id)`` of every row: the least doc_id that links of ``similarity`` or more reach, the row's own included.
 
-    Documents with one set of shingles are one node. First each document is compared with the least node of each of its
-    shared shingles, which joins most groups with about as many comparisons as members; then only nodes of different groups
-    that share a prefix shingle are compared, so every pair at ``similarity`` is compared or already in one group. Texts
-    without words are one node. A null id stays null and is no component's least.
+    Every link is exact; a pair at the similarity is missed where its fingerprints differ beyond the radius or agree in no
+    table (a few of a hundred at the similarity itself, hardly any at 0.9). Documents with one set of shingles are one node,
+    so repeated rows and exact copies of any number are one row before anything is compared; texts without words (null, empty)
+    are one node as well. A null id stays null and is no component's least. Tables without rows give none; other columns
+    are ignored.
+
+    First each node is held against its least neighbour, which joins most groups with one comparison a node. Nodes with
+    another neighbour, and those of blocks of several tiles, are then compared in full, but only where their groups differ.
     """
     docs = keyed(docs, id_column, text_column)
-    marks = stored(_marks(docs, shingle, similarity), "marks")
-    nodes = stored(marks.groupBy("fp").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-    shared = stored(_shared(nodes), "shared")
-    heads = shared.groupBy("token").agg(F.min(F.struct("fp", "n")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("token", F.col("m.fp").alias("a"), F.col("m.n").alias("m"))
-    first = shared.join(heads, "token").filter(f"fp <> a and least(n, m) >= {similarity - 1e-9} * greatest(n, m)").select("a", F.col("fp").alias("b")).distinct()
-    stars = _linked(docs, stored(first, "first"), nodes, shingle, similarity)
-    root = stored(components(stars), "roots")
-    placed = stored(shared.join(root, shared.fp == root.node, "left").select("token", "n", "fp", "at", F.coalesce("root", "fp").alias("root")), "placed")
-    open_tokens = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    left = _pairs(placed.join(open_tokens, "token"), similarity, tile).join(first, ["a", "b"], "left_anti")
-    root = components(stars.union(_linked(docs, stored(left, "second"), nodes, shingle, similarity)))
-    of_root = root.join(nodes, root.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
+    marks = stored(_marks(docs, shingle), "marks")
+    nodes = stored(marks.groupBy("fp").agg(F.min("k").alias("least"), F.first("a").alias("a"), F.first("b").alias("b"), F.col("fp").alias("root")), "nodes")
+    most, tables = radius(similarity), choices(nodes.count(), similarity)
+    tiles = _tiles(_placed(nodes, tables), tile)
+    around = stored(_neighbours(tiles, most), "neighbours")
+    first = stored(around.select(F.least("fp", "lo").alias("x"), F.greatest("fp", "lo").alias("y")).distinct(), "first")
+    stars = _linked(docs, first, nodes, shingle, similarity)
+    root = stored(components(stars, "x", "y"), "roots")
+    rooted = nodes.drop("root").join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    several = _met(tiles, most).select("key").distinct()
+    open_ = rooted.join(around.filter("lo <> hi").select("fp"), "fp", "left_semi")
+    again = _placed(open_, tables).union(_placed(rooted, tables).join(several, "key", "left_semi").select(_PLACED)).distinct()
+    mixed_keys = again.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+    left = _pairs(_tiles(again.join(mixed_keys, "key", "left_semi").select(_PLACED), tile), most).join(first, ["x", "y"], "left_anti")
+    root = components(stars.union(_linked(docs, stored(left, "second"), nodes, shingle, similarity)), "x", "y")
+    of_root = root.join(nodes.select("fp", "least"), root.node == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = root.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
     known = nodes.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marks.select("k", "fp").join(known, "fp").select(F.col("k").alias("doc_id"), "component_id")

@@ -49,8 +49,9 @@ def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of texts. ``doc`` is the text of each word, ``first`` each text's first word."""
 
-    def __init__(self, texts: list[str]):
-        parts = [t.encode() for t in texts]
+    def __init__(self, texts: list[str], lower: bool = False):
+        """``lower`` turns A-Z into small letters first."""
+        parts = [t.encode().lower() if lower else t.encode() for t in texts]
         joined = b"\n".join([b"", *parts, b""])
         self.raw = np.frombuffer(joined, np.uint8)
         space = _SPACE[self.raw]
