@@ -2,12 +2,13 @@
 
 Operator 5 at five words and a similarity of 0.8: fingerprints of 128 bits are put into blocks by several choices of their bits,
 blocks are cut into tiles ordered by population count, tiles are compared with exclusive-or and bit counts, and tile pairs
-whose counts differ beyond the radius are skipped. Every pair within the radius that decides a class is then held against the
-sets of shingles themselves.
+whose counts differ beyond the radius are skipped. That joins documents in candidate classes. Each class is cut into tiles
+again, which now hold the sets of shingles, and inside and between these the links are those at an exact similarity of 0.8.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .frames import keyed, made, slices, stored, texts
+from .simhash import labels
 from .words import Words, mixed
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -27,8 +29,8 @@ TILE = 1024
 BLOCK, MEET = 256, 0.99
 #: Bits of the map of documents to be compared; a bit that is set by chance costs a row, not a result.
 MAP_BITS = 1 << 24
-#: Bytes of text that are shingled at a time.
-SLICE = 1 << 20
+#: Bytes of text that are shingled at a time, and of the sets that a tile holds.
+SLICE, TILE_BYTES = 1 << 20, 1 << 20
 _U = np.uint64
 
 
@@ -110,25 +112,25 @@ def _marks(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "k bigint, fp bigint, a bigint, b bigint")
 
 
-_PLACED = ["key", "ones", "fp", "a", "b", "root"]
+_PLACED = ["key", "ones", "fp", "a", "b"]
 
 
 def _placed(nodes: DataFrame, tables: np.ndarray) -> DataFrame:
-    """Every node once per table: ``(key, ones, fp, a, b, root)``."""
+    """Every node once per table: ``(key, ones, fp, a, b)``."""
     schema = pa.schema([(c, pa.int64()) for c in _PLACED])
     weights = 1 << np.arange(tables.shape[1], dtype=np.int64)
 
     def run(batches):
         for batch in batches:
-            fp, a, b, root = (batch.column(c).to_numpy() for c in ("fp", "a", "b", "root"))
+            fp, a, b = (batch.column(c).to_numpy() for c in ("fp", "a", "b"))
             both = np.stack([a, b], axis=1)
             bits = np.unpackbits(both.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
             ones = bits.sum(axis=1, dtype=np.int64)
             for t, places in enumerate(tables):
                 key = bits[:, places].astype(np.int64) @ weights + (t << tables.shape[1])
-                yield made(schema, *map(pa.array, (key, ones, fp, a, b, root)))
+                yield made(schema, *map(pa.array, (key, ones, fp, a, b)))
 
-    return nodes.select("fp", "a", "b", "root").mapInArrow(run, ", ".join(f"{c} bigint" for c in _PLACED))
+    return nodes.select("fp", "a", "b").mapInArrow(run, ", ".join(f"{c} bigint" for c in _PLACED))
 
 
 _TILES = "tile bigint, low_key bigint, low_ones bigint, high_key bigint, high_ones bigint, head binary, tail binary, rows binary"
@@ -154,11 +156,11 @@ def _tiles(placed: DataFrame, tile: int) -> DataFrame:
 
 
 def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """The matrix of pairs of rows within ``most`` differing bits."""
+    """The matrix of pairs of rows ``(.., a, b)`` within ``most`` differing bits."""
     # Of a signed number the bits of its absolute value are counted.
-    a, b = x.view(_U), y.view(_U)
-    away = np.bitwise_count(a[:, None, 3] ^ b[None, :, 3])
-    away += np.bitwise_count(a[:, None, 4] ^ b[None, :, 4])
+    a, b = x[:, -2:].view(_U), y[:, -2:].view(_U)
+    away = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    away += np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
     return away <= most
 
 
@@ -182,79 +184,46 @@ def _met(tiles: DataFrame, most: int) -> DataFrame:
 _LINK = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
 
-def _neighbours(tiles: DataFrame, most: int) -> DataFrame:
-    """``(fp, lo, hi)``: each node's least and greatest neighbour found within tiles and against the first tile of a block."""
-    schema = pa.schema([("fp", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+def _forest(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """As many of the links ``i - j`` as join the same rows: each row with the first of its group."""
+    root = labels(len(fps), i, j)
+    moved = np.flatnonzero(root != np.arange(len(fps)))
+    return made(_LINK, pa.array(fps[moved]), pa.array(fps[root[moved]]))
 
-    def ends(near, x, y):
-        i = np.flatnonzero(near.any(axis=1))
-        if len(i):
-            other = np.broadcast_to(y[None, :, 2], (len(i), len(y)))
-            low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-            yield made(schema, pa.array(x[i, 2]), pa.array(np.where(near[i], other, high).min(axis=1)), pa.array(np.where(near[i], other, low).max(axis=1)))
 
+def _candidates(tiles: DataFrame, most: int) -> DataFrame:
+    """Links ``(x, y)`` that join everything within ``most`` differing bits in some block; inside a tile and between two only those
+    that a group needs, so a group of n gives about n links a table."""
     def inside(batches):
         for batch in batches:
             for raw in batch.column("rows").to_pylist():
                 for g in _blocks(raw):
-                    near = _near(g, g, most)
-                    np.fill_diagonal(near, False)
-                    yield from ends(near, g, g)
+                    yield _forest(g[:, 2], *np.nonzero(np.triu(_near(g, g, most), 1)))
 
     def between(batches):
         for batch in batches:
             for x, y in zip(*(map(_rows, batch.column(c).to_pylist()) for c in ("tail", "head"))):
-                near = _near(x, y, most)
-                yield from ends(near, x, y)
-                yield from ends(near.T, y, x)
-
-    first = tiles.groupBy("high_key").agg(F.min("tile").alias("t1"))
-    met = _met(tiles, most).join(first.withColumnRenamed("high_key", "key"), ["key", "t1"]).select("tail", "head")
-    columns = "fp bigint, lo bigint, hi bigint"
-    found = tiles.select("rows").mapInArrow(inside, columns).union(met.mapInArrow(between, columns))
-    return found.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-
-
-def _pairs(tiles: DataFrame, most: int) -> DataFrame:
-    """All pairs ``(x, y)`` within ``most`` differing bits whose roots differ."""
-    def found(x, y, upper):
-        near = _near(x, y, most) & (x[:, None, 5] != y[None, :, 5])
-        i, j = np.nonzero(np.triu(near, 1) if upper else near)
-        if len(i):
-            p, q = x[i, 2], y[j, 2]
-            yield made(_LINK, pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)))
+                i, j = np.nonzero(_near(x, y, most))
+                yield _forest(np.r_[x[:, 2], y[:, 2]], i, j + len(x))
 
-    def inside(batches):
-        for batch in batches:
-            for raw in batch.column("rows").to_pylist():
-                for g in _blocks(raw):
-                    yield from found(g, g, True)
-
-    def between(batches):
-        for batch in batches:
-            for x, y in zip(*(map(_rows, batch.column(c).to_pylist()) for c in ("tail", "head"))):
-                yield from found(x, y, False)
+    columns = "x bigint, y bigint"
+    return tiles.select("rows").mapInArrow(inside, columns).union(_met(tiles, most).select("tail", "head").mapInArrow(between, columns)).distinct()
 
-    return tiles.select("rows").mapInArrow(inside, "x bigint, y bigint").union(_met(tiles, most).select("tail", "head").mapInArrow(between, "x bigint, y bigint")).distinct()
 
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``(fp, s)`` of the wanted nodes ``(fp, least)``.
 
-def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of ``pairs (x, y)`` whose sets are at ``similarity`` or more.
-
-    Only the documents that stand for a node of a pair are shingled again; a map of bits, whose size does not depend on the
-    data, tells the tasks which.
+    Only documents that stand for a wanted node are shingled again; a map of bits, whose size does not depend on the data,
+    tells the tasks which.
     """
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("x").alias("fp")).union(pairs.select(F.col("y").alias("fp"))).distinct()
-    needed = stored(ends.join(nodes.select("fp", "least"), "fp"), "compared")
     place = F.pmod(F.xxhash64("least"), F.lit(MAP_BITS))
-    words = needed.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
+    words = wanted.select(place.alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
     bits = np.zeros(MAP_BITS // 64, np.int64)
     bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    shared = spark.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = pa.schema([("fp", pa.int64()), ("s", pa.binary())])
 
-    def sets(batches):
+    def run(batches):
         for part in slices(batches, limit=SLICE):
             at = part.column("p").to_numpy()
             part = part.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
@@ -263,21 +232,74 @@ def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similar
                 yield made(schema, [set_key(s) for s in found], [s.tobytes() for s in found])
 
     marked = docs.select("t", F.pmod(F.xxhash64("k"), F.lit(MAP_BITS)).alias("p"))
-    found = marked.mapInArrow(sets, "fp bigint, s binary").join(needed.select("fp"), "fp").groupBy("fp").agg(F.first("s").alias("s"))
-    found = stored(found, "sets")
-    both = pairs.join(found.select(F.col("fp").alias("x"), F.col("s").alias("a")), "x").join(found.select(F.col("fp").alias("y"), F.col("s").alias("b")), "y")
+    return marked.mapInArrow(run, "fp bigint, s binary").join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("s").alias("s"))
 
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                a, b = (np.frombuffer(v.as_buffer(), _U) for v in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both > 0 and both / (len(a) + len(b) - both) >= similarity)
-            keep = pa.array(keep, pa.bool_())
-            yield made(_LINK, batch.column("x").filter(keep), batch.column("y").filter(keep))
 
-    return stored(both.select("x", "y", "a", "b").mapInArrow(verify, "x bigint, y bigint"), "linked")
+_SET_TILE = "class bigint, tile bigint, low int, high int, marks binary, sizes binary, sets binary"
+
+
+def _set_tiles(members: DataFrame, tile: int, most_bytes: int) -> DataFrame:
+    """Rows ``(class, ones, fp, a, b, s)`` as tiles of one class each, in the order of population counts."""
+    ordered = members.repartitionByRange("class", "ones", "fp").sortWithinPartitions("class", "ones", "fp")
+
+    def run(rows):
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for r in itertools.chain(rows, [None]):
+            if held and (r is None or r["class"] != held[0]["class"] or len(held) >= tile or size + len(r["s"]) > most_bytes):
+                number += 1
+                marks = np.array([(h["fp"], h["a"], h["b"]) for h in held], np.int64)
+                yield held[0]["class"], number, held[0]["ones"], held[-1]["ones"], marks.tobytes(), np.array([len(h["s"]) // 8 for h in held]).tobytes(), b"".join(bytes(h["s"]) for h in held)
+                held, size = [], 0
+            if r is not None:
+                held.append(r)
+                size += len(r["s"])
+
+    return stored(ordered.rdd.mapPartitions(run).toDF(_SET_TILE), "set-tiles")
+
+
+def _similar(x: tuple, y: tuple | None, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of one or two tiles ``(marks, sizes, sets)`` and the links between them that are at ``similarity``."""
+    marks, size, members = (np.concatenate(c) for c in zip(*(
+        (np.frombuffer(m, np.int64).reshape(-1, 3), np.frombuffer(n, np.int64), np.frombuffer(s, _U)) for m, n, s in ([x] if y is None else [x, y]))))
+    n = len(marks) if y is None else len(x[1]) // 8
+    start = np.cumsum(np.r_[0, size])
+    left, right = marks[:n], marks if y is None else marks[n:]
+    near = _near(left, right, most)
+    near &= np.minimum(size[:n, None], size[None, -len(right):]) >= similarity * np.maximum(size[:n, None], size[None, -len(right):]) - 1e-9
+    if y is None:
+        near = np.triu(near, 1)
+    words, number = np.unique(members, return_inverse=True)
+    shift, have, found = 0 if y is None else n, np.zeros(len(words), bool), []
+    for i in np.flatnonzero(near.any(axis=1)):
+        own = number[start[i]:start[i + 1]]
+        j = np.flatnonzero(near[i]) + shift
+        have[own] = True
+        # The members that i has, summed over each other set; sets are never empty here.
+        total = np.cumsum(np.r_[0, have[number[start[shift]:]]])
+        both = total[start[j + 1] - start[shift]] - total[start[j] - start[shift]]
+        have[own] = False
+        j = j[both / (size[i] + size[j] - both) >= similarity]
+        found.append((np.full(len(j), i), j))
+    i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    return marks[:, 0], i, j
+
+
+def _exact(tiles: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Links ``(x, y)`` that join every two sets of a class at ``similarity``; pairs of tiles are rows, pairs of sets are not."""
+    one = ("marks", "sizes", "sets")
+
+    def linked(rows):
+        for r in rows:
+            x, y = tuple(bytes(r[c]) for c in one), tuple(bytes(r[c + "_2"]) for c in one) if "marks_2" in r else None
+            fps, i, j = _similar(x, y, most, similarity)
+            links = _forest(fps, i, j)
+            yield from zip(links.column("x").to_pylist(), links.column("y").to_pylist())
+
+    other = tiles.select("class", F.col("tile").alias("tile_2"), F.col("low").alias("low_2"), *[F.col(c).alias(c + "_2") for c in one])
+    met = tiles.join(other, "class").filter(f"tile < tile_2 and low_2 - high <= {most}").drop("class")
+    # Rows, not Arrow batches: a row may hold two tiles of a megabyte.
+    found = tiles.select(*one).rdd.mapPartitions(linked).union(met.rdd.mapPartitions(linked))
+    return stored(found.toDF("x bigint, y bigint"), "linked")
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -289,25 +311,17 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     are one node as well. A null id stays null and is no component's least. Tables without rows give none; other columns
     are ignored.
 
-    First each node is held against its least neighbour, which joins most groups with one comparison a node. Nodes with
-    another neighbour, and those of blocks of several tiles, are then compared in full, but only where their groups differ.
+    A class of candidates is compared tile by tile, as operator 5 compares its blocks, so a large class costs the square of its
+    size in comparisons of bits, spread over its pairs of tiles, but sends no pairs of documents.
     """
     docs = keyed(docs, id_column, text_column)
     marks = stored(_marks(docs, shingle), "marks")
-    nodes = stored(marks.groupBy("fp").agg(F.min("k").alias("least"), F.first("a").alias("a"), F.first("b").alias("b"), F.col("fp").alias("root")), "nodes")
-    most, tables = radius(similarity), choices(nodes.count(), similarity)
-    tiles = _tiles(_placed(nodes, tables), tile)
-    around = stored(_neighbours(tiles, most), "neighbours")
-    first = stored(around.select(F.least("fp", "lo").alias("x"), F.greatest("fp", "lo").alias("y")).distinct(), "first")
-    stars = _linked(docs, first, nodes, shingle, similarity)
-    root = stored(components(stars, "x", "y"), "roots")
-    rooted = nodes.drop("root").join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    several = _met(tiles, most).select("key").distinct()
-    open_ = rooted.join(around.filter("lo <> hi").select("fp"), "fp", "left_semi")
-    again = _placed(open_, tables).union(_placed(rooted, tables).join(several, "key", "left_semi").select(_PLACED)).distinct()
-    mixed_keys = again.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    left = _pairs(_tiles(again.join(mixed_keys, "key", "left_semi").select(_PLACED), tile), most).join(first, ["x", "y"], "left_anti")
-    root = components(stars.union(_linked(docs, stored(left, "second"), nodes, shingle, similarity)), "x", "y")
+    nodes = stored(marks.groupBy("fp").agg(F.min("k").alias("least"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
+    most = radius(similarity)
+    near = components(_candidates(_tiles(_placed(nodes, choices(nodes.count(), similarity)), tile), most), "x", "y")
+    wanted = stored(near.select(F.col("node").alias("fp"), F.col("root").alias("class")).join(nodes, "fp"), "compared")
+    members = wanted.join(_sets(docs, wanted, shingle), "fp").select("class", (F.bit_count("a") + F.bit_count("b")).alias("ones"), "fp", "a", "b", "s")
+    root = components(_exact(_set_tiles(members, tile, TILE_BYTES), most, similarity), "x", "y")
     of_root = root.join(nodes.select("fp", "least"), root.node == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     linked = root.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
     known = nodes.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
