@@ -120,3 +120,23 @@ def test_postal_addresses(page):
     html = '<script type="application/ld+json">{"@type":"Store","address":{"@type":"PostalAddress","@context":"x","postalCode":"N1H 1G5","streetAddress":12}}</script>'
     row = SD.postal_addresses(page({"https://a.test/": html}, "lines"), ["site"]).first()
     assert row.address == {"@type": "PostalAddress", "postalCode": "N1H 1G5", "streetAddress": "12"}
+
+
+def test_names_of_many_controls_and_links_take_one_sweep(page):
+    import time
+
+    from vitrine.operators import accessibility as A
+    from vitrine.sources.html import _dom
+
+    n = 10_000
+    body = "".join(f'<label for="c{i}">n</label><input id="c{i}"><a href="/{i}"><b><img src="x" alt="{"" if i % 2 else "a"}"></b></a>' for i in range(n))
+    html = f'<html lang="en"><head><title>t</title></head><body>{body}<label>held <input></label><label> <input></label><span id="s">s</span><i id="s"></i><input aria-labelledby="s"></body></html>'
+    start = time.process_time()
+    _dom(html, "https://s.test/")
+    parsed = time.process_time() - start
+    pages = page({"https://s.test/": html}, "title")
+    start = time.time()
+    found = {(r["rule"], r["missing"]): r["count"] for r in A.accessibility_elements(pages, ["site"]).groupBy("rule", "missing").count().collect()}
+    # Every image has an alt attribute; every second link has a name inside; two inputs have none: an empty label's and the one whose id is last an empty element's.
+    assert found["link-name", True] == n // 2 and found["link-name", False] == n // 2 and found["control-name", True] == 2 and found["control-name", False] == n + 1
+    assert time.time() - start < 10 + 4 * parsed

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ def test_alerts_equal_the_batch_result_even_for_late_runs(spark, tmp_path):
     runs, alerts, check = (str(tmp_path / n) for n in ("runs", "alerts", "check"))
 
     def go():
-        J.metric_alerts(J.read_manifests(spark, str(inbox)), runs, alerts, check).awaitTermination()
+        J.metric_alerts(J.read_manifests(spark, str(inbox)), alerts, check).awaitTermination()
+        J.ingest_runs(J.read_manifests(spark, str(inbox)), runs, check + "-runs").awaitTermination()
 
     put(inbox, "r1", 1, seo_pct=20.0)
     go()
@@ -46,6 +48,28 @@ def test_alerts_equal_the_batch_result_even_for_late_runs(spark, tmp_path):
     assert (batch.before, batch.now, batch.delta) == (last.before, last.now, last.delta)
 
 
+def test_trends_from_state_equal_those_of_the_history(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    runs, trends, check = (str(tmp_path / n) for n in ("runs", "trends", "check"))
+    rng, days = random.Random(2), list(range(1, 29))
+    rng.shuffle(days)
+    values = {d: {k: rng.choice([1.0, 2.5, 7.125]) for k in ("seo_pct", "ai_slop", "pages") if rng.random() < 0.7} for d in days}
+    for part in (days[:9], days[9:10], days[10:]):
+        for d in part:
+            put(inbox, f"r{d}", d, **values[d])
+            (inbox / f"again{d}.json").write_text((inbox / f"r{d}.json").read_text())
+        changes = J.metric_changes(J.read_manifests(spark, str(inbox), 7))
+        assert "parquet" not in changes._jdf.queryExecution().logical().toString().lower()
+        J.run_writer(changes, trends, check, "update").awaitTermination()
+        J.ingest_runs(J.read_manifests(spark, str(inbox), 7), runs, check + "-runs").awaitTermination()
+        history = spark.read.parquet(runs)
+        now = spark.read.parquet(trends)
+        now = now.filter(F.col("batch") == now.agg(F.max("batch")).first()[0]).drop("batch")
+        assert sorted(map(tuple, now.collect())) == sorted(map(tuple, J.site_alerts(history, history).select(now.columns).collect()))
+    assert history.count() == 28
+
+
 def test_schedule_hands_over_due_sites(spark):
     sites = spark.createDataFrame([("a", ["k"], False, 7), ("b", ["k"], False, 7)], "site string, keywords array<string>, repeat boolean, every_days int")
     posts = spark.createDataFrame([("b", 1, "x", datetime(2026, 1, 9))], "site string, post_id int, keyword string, created_at timestamp")

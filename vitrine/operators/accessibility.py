@@ -23,18 +23,8 @@ def _inside(inner: Column, outer: Column) -> Column:
 
 
 def _named(node: Column) -> Column:
-    """By aria-labelledby (an existing element with text), aria-label or title. The last element of an id counts."""
-    refs = F.filter(F.split(_attr(node, "aria-labelledby"), r"\s+"), lambda r: r != "")
-    target = lambda ref: F.try_element_at(F.filter("_ided", lambda n: _attr(n, "id") == ref), F.lit(-1))["has_text"]
-    return F.exists(refs, lambda r: F.coalesce(target(r), F.lit(False))) | (F.trim(_attr(node, "aria-label")) != "") | (F.trim(_attr(node, "title")) != "")
-
-
-def _named_inside(node: Column) -> Column:
-    return F.exists("_naming", lambda c: _inside(c, node))
-
-
-def _labelled(node: Column) -> Column:
-    return F.exists("_labels", lambda x: ((_attr(node, "id") != "") & (_attr(x, "for") == _attr(node, "id"))) | _inside(node, x))
+    """By aria-labelledby (an existing element with text), aria-label or title."""
+    return node["refers"] | (F.trim(_attr(node, "aria-label")) != "") | (F.trim(_attr(node, "title")) != "")
 
 
 def _control_missing(node: Column) -> Column:
@@ -42,16 +32,12 @@ def _control_missing(node: Column) -> Column:
     filled = F.trim(_attr(node, "value")) != ""
     by_type = F.when(kind.isin("submit", "reset"), ~_has(node, "value") | filled).when(kind == "button", filled).when(
         kind == "image", F.trim(_attr(node, "alt")) != "").otherwise(F.lit(False))
-    return ~(_named(node) | _labelled(node) | by_type)
+    return ~(_named(node) | node["labelled"] | by_type)
 
 
 def accessibility_elements(pages: DataFrame, keys: list[str]) -> DataFrame:
     """One row per checked element: rule, place in the source, and whether the rule's condition is missing."""
-    prepared = pages.filter(exclusion_reason().isNull()).select(
-        *keys, "url", "dom",
-        F.filter(NODES, lambda n: _attr(n, "id") != "").alias("_ided"),
-        F.filter(NODES, lambda n: (n["tag"] == "label") & n["has_text"]).alias("_labels"),
-        F.filter(NODES, lambda n: ~n["hidden"] & ((_attr(n, "alt") != "") | (_attr(n, "aria-label") != "") | ((n["tag"] == "title") & n["has_text"]))).alias("_naming"))
+    prepared = pages.filter(exclusion_reason().isNull()).select(*keys, "url", "dom")
     head = F.filter(NODES, lambda n: n["tag"] == "head")
     title = F.get(F.filter(NODES, lambda n: (n["tag"] == "title") & F.exists(head, lambda h: _inside(n, h))), 0)
     root = F.get(F.filter(NODES, lambda n: n["tag"] == "html"), 0)
@@ -67,7 +53,7 @@ def accessibility_elements(pages: DataFrame, keys: list[str]) -> DataFrame:
                                        "button": "button-name", "a": "link-name", "iframe": "frame-name"})
     missing = lambda n: F.when(n["tag"] == "img", ~_has(n, "alt") & ~_named(n) & ~_attr(n, "role").isin("none", "presentation")).when(
         n["tag"].isin("input", "select", "textarea"), _control_missing(n)).when(n["tag"] == "iframe", ~_named(n)).otherwise(
-        ~(_named(n) | n["has_text"] | _named_inside(n)))
+        ~(_named(n) | n["has_text"] | n["names_inside"]))
     whole_page = F.array(row(F.lit("page-title"), title, ~title["has_text"]), row(F.lit("html-lang"), root, F.trim(_attr(root, "lang")) == ""))
     rows = F.concat(whole_page, F.transform(seen, lambda n: row(rule(n), n, missing(n))))
     return prepared.select(*keys, "url", F.explode(rows).alias("r")).select(*keys, "url", "r.*")

@@ -78,12 +78,17 @@ def metric_trend(metrics: DataFrame, runs: DataFrame, last: int = fixed.TREND_RU
     now = F.col("_age") == 1
     sides = rows.groupBy("site", "key").agg(
         F.max(F.when(now, F.col("value"))).alias("now"), F.min_by(F.when(~now, F.col("value")), F.when(~now, F.col("_age"))).alias("before"),
-        F.count("*").alias("measured"), F.max("_age").alias("_oldest"))
+        F.count("*").alias("measured"), F.max("_age").alias("oldest"))
+    return trend_rows(sides, directions)
+
+
+def trend_rows(sides: DataFrame, directions: dict[str, bool | None] | None = None) -> DataFrame:
+    """Trends from both sides of every metric: ``site, key, now, before``, how often it was ``measured`` and the age of the ``oldest`` run that has it."""
     change = rounded(F.col("now") - F.col("before"), 2)
     better = lookup(F.col("key"), {k: v for k, v in (directions or fixed.METRIC_DIRECTION).items() if v is not None})
     return sides.select(
         "site", "key", "now", "before", F.when(change != 0, change).alias("delta"), trend(F.col("before"), F.col("now"), better).alias("trend"),
-        "measured", (F.col("measured") < F.col("_oldest")).alias("has_gap"), (F.col("now").isNull() & F.col("before").isNotNull()).alias("missing"))
+        "measured", (F.col("measured") < F.col("oldest")).alias("has_gap"), (F.col("now").isNull() & F.col("before").isNotNull()).alias("missing"))
 
 
 def since_last(checks: DataFrame) -> DataFrame:

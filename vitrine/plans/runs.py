@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import runs as R
-from .registry import query
+from ..session import checkpoint_dir
+from ..streaming import jobs as J
+from .registry import SQL, query
 
 DIRECTIONS = {"click": True, "error": False, "purchase": True, "signup": True, "view": None}
 DAY_SQL = """
@@ -81,6 +85,35 @@ def _(t):
     return R.metric_trend(metrics(t), runs(t), directions=DIRECTIONS)
 
 
+def arriving(t):
+    """The runs and their metrics as manifests that have arrived in files."""
+    measured = metrics(t).groupBy("site", "run_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metrics"))
+    rows = runs(t).join(measured, ["site", "run_id"], "left").select("site", "run_id", "created_at", F.lit("scan").alias("command"), F.lit("COMPLETE").alias("status"),
+                                                                     F.struct(F.col("pages").cast("bigint").alias("pages")).alias("counts"), "metrics")
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/vitrine-arriving-{uuid.uuid4().hex}"
+    # Dealt by run, so that the runs of a site arrive in any order and in several batches.
+    rows.repartition(6, "run_id").write.parquet(f"{folder}/in")
+    return folder
+
+
+@query("streamed_metric_trend", SQL["metric_trend"])
+def _(t):
+    """The trends that a stream holds after all runs have arrived, file by file: the newest batch of every site."""
+    folder = arriving(t)
+    changes = J.metric_changes(J.read_manifests(t.spark, f"{folder}/in", 2, "parquet"), DIRECTIONS)
+    J.run_writer(changes, f"{folder}/out", f"{folder}/state", "update").awaitTermination()
+    found = t.spark.read.parquet(f"{folder}/out")
+    newest = found.groupBy("site").agg(F.max("batch").alias("batch"))
+    return found.join(newest, ["site", "batch"]).drop("batch")
+
+
+@query("streamed_runs", DAY_SQL + "select site, run_id, created_at, pages::bigint as pages from runs")
+def _(t):
+    folder = arriving(t)
+    J.ingest_runs(J.read_manifests(t.spark, f"{folder}/in", 2, "parquet"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("site", "run_id", "created_at", "pages")
+
+
 @query("since_last", DAY_SQL + """
 , c as (select r.site, r.run_id, r.created_at, m.key as name, m.value, (r.u + dayofmonth(r.day)) % 4 <> 0 as known, r.pages % 3 <> 0 as found from runs r join m using (site, run_id)),
 p as (select *, lag(run_id) over w as then_run, lag(value) over w as then_value, lag(found) over w as then_found from c where known window w as (partition by site, name order by created_at))
