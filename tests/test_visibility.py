@@ -107,3 +107,28 @@ def test_citation_limit_keeps_the_rest_as_not_checked(spark):
     counts = {r.status: r["count"] for r in CI.citation_check(V.cited_pages(rows, ["site"]), bodies, profile, ["site"], 40).groupBy("status").count().collect()}
     assert counts == {"unreachable": 40, "not_checked": 10}
     assert CI.citation_check(V.cited_pages(rows, ["site"]), bodies, profile, ["site"]).filter("status = 'unreachable'").count() == 50
+
+
+def test_quotes_are_found_on_any_page_of_their_site(spark):
+    import random
+
+    from vitrine.operators import evidence as E
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    pages = [(f"s{i % 2}", i, f"https://x.test/{i}", rng.choice([" ", "\n  "]).join(word() for _ in range(rng.randint(0, 30)))) for i in range(60)] + [("s0", 60, "https://x.test/60", None)]
+    claims = []
+    for i in range(200):
+        site, _, _, text = rng.choice(pages[:60])
+        start = rng.randint(0, max(0, len(text) - 1))
+        claims.append((rng.choice([site, site, "s1", "s2"]), i, rng.choice([text[start:start + rng.randint(1, 25)], "ab  B c", None, ""]), "https://x.test/1?q=2"))
+    squashed = lambda t: " ".join((t or "").lower().split())
+    where = lambda site, q: next((u for s, _, u, t in pages if q and s == site and q in squashed(t)), None)
+    p = spark.createDataFrame(pages, "site string, place int, url string, visible_text string")
+    c = spark.createDataFrame(claims, "site string, claim_id int, quote string, url string")
+    got = {r["claim_id"]: (r["url"], r["verified"]) for r in E.attribute_quotes_everywhere(c, p, ["site"]).collect()}
+    assert len(got) == 200 and sum(v for _, v in got.values()) > 60
+    for site, i, quote, url in claims:
+        found = where(site, squashed(quote))
+        assert got[i][1] == (found is not None) and (found is None or got[i][0] == found)
+    assert E.quoted_on(c.limit(0), p, ["site"]).count() == 0

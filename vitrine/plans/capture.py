@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions.urls import host
 from ..operators import frontier as W, pages as P
+from ..operators.registry import collect
+from ..session import checkpoint_dir, cut
 from ..sources import capture as S
-from . import derived as D
+from . import derived as D, evidence as _evidence  # noqa: F401 - registers the SQL that is put together here
 from .checks import P_SQL
-from .registry import query
+from .registry import SQL, query
 
 KEYS = ["site"]
 
@@ -56,6 +62,55 @@ def _(t):
     return S.content_names(pages, KEYS).select("site", "page_no", "file")
 
 
+def _folder(t, what):
+    return f"{checkpoint_dir(t.spark).rstrip('/')}/vitrine-{what}-{uuid.uuid4().hex}"
+
+
+@query("stored_responses", P_SQL + "select site, url, case when k % 19 = 0 then 503 else 200 end as status, k % 23 = 0 as truncated, length(html) as characters from p")
+def _(t):
+    """Captured responses written with the declared schema and read back, the columns asked for only."""
+    path, url, k = _folder(t, "responses"), F.col("url"), F.col("page_id")
+    given = {"site": host(url), "run_id": F.lit("r"), "url": url, "final_url": url, "status": F.when(k % 19 == 0, 503).otherwise(200), "body": F.col("html"), "truncated": k % 23 == 0,
+             "error": F.when(k % 19 == 0, "HTTP 503")}
+    t.pages.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.RESPONSES.fields]).write.parquet(path)
+    return S.read_responses(t.spark, path).select("site", "url", "status", "truncated", F.char_length("body").cast("bigint").alias("characters"))
+
+
+@query("written_content", """
+with p as (select doc_id as k, lang as site, source as label, text, min(doc_id) over (partition by lang, source) as f from documents)
+select site, case when k = f then label else label || '-' || lpad(k::varchar, greatest(4, length(k::varchar))::int, '0') end as file,
+  '# ' || case when k % 3 = 0 then 'https://s.test/' || k else 'Doc ' || k end || chr(10) || chr(10) || 'Source: https://s.test/' || k || chr(10) || chr(10) || text || chr(10) as value from p""")
+def _(t):
+    """Readable text written in a folder per site and read back."""
+    path, k = _folder(t, "content"), F.col("doc_id")
+    pages = t.documents.select(F.col("lang").alias("site"), k.alias("page_no"), F.col("source").alias("label"), F.when(k % 3 != 0, F.concat(F.lit("Doc "), k)).otherwise("").alias("title"),
+                               F.concat(F.lit("https://s.test/"), k).alias("url"), F.col("text").alias("visible_text"))
+    S.write_content(pages, path, KEYS)
+    return t.spark.read.parquet(path).select("site", "file", "value")
+
+
+@query("dimension_results", f"""
+select 'security' as dimension, site, pages_checked as n from ({SQL['https_summary']}) union all select 'accessibility', site, findings from ({SQL['accessibility_summary']}) union all
+select 'answer_coverage', site::varchar, questions from ({SQL['coverage_summary']}) union all select 'practitioners', site::varchar, practitioners from ({SQL['practitioner_summary']}) union all
+select 'meta_ads', site, sum(ads)::bigint from ({SQL['ad_pages']}) group by site""")
+def _(t):
+    """Every dimension whose inputs were captured, from one registry call; the pages are parsed once."""
+    orders, k = t.orders, F.col("c_custkey")
+    bad = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 4 == 0)
+    coverage = F.when(F.col("o_orderstatus") == "F", "answered").when(F.col("o_orderstatus") == "O", "partial").when(~bad, "missing")
+    inputs = {
+        "pages": cut(D.records(t, "script_sources", "images")),
+        "questions": orders.select(F.col("o_custkey").alias("site"), coverage.alias("coverage"), F.when(bad, "timeout").alias("error")),
+        "people": t.customer.select(F.col("c_nationkey").alias("site"), F.when(k % 4 != 0, F.floor(k / 40)).alias("profile_url"), (k % 2 == 0).alias("dedicated_page"), (k % 3 == 0).alias("person_schema"),
+                                    (k % 6 == 0).alias("same_as"), (k % 5 != 0).alias("credentials")),
+        "ads": t.part.select(F.col("p_type").alias("site"), F.col("p_brand").alias("page_name"))}
+    results, status = collect(inputs, ["security", "accessibility", "answer_coverage", "practitioners", "meta_ads", "citation_gap"])
+    assert [n for n, s in status.items() if s != "COLLECTED"] == ["citation_gap"]
+    number = {"security": "pages_checked", "accessibility": "findings", "answer_coverage": "questions", "practitioners": "practitioners", "meta_ads": "ads"}
+    rows = [results[n].groupBy(F.col("site").cast("string").alias("site")).agg(F.sum(c).cast("bigint").alias("n")).select(F.lit(n).alias("dimension"), "site", "n") for n, c in number.items()]
+    return reduce(DataFrame.union, rows)
+
+
 @query("verify_bundle", """
 select doc_id::varchar || '.md' as path, case when doc_id % 10 = 3 then 'missing' else 'modified' end as problem from documents where doc_id % 10 in (3, 7) union all
 select '../' || doc_id || '.md', 'missing' from documents where doc_id % 100 = 1""")

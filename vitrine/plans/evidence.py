@@ -163,6 +163,21 @@ def _(t):
     return E.attribute_quotes(claims, read, pages, KEYS).select("claim_id", "url", "verified")
 
 
+@query("attribute_quotes_everywhere", r"""
+with d as (select doc_id as k, lang as site, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents),
+q as (select k, site, substr(t, 1 + k % 40, 20 + k % 30) as q from d where t <> ''),
+n as (select k, site, trim(q) as q from q where trim(q) <> ''),
+m as (select q.k, min(d.k) as found from n q join d on q.site = d.site and contains(d.t, q.q) group by 1)
+select n.k as claim_id, 'https://s.test/' || coalesce(m.found, n.k) as url, m.found is not null as verified from n left join m using (k)""")
+def _(t):
+    from ..functions.scalars import squash
+
+    pages = t.documents.select(F.col("lang").alias("site"), F.col("doc_id").alias("place"), F.concat(F.lit("https://s.test/"), "doc_id").alias("url"), F.col("text").alias("visible_text"))
+    part = F.substring(squash(F.col("visible_text")), (1 + F.col("place") % 40).cast("int"), (20 + F.col("place") % 30).cast("int"))
+    claims = pages.withColumn("quote", part).filter(F.trim("quote") != "").select("site", F.col("place").alias("claim_id"), "quote", F.concat("url", F.lit("/?x=1")).alias("url"))
+    return E.attribute_quotes_everywhere(claims, pages, KEYS).select("claim_id", "url", "verified")
+
+
 @query("reading_pages", """
 with p as (select doc_id as k, lang as site, ['blog', 'contact', 'about', 'homepage', 'case-study'][(doc_id % 5 + 1)::int] as label from documents where trim(text) <> '')
 select site, k as page_no, label, row_number() over (partition by site order by list_position(['homepage', 'about', 'service', 'product', 'pricing', 'location', 'contact', 'case-study', 'blog'], label), k) as place from p qualify place <= 6""")

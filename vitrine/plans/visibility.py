@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions.identity import identity_check
 from ..operators import citations as CI, visibility as V
-from .registry import query
+from .registry import SQL, query
 
 KEYS = ["site"]
 STATUSES = "site: order status; target: supplier 8"
@@ -217,6 +217,29 @@ def _(t):
     return CI.citation_gap_summary(CI.citation_check(V.cited_pages(sources(t), KEYS), captures(t), source_profiles(t), KEYS, fixed.CITED_TO_CHECK), KEYS)
 
 
+# The same over every third-party page, without the number that a fetch was limited to.
+ALL_SQL = CAPTURE_SQL.replace("when r.r > 40 then 'not_checked' ", "")
+
+
+def _checked(t):
+    return CI.citation_check(V.cited_pages(sources(t), KEYS), captures(t), source_profiles(t), KEYS)
+
+
+@query("cited_mentions_all", ALL_SQL + SQL["cited_mentions"].removeprefix(CAPTURE_SQL))
+def _(t):
+    return _checked(t).filter(F.col("status") != "owned").select("site", "url", "status", "match")
+
+
+@query("citation_gap_domains_all", ALL_SQL + SQL["citation_gap_domains"].removeprefix(CAPTURE_SQL))
+def _(t):
+    return CI.citation_gap_domains(_checked(t), KEYS)
+
+
+@query("citation_gap_summary_all", ALL_SQL + SQL["citation_gap_summary"].removeprefix(CAPTURE_SQL))
+def _(t):
+    return CI.citation_gap_summary(_checked(t), KEYS)
+
+
 @query("answer_citations", """
 select conv_id as answer_id, count(distinct turn % 3)::bigint as sources from conversations where role = 'assistant' group by 1""")
 def _(t):
