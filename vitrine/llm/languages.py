@@ -198,7 +198,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 grams, n = np.unique(grams[np.cumsum(inside)[:len(grams)] > 0], return_counts=True)
                 yield made(schema, [lang] * len(grams), pa.array(grams.view(np.int64)), n)
 
-    sample = _sample(docs, id_column, text_column, lang_column)
+    # One task per language: its sample is bounded, and each of its runs is counted in one place.
+    sample = _sample(docs, id_column, text_column, lang_column).repartition("lang")
     counted = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs, grams, n = counted.column("lang").combine_chunks(), counted.column("gram").to_numpy().view(_U), counted.column("n").to_numpy()
     names = sorted(pc.unique(langs).to_pylist())
