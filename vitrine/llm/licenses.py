@@ -1,10 +1,12 @@
-"""Licence scans by canonical digests (operator 9); DataFrame expressions only."""
+"""Licence scans by canonical digests (operator 9): DataFrame expressions, and one Arrow step for texts that hold the first paragraph of a known text."""
 
 from __future__ import annotations
 
+import hashlib
 import pkgutil
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .fixed_values import LICENSE_FILES, LICENSE_TEXTS, LICENSE_TITLES, SPELLINGS
@@ -47,15 +49,18 @@ def known_texts() -> list[tuple[str, str]]:
     return [*LICENSE_TEXTS, *whole, *[(name, f"{title}\n{text}") for name, text in whole for title in LICENSE_TITLES.get(name, [])]]
 
 
-def starts(spark: SparkSession) -> dict[str, int]:
-    """Digest of the first paragraph of each whole text, and the most blocks that the text may be cut into by empty lines."""
+def starts(spark: SparkSession) -> dict[str, tuple[int, list[int]]]:
+    """Digest of the first paragraph of each whole text: the most blocks that the text may be cut into by empty lines, and the
+    lengths of the known texts that begin with that paragraph, each as one canonical line."""
     rows = []
     for name, text in whole_texts():
         first = re.split(r"\n\s*\n", text.strip())[0] if re.search(r"\n\s*\n", text.strip()) else text.split("\n")[0]
         n = sum(1 for line in text.split("\n") if line.strip())
         rows += [(n, first), *[(n, f"{title}\n{first}") for title in LICENSE_TITLES.get(name, [])]]
-    found = spark.createDataFrame(rows, "n int, text string").groupBy(F.md5(_one_line(canonical(F.col("text")))).alias("d")).agg(F.max("n"))
-    return {r[0]: r[1] for r in found.collect()}
+    first = spark.createDataFrame(rows, "n int, text string").groupBy(_one_line(canonical(F.col("text"))).alias("f")).agg(F.max("n").alias("n"))
+    texts = spark.createDataFrame([(text,) for _, text in known_texts()], "text string").select(_one_line(canonical(F.col("text"))).alias("t"))
+    found = first.join(texts, F.expr("startswith(t, f)")).groupBy(F.md5("f")).agg(F.max("n"), F.sort_array(F.collect_set(F.length("t"))))
+    return {r[0]: (r[1], r[2]) for r in found.collect()}
 
 
 def known_digests(spark: SparkSession, texts=None) -> DataFrame:
@@ -66,8 +71,32 @@ def known_digests(spark: SparkSession, texts=None) -> DataFrame:
     return digests.groupBy("digest").agg(F.min_by("license", "i").alias("license"))
 
 
+def _run_digests(first: dict[str, tuple[int, list[int]]]):
+    """Digests of the runs of two and more neighbouring blocks, not the whole text, that begin with a known first paragraph and
+    are as long as a known text. Every block's place is known by the length up to it, so a run's end is one lookup."""
+    @F.pandas_udf("array<string>")
+    def digests(texts: pd.Series) -> pd.Series:
+        def of(blocks):
+            found, begins, ends, at = [], [], {}, 0
+            for j, block in enumerate(blocks):
+                begins.append(at)
+                at += len(block) + 1
+                ends[at] = j + 1
+            for i, block in enumerate(blocks):
+                most, lengths = first.get(hashlib.md5(block.encode()).hexdigest(), (0, ()))
+                for n in lengths:
+                    j = ends.get(begins[i] + n + 1, 0)
+                    if 2 <= j - i <= most and j - i < len(blocks):
+                        found.append(hashlib.md5(" ".join(blocks[i:j]).encode()).hexdigest())
+            return found
+
+        return texts.map(of, na_action="ignore")
+
+    return digests
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text",
-         first: dict[str, int] | None = None) -> DataFrame:
+         first: dict[str, tuple[int, list[int]]] | None = None) -> DataFrame:
     """``(doc_id, license, n_notices, notices)`` of every row.
 
     ``license`` names the known text that the whole text is (null if none). A document may also carry known texts inside: its
@@ -75,29 +104,32 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_
     found, ``notices`` their names, sorted and comma-joined (a block of one line is looked up as a line only, and the whole
     text is no block). Null, empty and punctuation-only texts match nothing; repeated rows are scanned each; a null id like
     any other; other columns are ignored. Runs of two and more neighbouring blocks, but not the whole text, are looked up from
-    each block that is the first paragraph of a known whole text (``first``: its digest and the most blocks). The known texts are joined by digest and may be a table of any size.
+    each block that is the first paragraph of a known whole text (``first``: see ``starts``), and only runs as long as a known
+    text that begins so are put together, so that the work grows with a text's length however often a first paragraph stands
+    in it. The known texts are joined by digest and may be a table of any size.
     """
     first = first if first is not None else starts(docs.sparkSession) if known is None else {}
     known = known if known is not None else known_digests(docs.sparkSession)
     text = F.col(text_column).cast("string")
     given = docs.select(F.col(id_column).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), canonical(text).alias("c"))
-    lines = F.transform(F.split("c", "\n"), lambda x: F.struct(F.lit(1).alias("level"), F.trim(x).alias("unit")))
-    blocks = F.transform(F.filter(F.split("c", r"\n[ \n]*\n"), lambda x: F.instr(F.trim(F.trim(F.trim(x), F.lit("\n"))), "\n") > 0), lambda x: F.struct(F.lit(2).alias("level"), _one_line(x).alias("unit")))
+    parts = F.split("c", r"\n[ \n]*\n")
+
+    def unit(level, line):
+        return F.struct(F.lit(level).alias("level"), F.when(line != "", F.md5(line)).alias("digest"))
+
+    whole = F.array(unit(0, _one_line(F.col("c"))))
+    lines = F.transform(F.split("c", "\n"), lambda x: unit(1, F.trim(x)))
+    blocks = F.transform(F.filter(parts, lambda x: F.instr(F.trim(F.trim(F.trim(x), F.lit("\n"))), "\n") > 0), lambda x: unit(2, _one_line(x)))
+    none = F.array().cast("array<struct<level:int,digest:string>>")
+    units = [whole, lines, F.coalesce(blocks, none)]
     if first:
-        longest = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
-        paragraphs = F.filter(F.transform(F.split("c", r"\n[ \n]*\n"), _one_line), lambda x: x != "")
-        at = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("i"), F.try_element_at(longest, F.md5(x)).alias("m"))), lambda x: x.m.isNotNull())
-
-        def runs(x):
-            most = F.least(x.m, F.size("p") - x.i)
-            lengths = F.when(most >= 2, F.sequence(F.lit(2), most)).otherwise(F.array().cast("array<int>"))
-            return F.transform(F.filter(lengths, lambda r: r < F.size("p")), lambda r: F.struct(F.lit(3).alias("level"), F.concat_ws(" ", F.slice(F.col("p"), x.i + 1, r)).alias("unit")))
-
-        given = given.withColumn("p", paragraphs)
-        blocks = F.concat(F.coalesce(blocks, F.array().cast("array<struct<level:int,unit:string>>")), F.coalesce(F.flatten(F.transform(at, runs)), F.array().cast("array<struct<level:int,unit:string>>")))
-    whole = F.array(F.struct(F.lit(0).alias("level"), _one_line(F.col("c")).alias("unit")))
-    units = given.select("k", "h", F.size(F.split("c", r"\n[ \n]*\n")).alias("n_blocks"), F.explode(F.concat(whole, lines, F.coalesce(blocks, F.array().cast("array<struct<level:int,unit:string>>")))).alias("u"))
-    units = units.filter("u.unit <> '' and (u.level < 2 or n_blocks > 1)").select("k", "h", "u.level", F.md5("u.unit").alias("digest"))
+        paragraphs = F.filter(F.transform(parts, _one_line), lambda x: x != "")
+        began = F.when(F.exists(paragraphs, lambda x: F.md5(x).isin(*first)), paragraphs)
+        given = given.withColumn("runs", _run_digests(first)(began))
+        units.append(F.coalesce(F.transform("runs", lambda d: F.struct(F.lit(3).alias("level"), d.alias("digest"))), none))
+    # The number of blocks is asked for below the explode: beside it, it would be counted anew for every unit.
+    units = given.withColumn("n_blocks", F.size(parts)).select("k", "h", "n_blocks", F.explode(F.concat(*units)).alias("u"))
+    units = units.filter("u.digest is not null and (u.level < 2 or n_blocks > 1)").select("k", "h", "u.level", "u.digest")
     key = [F.coalesce(F.col("k").cast("string"), F.lit("null")).alias("key"), F.col("h")]
     # Rows with one id and one text hold the same units; each counts once.
     rows = given.groupBy("k", "h").agg(F.count("*").alias("_rows"))
