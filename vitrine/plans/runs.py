@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import runs as R
+from ..operators import runs as R, tracked as K
 from ..session import checkpoint_dir
 from ..streaming import jobs as J
 from .registry import SQL, query
@@ -220,3 +220,67 @@ def _(t):
     kept = R.snapshot(checks)
     size = F.aggregate("answers", F.lit(0), lambda a, x: a + F.length(x["prompt"]))
     return kept.select("run_id", F.size("answers").cast("bigint").alias("answers"), size.cast("bigint").alias("kept_characters"), "reviews.rating")
+
+
+#: Which tracked check stands for which event type, and the stored result by the number of the day's events.
+TRACKED = {"click": "llm_reputation", "error": "ai_search", "view": "answer_coverage", "signup": "practitioners", "purchase": "google_business"}
+
+
+def tracked_checks(t):
+    """Stored results as JSON, written from the number of a run's events."""
+    rows = metrics(t).join(runs(t).select("site", "run_id", "u", "day", F.col("pages").cast("int").alias("k")), ["site", "run_id"])
+    k, number = F.col("k"), lambda c: c.cast("double")
+    source = lambda domain, own: F.struct(F.lit(domain).alias("domain"), number(k).alias("answers"), F.lit(own).alias("is_target"))
+    sources = F.when(k % 3 == 1, F.array(source("other.test", False))).when(k % 3 == 2, F.array(source("other.test", False), source("own.test", True)))
+    board = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.concat(F.lit("c"), (k + i) % 6).alias("company"), (i == 1).alias("is_target")))
+    few = F.slice(F.array(F.lit("city"), F.lit("phone")), F.lit(1), k % 3)
+    result = F.to_json(F.struct(
+        F.struct((k % 4).alias("rank"), (number(k % 10) / 10).alias("mention_rate"), (number(k % 7) / 8).alias("share_of_voice"), F.struct((k % 3 - 1).alias("score")).alias("sentiment"),
+                 sources.alias("sources"), board.alias("leaderboard")).alias("scores"),
+        F.struct((k % 5).alias("answered"), (k % 3).alias("partial"), (k % 4).alias("missing"), k.alias("practitioners"), (k % 6).alias("with_dedicated_page"),
+                 (k % 2).alias("with_person_schema"), F.when(k % 2 == 1, k).alias("with_same_as")).alias("summary"),
+        F.transform(F.sequence(k % 2, k % 3 + 1), lambda i: F.struct(F.concat(F.lit("p"), i).alias("name"))).alias("practitioners"),
+        F.struct((number(k % 50) / 10).alias("rating"), (k * 2).alias("count")).alias("reviews"), few.alias("mismatches")))
+    status = F.when((F.col("u") + F.dayofmonth("day")) % 4 != 0, "OBSERVED").otherwise("UNKNOWN")
+    name = F.coalesce(*[F.when(F.col("key") == event, check) for event, check in TRACKED.items()])
+    return rows.select("site", "run_id", "created_at", name.alias("name"), status.alias("status"), (k % 3 != 0).alias("found"), result.alias("data"))
+
+
+TRACKED_SQL = DAY_SQL + """
+, c as (select r.site, r.run_id, r.created_at, case m.key when 'click' then 'llm_reputation' when 'error' then 'ai_search' when 'view' then 'answer_coverage' when 'signup' then 'practitioners' when 'purchase' then 'google_business' end as name,
+  r.pages as k, r.pages % 3 <> 0 as found from runs r join m using (site, run_id) where (r.u + dayofmonth(r.day)) % 4 <> 0),
+p as (select * from (select site, run_id, name, found, k, lag(run_id) over w as earlier_run, lag(k) over w as j, lag(found) over w as then_found from c where name is not null window w as (partition by site, name order by created_at))
+  where earlier_run is not null and (name <> 'google_business' or (found and then_found)))"""
+
+
+@query("tracked_numbers", TRACKED_SQL + """
+, each as (
+  select *, unnest([{'label': 'Rank', 'unit': 'rank', 'up': false, 'b': nullif(j % 4, 0)::double, 'a': nullif(k % 4, 0)::double}, {'label': 'Mention rate', 'unit': 'share', 'up': true, 'b': (j % 10)::double / 10, 'a': (k % 10)::double / 10},
+    {'label': 'Share of voice', 'unit': 'share', 'up': true, 'b': (j % 7)::double / 8, 'a': (k % 7)::double / 8}, {'label': 'Sentiment', 'unit': 'signed', 'up': true, 'b': (j % 3 - 1)::double, 'a': (k % 3 - 1)::double}]) as x
+  from p where name in ('llm_reputation', 'ai_search')
+  union all select *, {'label': 'Answers citing your site', 'unit': 'number', 'up': true, 'b': case j % 3 when 1 then 0 when 2 then j end::double, 'a': case k % 3 when 1 then 0 when 2 then k end::double}
+  from p where name in ('llm_reputation', 'ai_search') and (j % 3 <> 0 or k % 3 <> 0)
+  union all select *, unnest([{'label': 'Answered', 'unit': 'number', 'up': true, 'b': (j % 5)::double, 'a': (k % 5)::double}, {'label': 'Partly answered', 'unit': 'number', 'up': null, 'b': (j % 3)::double, 'a': (k % 3)::double},
+    {'label': 'Not answered', 'unit': 'number', 'up': false, 'b': (j % 4)::double, 'a': (k % 4)::double}]) from p where name = 'answer_coverage'
+  union all select *, unnest([{'label': 'Practitioners', 'unit': 'number', 'up': true, 'b': j::double, 'a': k::double}, {'label': 'With their own page', 'unit': 'number', 'up': true, 'b': (j % 6)::double, 'a': (k % 6)::double},
+    {'label': 'With Person schema', 'unit': 'number', 'up': true, 'b': (j % 2)::double, 'a': (k % 2)::double},
+    {'label': 'With sameAs links', 'unit': 'number', 'up': true, 'b': case when j % 2 = 1 then j end::double, 'a': case when k % 2 = 1 then k end::double}]) from p where name = 'practitioners'
+  union all select *, unnest([{'label': 'Rating', 'unit': 'number', 'up': true, 'b': (j % 50)::double / 10, 'a': (k % 50)::double / 10}, {'label': 'Reviews', 'unit': 'number', 'up': true, 'b': (j * 2)::double, 'a': (k * 2)::double},
+    {'label': 'Facts that differ', 'unit': 'number', 'up': false, 'b': (j % 3)::double, 'a': (k % 3)::double}]) from p where name = 'google_business')
+select site, run_id, name, earlier_run, x.label as label, x.unit as unit, x.b as before, x.a as after,
+  case when x.b is null or x.a is null then null when x.b = x.a then 'same' when x.up is null then null when (x.a > x.b) = x.up then 'better' else 'worse' end as trend from each""")
+def _(t):
+    return K.tracked_numbers(tracked_checks(t))
+
+
+@query("tracked_names", TRACKED_SQL + """
+, each as (
+  select *, 'Top competitors' as label, ['c' || (j + i) % 6 for i in [0, 2, 3]] as b, ['c' || (k + i) % 6 for i in [0, 2, 3]] as a from p where name in ('llm_reputation', 'ai_search')
+  union all select *, 'Top cited sites', case when j % 3 > 0 then ['other.test'] else [] end, case when k % 3 > 0 then ['other.test'] else [] end from p where name in ('llm_reputation', 'ai_search')
+  union all select *, 'Practitioners', ['p' || i for i in generate_series(j % 2, j % 3 + 1)], ['p' || i for i in generate_series(k % 2, k % 3 + 1)] from p where name = 'practitioners'
+  union all select *, 'Differs from the website', ['city', 'phone'][1:j % 3], ['city', 'phone'][1:k % 3] from p where name = 'google_business')
+select site, run_id, name, earlier_run, label, array_to_string(list_filter(a, lambda x: not list_contains(b, x)), ',') as gained, array_to_string(list_filter(b, lambda x: not list_contains(a, x)), ',') as lost
+from each where len(list_filter(a, lambda x: not list_contains(b, x))) > 0 or len(list_filter(b, lambda x: not list_contains(a, x))) > 0""")
+def _(t):
+    found = K.tracked_names(tracked_checks(t))
+    return found.withColumn("gained", F.array_join("gained", ",")).withColumn("lost", F.array_join("lost", ","))
