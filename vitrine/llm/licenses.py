@@ -57,10 +57,9 @@ def starts(spark: SparkSession) -> dict[str, tuple[int, list[int]]]:
         first = re.split(r"\n\s*\n", text.strip())[0] if re.search(r"\n\s*\n", text.strip()) else text.split("\n")[0]
         n = sum(1 for line in text.split("\n") if line.strip())
         rows += [(n, first), *[(n, f"{title}\n{first}") for title in LICENSE_TITLES.get(name, [])]]
-    first = spark.createDataFrame(rows, "n int, text string").groupBy(_one_line(canonical(F.col("text"))).alias("f")).agg(F.max("n").alias("n"))
-    texts = spark.createDataFrame([(text,) for _, text in known_texts()], "text string").select(_one_line(canonical(F.col("text"))).alias("t"))
-    found = first.join(texts, F.expr("startswith(t, f)")).groupBy(F.md5("f")).agg(F.max("n"), F.sort_array(F.collect_set(F.length("t"))))
-    return {r[0]: (r[1], r[2]) for r in found.collect()}
+    first = spark.createDataFrame(rows, "n int, text string").groupBy(_one_line(canonical(F.col("text"))).alias("f")).agg(F.max("n")).collect()
+    texts = [r[0] for r in spark.createDataFrame([(text,) for _, text in known_texts()], "text string").select(_one_line(canonical(F.col("text")))).collect()]
+    return {hashlib.md5(f.encode()).hexdigest(): (n, sorted({len(t) for t in texts if t.startswith(f)})) for f, n in first}
 
 
 def known_digests(spark: SparkSession, texts=None) -> DataFrame:
