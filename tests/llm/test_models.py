@@ -87,7 +87,7 @@ def test_messages_give_the_sums_over_all_labellings():
     total, ones = 0.0, [0.0] * n
     for y in itertools.product((0, 1), repeat=n):
         z = sum(sum(model.unary[f] for f in features[i]) for i in range(n) if y[i])
-        z += sum(model.pair[html_text._KIND.get(page.tags[i], 0)][y[page.parents[i]]][y[i]] for i in range(1, n))
+        z += sum(model.pair[html_text.kinds_of(page)[i]][y[page.parents[i]]][y[i]] for i in range(1, n))
         total += math.exp(z)
         for i in range(n):
             ones[i] += math.exp(z) * y[i]

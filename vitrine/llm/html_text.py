@@ -32,11 +32,20 @@ _SENTENCE = re.compile(r"[.!?…。][\"'»”)]*\s")
 _GROUP = {w: g for g, ws in ATTRIBUTE_WORDS.items() for w in ws}
 _TAGS = ("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form button input label fieldset "
          "address details summary head dialog menu other").split()
-_NAMES = [*[f"tag {t}" for t in _TAGS], *[f"says {g}" for g in ATTRIBUTE_WORDS], "hidden", *[f"length {i}" for i in range(5)], *[f"links {i}" for i in range(4)], "sentences"]
+#: What an element hands down to all below it: the words it is called by, that it is hidden, that it is not the page's main article.
+_HANDED = [*[f"says {g}" for g in ATTRIBUTE_WORDS if g != "content"], "hidden", "lesser article"]
+_NAMES = [*[f"tag {t}" for t in _TAGS], *[f"says {g}" for g in ATTRIBUTE_WORDS], "hidden", *[f"length {i}" for i in range(5)], *[f"links {i}" for i in range(4)], "sentences",
+          "lesser article", "inside article", "inside main", "inside page edge", *[f"under {x}" for x in _HANDED], *[f"share {i}" for i in range(4)], *[f"div length {i}" for i in range(5)], *[f"unmarked {t}" for t in ("div", "p", "heading", "other")]]
 FEATURE = {name: i for i, name in enumerate(_NAMES)}
-#: Kinds of child elements, each with its own parent-child potentials.
+_LAYOUT_WORDS = {FEATURE[f"says {g}"] for g in ("menu", "edge", "side", "social")}
+_DOWN = {FEATURE[x]: FEATURE[f"under {x}"] for x in _HANDED}
+#: Kinds of child elements, each with its own parent-child potentials, below article or main and elsewhere.
 _KIND = {t: 1 for t in "p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split()} | {t: 2 for t in "nav header footer aside form".split()}
-KINDS = 3
+KINDS = 6
+#: Elements that are no part of an article when they stand outside ``article`` and ``main``, as a rule.
+_EDGES = {"nav", "header", "footer", "aside", "form", "dialog"}
+_INSIDE = {FEATURE["inside article"], FEATURE["inside main"], FEATURE["inside page edge"]}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -57,6 +66,7 @@ class Page:
         self.chars, self.linked, self.full = [0], [0], [False]
         self.blocks: list[tuple[int, str]] = []
         stack, held, links, at = [0], [], 0, 0
+        opened: dict[str, int] = {}  # how many elements of a tag are open: an end tag without one costs no look at the stack
 
         def close():
             if held:
@@ -74,6 +84,9 @@ class Page:
             if links:
                 self.linked[stack[-1]] += len(piece.strip())
 
+        def leave():
+            opened[self.tags[stack.pop()]] -= 1
+
         for m in _TOKEN.finditer(source):
             if m.start() > at:
                 say(source[at:m.start()])
@@ -92,16 +105,18 @@ class Page:
             close()
             links = 0
             if ending:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == tag:
-                        del stack[i:]
-                        break
+                if tag in _HEADINGS and self.tags[stack[-1]] in _HEADINGS:  # an end tag of another level ends a heading too
+                    tag = self.tags[stack[-1]]
+                if opened.get(tag):
+                    while self.tags[stack[-1]] != tag:
+                        leave()
+                    leave()
                 continue
             if tag in ENDS_P and self.tags[stack[-1]] == "p":
-                stack.pop()
+                leave()
             family = ENDS_OWN.get(tag)
             while family and len(stack) > 1 and self.tags[stack[-1]] in family:
-                stack.pop()
+                leave()
             if tag == "html":
                 continue
             self.tags.append(tag)
@@ -112,28 +127,66 @@ class Page:
             self.full.append(False)
             if tag not in VOID:
                 stack.append(len(self.tags) - 1)
+                opened[tag] = opened.get(tag, 0) + 1
         if at < len(source):
             say(source[at:])
         close()
 
     def features(self) -> list[tuple[int, ...]]:
-        """Numbers of the features that hold, per element: what it is, what it is called, how much of it is text and links."""
-        chars, linked = self.chars[:], self.linked[:]
+        """Numbers of the features that hold, per element: what it is and is called, what those above it are called, how much of it is text and links.
+
+        Elements that hold the page's heading or ``main`` hand no name down, and of elements with half of the page's text only
+        notices, adverts, comments, forms and hidden ones do: a wrapper called "with-sidebar" is no sidebar.
+        """
+        chars, linked, tags, parents = self.chars[:], self.linked[:], self.tags, self.parents
         for i in range(len(chars) - 1, 0, -1):
-            chars[self.parents[i]] += chars[i]
-            linked[self.parents[i]] += linked[i]
-        length, link, sentences = FEATURE["length 0"], FEATURE["links 0"], (FEATURE["sentences"],)
+            chars[parents[i]] += chars[i]
+            linked[parents[i]] += linked[i]
+        wraps = [t in ("main", "h1") for t in tags]
+        for i in range(len(tags) - 1, 0, -1):
+            if wraps[i]:
+                wraps[parents[i]] = True
+        total = max(1, chars[0] - linked[0])
+        largest = max((c for t, c in zip(tags, chars) if t == "article"), default=0)
+        unmarked = "article" not in tags and "main" not in tags
+        length, link, share, block = FEATURE["length 0"], FEATURE["links 0"], FEATURE["share 0"], FEATURE["div length 0"]
+        handed: list[tuple[int, ...]] = []
         out = []
-        for tag, attributes, own, all_chars, all_links, full in zip(self.tags, self.attributes, self.chars, chars, linked, self.full):
+        for i, (tag, attributes, own) in enumerate(zip(tags, self.attributes, self.chars)):
+            named = _element_features(tag, attributes)
+            if tag == "article" and 2 * chars[i] < largest:
+                named += (FEATURE["lesser article"],)
+            above = handed[parents[i]] if i else ()
+            part = (chars[i] - linked[i]) / total
+            new = () if wraps[i] else [_DOWN[f] for f in named if f in _DOWN and (part < 0.5 or f not in _LAYOUT_WORDS) and _DOWN[f] not in above]
+            if tag in ("article", "main") and len(named) == 1 and FEATURE[f"inside {tag}"] not in above:
+                new = (*new, FEATURE[f"inside {tag}"])
+            if tag in _EDGES and not _INSIDE.intersection(above):
+                named += (FEATURE["inside page edge"],)
+                new = (*new, FEATURE["inside page edge"])
+            handed.append((*above, *new) if new else above)
             size = 0 if not own else 1 if own < 25 else 2 if own < 80 else 3 if own < 250 else 4
-            share = all_links / all_chars if all_chars else 0
-            found = (*_element_features(tag, attributes), length + size, link + (0 if share == 0 else 1 if share < 0.2 else 2 if share < 0.6 else 3))
-            out.append(found + sentences if full else found)
+            of_links = linked[i] / chars[i] if chars[i] else 0
+            found = (*named, *above, length + size, link + (0 if of_links == 0 else 1 if of_links < 0.2 else 2 if of_links < 0.6 else 3),
+                     share + (0 if part < 0.1 else 1 if part < 0.4 else 2 if part < 0.8 else 3))
+            if tag == "div":
+                found += (block + size,)
+            if unmarked:
+                found += (FEATURE["unmarked " + (tag if tag in ("div", "p") else "heading" if tag in _HEADINGS else "other")],)
+            if self.full[i]:
+                found += (FEATURE["sentences"],)
+            out.append(found)
         return out
 
 
+def kinds_of(page: Page) -> list[int]:
+    """Which parent-child potentials hold between each element and its parent."""
+    holds = [3 if t in ("article", "main") else 0 for t in page.tags]
+    return [_KIND.get(t, 0) + (holds[p] if p >= 0 else 0) for t, p in zip(page.tags, page.parents)]
+
+
 class TreeModel:
-    """Binary labels on a tree: unary potentials from features, parent-child potentials by the child's kind."""
+    """Binary labels on a tree: unary potentials from features, parent-child potentials by the kinds of child and parent."""
 
     def __init__(self):
         self.unary = [0.0] * len(FEATURE)
@@ -143,7 +196,7 @@ class TreeModel:
         """Sum-product upward and downward: each element's probability of being content, and of each pair of labels with its parent."""
         features = features or page.features()
         n, parents, unary = len(page.tags), page.parents, self.unary
-        kinds = [_KIND.get(t, 0) for t in page.tags]
+        kinds = kinds_of(page)
         one = [sum([unary[f] for f in fs]) for fs in features]  # log potential of label 1; label 0 has 0
         below = one[:]  # with the messages of the children, as a difference of log sums
         up = [0.0] * n
@@ -180,17 +233,17 @@ class TreeModel:
         return " ".join(text for node, text in page.blocks if likely[node] > 0.5)
 
 
-def fit(pages: list[str], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> TreeModel:
-    """Maximum likelihood from pages whose content elements carry ``data-main``: observed less expected counts, by adaptive steps."""
+def fit(pages: list[str], rounds: int = 120, rate: float = 0.15, decay: float = 2e-5) -> TreeModel:
+    """Maximum likelihood from pages whose content elements carry ``data-main``: observed less expected counts, by steps with momentum and a rate per feature."""
     model, known = TreeModel(), []
     for source in pages:
         page = Page(source)
         labels = [int("data-main" in a) for a in page.attributes]
-        known.append((page, page.features(), labels, [_KIND.get(t, 0) for t in page.tags]))
-    seen_u, seen_p = np.full(len(FEATURE), 1e-8), np.full((KINDS, 4), 1e-8)
+        known.append((page, page.features(), labels, kinds_of(page)))
     unary, pair = np.zeros(len(FEATURE)), np.zeros((KINDS, 4))
+    mean, square = np.zeros(unary.size + pair.size), np.zeros(unary.size + pair.size)
     size = sum(len(x[2]) for x in known)
-    for _ in range(rounds):
+    for step in range(1, rounds + 1):
         up, pp = -decay * unary * size, -decay * pair * size
         for page, features, labels, kinds in known:
             likely, pairs = model.marginals(page, features)
@@ -200,18 +253,24 @@ def fit(pages: list[str], rounds: int = 150, rate: float = 0.5, decay: float = 1
                 if i:
                     pp[kinds[i]] -= pairs[i]
                     pp[kinds[i], 2 * labels[page.parents[i]] + y] += 1
-        up, pp = up / size, pp / size
-        seen_u += up * up
-        seen_p += pp * pp
-        unary, pair = unary + rate * up / np.sqrt(seen_u), pair + rate * pp / np.sqrt(seen_p)
+        slope = np.concatenate([up, pp.ravel()]) / size
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
+        move = rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
+        unary, pair = unary + move[:unary.size], pair + move[unary.size:].reshape(pair.shape)
         model.unary, model.pair = unary.tolist(), pair.reshape(KINDS, 2, 2).tolist()
     return model
 
 
-def labelled_pages(n: int = 60, seed: int = 7) -> list[str]:
+#: Families of page layouts: where the article stands.
+LAYOUTS = ("article", "main", "named", "plain", "bare", "table")
+
+
+def labelled_pages(n: int = 200, seed: int = 7, layouts: tuple[str, ...] = LAYOUTS) -> list[str]:
     """Pages of common layouts whose content elements are marked ``data-main``: what the model is trained on.
 
-    Layout, names, order and lengths vary by rule; words are invented, so that no words of any corpus matter.
+    Layout, names, order and lengths vary by rule; words are invented, so that no words of any corpus matter. The article is
+    an element of that name, ``main``, a ``div`` with a telling name, a ``div`` among others without names, not wrapped at
+    all, or a table under a heading.
     """
     rng = random.Random(seed)
 
@@ -230,7 +289,24 @@ def labelled_pages(n: int = 60, seed: int = 7) -> list[str]:
 
     M = "data-main"
 
-    def article():
+    def paragraphs(k):
+        return "".join(f"<p {M}>{sentences(rng.randint(2, 6))}</p>" for _ in range(k))
+
+    def table():
+        rows = "".join(f"<tr {M}><td {M}>{words(1, 3)}</td><td {M}>{rng.choice([rng.randint(1, 999), words(1, 3)])}</td></tr>" for _ in range(rng.randint(1, 6)))
+        return f"<table {M}>" + rng.choice(["", f"<tr {M}><th {M}>{words(1, 2)}</th><th {M}>{words(1, 2)}</th></tr>"]) + rows + "</table>"
+
+    def contents():
+        return named(rng.choice(["nav", "div", "ul"]), ["toc", "table-of-contents", "toc-list"], "".join(f"<li><a href='#{i}'>{words(1, 3)}</a></li>" for i in range(rng.randint(2, 6))), 0)
+
+    def teaser():
+        inner = f"<h3>{rng.choice([words(1, 4), f'<a href=x>{words(2, 6)}</a>'])}</h3><p>{words(4, 14)}.</p>"
+        return rng.choice([f"<article>{inner}</article>", f"<article class='{rng.choice(['teaser', 'related-post', 'card'])}'>{inner}</article>"])
+
+    def article(layout):
+        if layout == "table":
+            inner = f"<h1 {M}>{words(1, 4)}</h1>" + rng.choice(["", f"<p {M}>{words(4, 14)}.</p>"]) + table()
+            return rng.choice([f"<main {M}>{inner}</main>", f"<article {M}>{inner}</article>", f'<div class="content" {M}>{inner}</div>'])
         parts = [f"<h1 {M}>{words(2, 9)}</h1>"] if rng.random() < 0.8 else []
         if parts and rng.random() < 0.2:
             parts = [f"<header {M}>{parts[0]}</header>"]
@@ -247,23 +323,38 @@ def labelled_pages(n: int = 60, seed: int = 7) -> list[str]:
             elif kind < 0.86:
                 parts.append(f"<blockquote {M}><p {M}>{text}</p></blockquote>")
             elif kind < 0.90:
-                parts.append(f"<table {M}><tr {M}><td {M}>{words(1, 3)}</td><td {M}>{words(1, 6)}</td></tr></table>")
+                parts.append(table())
             elif kind < 0.93:
                 parts.append(f"<figure {M}><img src=x><figcaption {M}>{words(3, 9)}</figcaption></figure>")
             elif kind < 0.95:
                 parts.append(f"<pre {M}>{words(3, 20)}</pre>")
             else:
                 parts.append(rng.choice([advert, side, social, form])())
+        if layout in ("plain", "bare"):
+            parts.append(paragraphs(rng.randint(1, 2)))
+        if rng.random() < 0.15:
+            parts.insert(rng.randint(0, len(parts)), advert())
+        if rng.random() < 0.2:
+            parts.insert(rng.randint(0, min(1, len(parts))), contents())
+        if rng.random() < 0.12:
+            parts.append(f"<footer>{words(2, 6)}{rng.choice(['', '.'])}</footer>")
+        if rng.random() < 0.08:
+            parts.insert(rng.randint(0, len(parts)), f"<aside class='{rng.choice(['pullquote', 'note', 'pull-quote'])}'>{rng.choice([sentences(1), f'<p>{sentences(1)}</p>'])}</aside>")
         inner = "".join(parts)
-        wrapper = rng.random()
-        if wrapper < 0.45:
-            return f"<article {M}>{inner}</article>"
-        if wrapper < 0.6:
-            return f"<main><article {M}>{inner}</article></main>"
-        if wrapper < 0.7:
-            return f'<main {M} id="main">{inner}</main>'
+        if layout == "bare":
+            return inner
+        if layout == "plain":
+            whole = rng.choice([f"<div {M}>{inner}</div>", f"<div {M}><div {M}>{inner}</div></div>"])
+            if rng.random() < 0.4:
+                whole = f"<div {M}>" + "".join(f"<div {M}>{sentences(rng.randint(2, 6))}</div>" for _ in range(rng.randint(1, 5))) + "</div>"
+            return whole
+        if layout == "article":
+            others = "".join(teaser() for _ in range(rng.choice([0, 0, 0, 1, 2, 3])))
+            return rng.choice([f"<article {M}>{inner}</article>{others}", f"<main><article {M}>{inner}</article>{others}</main>", f"<main><article {M}>{inner}</article></main>{others}"])
+        if layout == "main":
+            return f'<main {M} id="main">{inner}</main>' if rng.random() < 0.5 else f"<main {M}>{inner}</main>"
         name = rng.choice(["content", "post-content", "entry-content", "article-body", "story", "main-content", "page-content", "text"])
-        return rng.choice([f'<div class="{name}" {M}>{inner}</div>', f'<section {M}><div class="{name}" {M}>{inner}</div></section>', f"<div {M}>{inner}</div>"])
+        return rng.choice([f'<div class="{name}" {M}>{inner}</div>', f'<section {M}><div class="{name}" {M}>{inner}</div></section>'])
 
     def top():
         return named("header", ["site-header", "masthead", "header"], rng.choice([f"<h1>{words(1, 3)}</h1>", f"<div>{words(1, 4)}</div>", f"<p>{words(3, 9)}</p>", ""]) + rng.choice(["", menu()]))
@@ -272,13 +363,16 @@ def labelled_pages(n: int = 60, seed: int = 7) -> list[str]:
         return named(rng.choice(["nav", "nav", "div"]), ["nav", "menu", "navbar", "breadcrumb", "pagination"], links(rng.randint(2, 9)))
 
     def advert():
-        return named(rng.choice(["div", "div", "section", "aside"]), ["ad", "ads", "advert", "sponsored", "promo", "banner-ad"], rng.choice([words(2, 9) + ".", f"<p>{sentences(rng.randint(1, 3))}</p>", f"<a href=x>{words(2, 6)}</a>"]), 0)
+        return named(rng.choice(["div", "div", "section", "aside"]), ["ad", "ads", "advert", "sponsored", "promo", "banner-ad", "ad-slot", "ad-unit", "top_ad", "sponsored-box"], rng.choice([words(2, 9) + ".", f"<p>{sentences(rng.randint(1, 3))}</p>", f"<a href=x>{words(2, 6)}</a>"]), 0)
 
     def side():
         return named(rng.choice(["aside", "aside", "div"]), ["sidebar", "widget", "related", "popular"], rng.choice([links(4), f"<h3>{words(1, 3)}</h3>{links(3)}", f"<p>{sentences(2)}</p>"]))
 
     def notice():
-        return named(rng.choice(["div", "section", "dialog"]), ["cookie-notice", "consent", "newsletter", "alert", "popup", "paywall"], f"<p>{sentences(rng.randint(1, 2))}</p><button>{words(1, 2)}</button>", 0)
+        if rng.random() < 0.2:
+            return rng.choice(["<div hidden>", "<div style='display: none'>", "<div aria-hidden=true>"]) + f"<p>{sentences(rng.randint(1, 3))}</p>" + "</div>"
+        tag, inner = rng.choice(["div", "section", "dialog"]), f"<p>{sentences(rng.randint(1, 2))}</p><button>{words(1, 2)}</button>"
+        return named(tag, ["cookie-notice", "cookie-banner", "consent", "newsletter", "alert", "popup", "paywall"], inner, 0.3 if tag == "dialog" else 0)
 
     def social():
         return named("div", ["share", "social", "tags"], rng.choice([links(3), f"<a href=x>{words(1, 2)}</a>"]), 0)
@@ -293,15 +387,21 @@ def labelled_pages(n: int = 60, seed: int = 7) -> list[str]:
     def bottom():
         return named(rng.choice(["footer", "footer", "div"]), ["footer", "site-footer", "copyright"], rng.choice([f"&copy; {words(1, 3)}", f"&copy; {words(1, 2)} &middot; {words(3, 9)}.", f"<p>{sentences(1)}</p>", links(4) + f"<p>&copy; {words(1, 3)}</p>"]))
 
+    def unnamed():
+        return "<div>" + rng.choice([words(1, 3), " ".join(f"<a href=/{i}>{words(1, 2)}</a>" for i in range(rng.randint(2, 6))), links(rng.randint(2, 6)), f"&copy; {words(1, 3)}"]) + "</div>"
+
     out = []
     for _ in range(n):
+        layout = rng.choice(layouts)
         before = [f() for f in (top, menu, notice, advert) if rng.random() < 0.55]
         after = [f() for f in (social, comments, side, advert, form) if rng.random() < 0.4]
         rng.shuffle(after)
-        body = "".join(before) + article() + "".join(after) + (bottom() if rng.random() < 0.85 else "")
+        if layout == "plain" and rng.random() < 0.7:
+            before, after = [unnamed() for _ in range(rng.randint(0, 2))], [unnamed() for _ in range(rng.randint(0, 2))]
+        body = "".join(before) + article(layout) + "".join(after) + (bottom() if rng.random() < (0.4 if layout == "plain" else 0.85) else "")
         if rng.random() < 0.4:
-            body = f'<div {rng.choice(["id=page", "class=wrapper", "class=site", ""])}>{body}</div>'
-        out.append(body if rng.random() < 0.15 else f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{body}</body></html>")
+            body = f'<div {rng.choice(["id=page", "class=wrapper", "class=site", "class=with-sidebar", ""])}>{body}</div>'
+        out.append(body if rng.random() < 0.15 else f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body{rng.choice(['', '', ' class=has-sidebar'])}>{body}</body></html>")
     return out
 
 
