@@ -10,20 +10,22 @@ from ..functions import fixed_values as fixed
 from ..functions.copy import opening, openings
 from ..functions.scalars import line_words, strip
 from ..session import cut
+from .ranking import beside
 
 
 def _nonblank(lines: Column) -> Column:
     return F.filter(lines, lambda x: strip(x) != "")
 
 
-def line_marks(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """One narrow row per page, written once: 8-byte hashes of its distinct lines, and of its lines' openings with their lines.
+def line_marks(pages: DataFrame, keys: list[str], with_openings: bool = False) -> DataFrame:
+    """One narrow row per page, written once: 8-byte hashes of its distinct lines, and if asked for of its lines' openings with their lines.
 
     The texts are read for this once; everything that pages of a site share is counted from these rows.
     """
     pairs = F.transform(F.filter("lines", lambda x: line_words(x) >= 2), lambda x: F.struct(F.xxhash64(x).alias("line"), opening(x).alias("opening")))
     hashed = F.transform(F.filter(pairs, lambda p: p["opening"] != ""), lambda p: F.struct(p["line"].alias("line"), F.xxhash64(p["opening"]).alias("opening")))
-    return cut(pages.select(*keys, F.array_distinct(F.transform(_nonblank(F.col("lines")), lambda x: F.xxhash64(x))).alias("_lines"), F.array_distinct(hashed).alias("_pairs")))
+    lines = F.array_distinct(F.transform(_nonblank(F.col("lines")), lambda x: F.xxhash64(x))).alias("_lines")
+    return cut(pages.select(*keys, lines, *([F.array_distinct(hashed).alias("_pairs")] if with_openings else [])))
 
 
 def _frequent(marks: DataFrame, keys: list[str], hashes: Column, floor: Callable[[Column], Column], at_least: int, name: str) -> DataFrame:
@@ -33,7 +35,7 @@ def _frequent(marks: DataFrame, keys: list[str], hashes: Column, floor: Callable
     """
     totals = marks.groupBy(*keys).agg(F.count("*").alias("_total"))
     counted = marks.select(*keys, F.explode(hashes).alias("_hash")).groupBy(*keys, "_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") >= at_least)
-    return counted.join(totals, keys).filter(F.col("_n") >= floor(F.col("_total"))).groupBy(*keys).agg(F.collect_set("_hash").alias(name))
+    return beside(counted, totals, keys).filter(F.col("_n") >= floor(F.col("_total"))).groupBy(*keys).agg(F.collect_set("_hash").alias(name))
 
 
 def _chrome_floor(share: float, min_pages: int) -> Callable[[Column], Column]:
@@ -45,8 +47,8 @@ def _none() -> Column:
 
 
 def _with(rows: DataFrame, keys: list[str], per_group: DataFrame, *names: str) -> DataFrame:
-    """A left join, so that only the side of one row a group can ever be broadcast and the pages stay spread out."""
-    joined = rows.join(per_group, keys, "left")
+    """Rows with the arrays of their group, empty where it has none; the pages of a group stay spread out."""
+    joined = beside(rows, per_group, keys, "left")
     return joined.withColumns({n: F.coalesce(n, _none()) for n in names})
 
 
@@ -94,7 +96,7 @@ def page_bodies(pages: DataFrame, keys: list[str], share: float = fixed.CHROME_S
 def bodies_and_openings(pages: DataFrame, keys: list[str], chrome_share: float = fixed.CHROME_SHARE, opening_share: float = fixed.SKELETON_SHARE,
                         min_pages: int = fixed.CHROME_MIN_PAGES) -> DataFrame:
     """``page_bodies`` and ``common_openings``, the hashes of the site's template openings, from two reads of the texts and one join."""
-    marks = line_marks(pages, keys)
+    marks = line_marks(pages, keys, with_openings=True)
     chrome = cut(_shared_lines(marks, keys, chrome_share, min_pages))
     openings = _shared_openings(marks, keys, chrome, opening_share, min_pages)
     shared = chrome.join(openings, keys, "full_outer")

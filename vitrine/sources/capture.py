@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scalars import strip
-from ..operators.ranking import positions
+from ..operators.ranking import beside, positions
 
 RESPONSES = T.StructType([
     T.StructField("site", T.StringType()), T.StructField("run_id", T.StringType()), T.StructField("url", T.StringType()),
@@ -145,18 +145,18 @@ def corpus_digest(reports: DataFrame, pages: DataFrame, keys: list[str], budget:
     no run's text is ever gathered. ``reports``: keys, pos, text. ``pages``: keys, page_no, head, body.
     """
     shares = reports.groupBy(*keys).agg(F.count("*").alias("_files"))
-    told = reports.join(shares, keys).withColumn("text", trimmed(F.col("text"), F.least(F.lit(report_max), F.floor(F.lit(budget * 0.4) / (F.col("_files") + 1)).cast("int"))))
+    told = beside(reports, shares, keys).withColumn("text", trimmed(F.col("text"), F.least(F.lit(report_max), F.floor(F.lit(budget * 0.4) / (F.col("_files") + 1)).cast("int"))))
     counts = pages.groupBy(*keys).agg(F.count("*").alias("_pages"))
-    headed = pages.join(counts, keys).withColumn("head", trimmed(F.col("head"), F.least(F.lit(head_max), F.floor(F.lit(budget * 0.2) / F.col("_pages")).cast("int"))))
+    headed = beside(pages, counts, keys).withColumn("head", trimmed(F.col("head"), F.least(F.lit(head_max), F.floor(F.lit(budget * 0.2) / F.col("_pages")).cast("int"))))
     spent = told.groupBy(*keys).agg(F.sum(F.length("text")).alias("_told"))
     used = headed.groupBy(*keys).agg(F.sum(F.length("head")).alias("_heads"), F.first("_pages").alias("_pages")).join(spent, keys, "left")
     left = F.lit(budget) - F.coalesce("_told", F.lit(0)) - F.col("_heads")
     even = used.select(*keys, left.alias("_left"), F.greatest(F.lit(200), F.floor(left / F.col("_pages"))).cast("bigint").alias("_even"))
-    sized = headed.join(even, keys)
+    sized = beside(headed, even, keys)
     fits = F.length("body") <= F.col("_even")
     slack = sized.groupBy(*keys).agg(F.first("_left").alias("_left"), F.first("_even").alias("_even"), F.sum(F.when(fits, F.length("body")).otherwise(0)).alias("_short"), F.count_if(~fits).alias("_long"))
     each = slack.select(*keys, F.greatest("_even", F.coalesce(F.floor(F.try_divide(F.col("_left") - F.col("_short"), F.col("_long"))), "_even")).cast("int").alias("_each"))
-    bodies = headed.join(each, keys).select(*keys, F.lit("page").alias("part"), F.col("page_no").alias("pos"), F.concat("head", F.lit("\n"), trimmed(F.col("body"), F.col("_each"))).alias("text"))
+    bodies = beside(headed, each, keys).select(*keys, F.lit("page").alias("part"), F.col("page_no").alias("pos"), F.concat("head", F.lit("\n"), trimmed(F.col("body"), F.col("_each"))).alias("text"))
     return told.select(*keys, F.lit("report").alias("part"), "pos", "text").unionByName(bodies)
 
 
