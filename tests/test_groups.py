@@ -65,3 +65,29 @@ def test_rows_beside_their_group_equal_a_join(spark, monkeypatch, few, how):
     got, want = R.beside(rows, groups, KEYS, how), rows.join(groups, KEYS, how)
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_pages_are_parsed_once_for_all_lists(spark, tmp_path, monkeypatch):
+    from vitrine.plans import derived as D
+    from vitrine.plans.registry import RUN
+    import vitrine.plans.worklists  # noqa: F401
+
+    spark.createDataFrame([(i, f"https://h{i % 2}.test/{i}", "<html><head></head><body><p>x</p><footer></footer></body></html>") for i in range(6)],
+                          "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 0, "user", "why?")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, 1, "Ann")], "c_custkey bigint, c_nationkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "N")], "n_nationkey bigint, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    parses, parse = [], D.parse_html
+    monkeypatch.setattr(D, "parse_html", lambda pages: parses.append(1) or parse(pages))
+    assert RUN["work_item_lists"](spark, str(tmp_path)).count() > 0 and len(parses) == 1
+
+
+def test_only_pairs_that_a_quote_asks_for_are_kept(spark, monkeypatch):
+    from vitrine.operators import evidence as E
+
+    kept, cut = [], E.cut
+    monkeypatch.setattr(E, "cut", lambda rows: kept.append(rows) or cut(rows))
+    pages = spark.createDataFrame([("s", i, f"https://s.test/{i}", " ".join(f"w{i}x{j}" for j in range(100))) for i in range(10)], "site string, place int, url string, visible_text string")
+    claims = spark.createDataFrame([("s", "x3 w4x4 w4x5 W4X6  w4")], "site string, quote string")
+    assert [(r.place, r.url) for r in E.quoted_on(claims, pages, ["site"]).collect()] == [(4, "https://s.test/4")]
+    assert [rows.count() for rows in kept if "gram" in rows.columns] == [2]

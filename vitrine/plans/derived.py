@@ -105,12 +105,13 @@ def records_of(pages, *names):
     return found.withColumn("extraction_status", F.lit("EXTRACTED")).withColumn("duplicate_of", F.lit(None).cast("string"))
 
 
-def with_tools(t):
-    return C.detect_tools(records(t, "script_srcs", "inline_script").select("site", "page_no", "url", "script_srcs", "inline_script"))
+def with_tools(t, found=None):
+    """``found``: records that have the columns already, for those who read them more than once."""
+    return C.detect_tools((records(t, "script_srcs", "inline_script") if found is None else found).select("site", "page_no", "url", "script_srcs", "inline_script"))
 
 
-def with_issues(t):
-    return SD.with_issues(records(t, "lines").select("site", "page_no", "url", "dom", "lines"))
+def with_issues(t, found=None):
+    return SD.with_issues((records(t, "lines") if found is None else found).select("site", "page_no", "url", "dom", "lines"))
 
 
 def with_signals(t):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import accessibility as A, checks as C, dashboard as B, social as SO, worklists as W
+from ..session import cut
 from . import derived as D
 from .checks import A11Y_SQL, ISSUE_SQL, P_SQL, PREVIEW_SQL, PROOF_SQL, SECURITY_SQL
 from .registry import query
@@ -18,8 +19,8 @@ analytics as (select site, 'no_analytics' as kind, null as url from f where not
   union all select p.site, 'page_without_analytics', url from p join f on p.site = f.site and measured where k % 5 not in (1, 2))"""
 
 
-def _analytics(t):
-    return W.analytics_worklist(D.with_tools(t), KEYS)
+def _analytics(t, found=None):
+    return W.analytics_worklist(D.with_tools(t, found), KEYS)
 
 
 @query("analytics_worklist", ANALYTICS_SQL + " select site, kind, url from analytics")
@@ -31,8 +32,8 @@ HEADER_SQL = SECURITY_SQL + """
 , headers as (select site, problem, count(*) as pages from (select site, unnest(missing) as problem from s union all select site, 'not served over HTTPS' from s where not https) group by 1, 2)"""
 
 
-def _headers(t):
-    return W.header_worklist(C.security_row(D.records(t, "script_sources", "images"), KEYS), KEYS)
+def _headers(t, found=None):
+    return W.header_worklist(C.security_row(D.records(t, "script_sources", "images") if found is None else found, KEYS), KEYS)
 
 
 @query("header_worklist", HEADER_SQL + " select site, problem, pages from headers")
@@ -45,8 +46,8 @@ STRUCTURED_SQL = ISSUE_SQL + """
   union all select site, k, split_part(x, '|', 1), trim(regexp_replace(split_part(x, '|', 2) || ' ' || split_part(x, '|', 3) || ' ' || split_part(x, '|', 4), ' +', ' ', 'g')) from (select distinct site, k, x from i))"""
 
 
-def _structured(t):
-    return W.structured_worklist(D.with_issues(t), [*KEYS, "page_no"])
+def _structured(t, found=None):
+    return W.structured_worklist(D.with_issues(t, found), [*KEYS, "page_no"])
 
 
 @query("structured_worklist", STRUCTURED_SQL + " select site, k as page_no, severity, problem from structured")
@@ -64,8 +65,8 @@ def _(t):
     return _previews(t).select("site", "page_no", F.array_join(F.array_sort("issues"), ",").alias("issues"))
 
 
-def _accessibility(t):
-    return W.accessibility_worklist(A.accessibility_findings(A.accessibility_elements(D.records(t, "lines"), [*KEYS, "page_no"])), [*KEYS, "page_no"])
+def _accessibility(t, found=None):
+    return W.accessibility_worklist(A.accessibility_findings(A.accessibility_elements(D.records(t, "lines") if found is None else found, [*KEYS, "page_no"])), [*KEYS, "page_no"])
 
 
 @query("accessibility_worklist", A11Y_SQL + """
@@ -141,13 +142,17 @@ def _after(sql, start=P_SQL):
     return "\n, " + sql.removeprefix(start).strip().removeprefix(", ").removeprefix("with ")
 
 
+RECORD = ["lines", "script_srcs", "inline_script", "script_sources", "images"]
+
+
 @query("work_item_lists", P_SQL + _after(ANALYTICS_SQL) + _after(HEADER_SQL) + _after(STRUCTURED_SQL) + _after(A11Y_SQL) + _after(QUESTION_SQL) + _after(PEOPLE_SQL) + """
 select site, slug, sum(n)::bigint as rows, builder from (select site, 'analytics' as slug, 0 as builder, 1 as n from analytics union all select site, 'security-headers', 1, 1 from headers
   union all select site, 'structured-data', 3, 1 from structured union all select site, 'accessibility', 5, bad from e where bad > 0
   union all select site, 'questions', 7, 1 from questions union all select site, 'practitioners', 10, 1 from practitioners) group by 1, 2, 4""")
 def _(t):
-    """Tasks from lists of every kind. Page records are parsed per list here; keep them as a table in real use."""
-    lists = {"analytics": _analytics(t), "security-headers": _headers(t), "structured-data": _structured(t), "accessibility": _accessibility(t),
+    """Tasks from lists of every kind. Pages are parsed once, and their records written for the four lists that read them."""
+    found = cut(D.records(t, *RECORD))
+    lists = {"analytics": _analytics(t, found), "security-headers": _headers(t, found), "structured-data": _structured(t, found), "accessibility": _accessibility(t, found),
              "questions": _questions(t), "practitioners": _practitioners(t)}
     none = t.pages.limit(0).select(F.lit("").alias("site"), F.lit("").alias("slug"), F.lit(0).alias("finding_id"))
     return B.work_items(lists, none, KEYS).select("site", "slug", "rows", "builder")
