@@ -46,23 +46,30 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
 
+def _hashes(grams: Column) -> Column:
+    return F.transform(grams, lambda g: F.xxhash64(g))
+
+
 def quoted_on(claims: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """The first page of a group that contains each quote: ``(keys, quote, place, url)``, the quote as ``squash`` gives it.
 
     ``claims``: keys, quote; ``pages``: keys, place, url, visible_text. Any number of pages: a page offers its words and pairs
     of words, a quote asks for the rarest pair of its whole words (the first and the last may be cut), and only pages that have
-    it are searched for the quote itself. A quote of one or two words has no whole word to ask for and is searched for on
+    it are searched for the quote itself. Words and pairs are compared by 8-byte hashes, and only those that a quote asks for are
+    kept: a hash that two share adds a page to search, no result. A quote of one or two words has no whole word to ask for and is searched for on
     every page of its group. Quotes and pages that are null or empty, and quotes that stand nowhere, give no row; quotes that
     come several times give one.
     """
     quotes = cut(claims.select(*keys, squash(F.col("quote")).alias("quote")).filter("quote <> ''").distinct())
     texts = cut(pages.select(*keys, "place", "url", squash(F.col("visible_text")).alias("_text")).filter("_text <> ''"))
     words = F.filter(F.split("_text", " "), lambda w: w != "")
-    offered = cut(texts.select(*keys, "place", F.explode(F.array_union(_grams(words), F.array_distinct(words))).alias("gram")))
     inner = F.split("quote", " ")
     asked = quotes.withColumn("_inner", F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)))
+    wanted = asked.filter("_inner is not null").select(*keys, "quote", F.explode(_hashes(_grams(F.col("_inner")))).alias("gram"))
+    every = texts.select(*keys, "place", F.explode(F.array_distinct(_hashes(F.array_union(_grams(words), F.array_distinct(words))))).alias("gram"))
+    offered = cut(every.join(wanted.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi"))
     counts = offered.groupBy(*keys, "gram").agg(F.count("*").alias("_n"))
-    rare = asked.filter("_inner is not null").select(*keys, "quote", F.explode(_grams(F.col("_inner"))).alias("gram")).join(counts, [*keys, "gram"], "left")
+    rare = wanted.join(counts, [*keys, "gram"], "left")
     rare = rare.groupBy(*keys, "quote").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
     met = rare.join(offered, [*keys, "gram"]).select(*keys, "quote", "place")
     short = asked.filter("_inner is null").select(*keys, "quote").join(texts.select(*keys, "place"), keys)
