@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, functions as F, types as T
 
 from . import fixed_values as fixed
-from .scalars import SPACE, between, first_where, let, literal, line_words, ratio, strip, whole
+from .scalars import SPACE, between, first_where, has_words, let, literal, line_words, ratio, strip, whole
 
 FLAGS = "(?iU)"
 
@@ -24,8 +27,53 @@ def phrase_pattern(phrases: list[str]) -> str:
     return rf"{FLAGS}(?<!\w)(?:{'|'.join(branches)})(?!\w)"
 
 
+#: The characters that matches of a pattern start with; asking for them first is cheaper than a word boundary.
+STARTS = {"we": "wWoOuU", "you": "yY", "number": r"0-9$£€\x{80}-\x{10ffff}", "stat": r"0-9\x{80}-\x{10ffff}"}
+
+
 def pattern(name: str) -> str:
-    return FLAGS + fixed.PATTERNS[name]
+    return (f"(?=[{STARTS[name]}])" if name in STARTS else "") + FLAGS + fixed.PATTERNS[name]
+
+
+def _loose(stated: str) -> str:
+    """What every match of a pattern holds, for the linear-time engine of Arrow: no word boundaries, and white space and digits by
+    their Unicode classes. Letters that match an ASCII letter only under Java's folding ask for the pattern by themselves."""
+    plain = stated.replace(r"\b", "").replace(r"\s", r"[\t-\r\x{85}\pZ]").replace(r"\d", r"\p{Nd}")
+    return f"(?i:{plain})|[\u0130\u0131\u017f\u212a]"
+
+
+def _loose_phrases(phrases: list[str]) -> str:
+    return _loose("|".join(re.escape(p).replace("\\ ", r"\s+") for p in phrases))
+
+
+def _asked() -> dict[str, str]:
+    found = {name: _loose_phrases(phrases) for name, phrases in (
+        ("stock", fixed.STOCK), ("openers", fixed.OPENERS), ("puffery", fixed.PUFFERY), ("balance", fixed.BALANCE))}
+    return found | {name: _loose(fixed.PATTERNS[name]) for name in (
+        "contrast", "split_contrast", "no_just", "triad", "stat", "pressure", "fomo", "loss_aversion", "authority", "template")}
+
+
+#: Pattern by pattern, what a text must hold for the pattern to match in it at all; a pattern's place is its bit in ``asks``.
+ASKED = _asked()
+
+
+@F.arrow_udf(T.LongType())
+def asks(body: pa.Array, visible: pa.Array) -> pa.Array:
+    """Bits of the patterns of ``ASKED`` that can match, the template's in the visible text, all others in the body."""
+    bits = pa.scalar(0, pa.int64())
+    for at, (name, loose) in enumerate(ASKED.items()):
+        held = pc.fill_null(pc.match_substring_regex(visible if name == "template" else body, loose), False)
+        bits = pc.bit_wise_or(bits, pc.if_else(held, pa.scalar(1 << at, pa.int64()), pa.scalar(0, pa.int64())))
+    return bits
+
+
+def asked(bits: Column, name: str) -> Column:
+    return F.bit_get(bits, F.lit(list(ASKED).index(name))) == 1
+
+
+def hits(bits: Column, name: str, found: Column) -> Column:
+    """``found``, the matches of one pattern, without a search where it cannot match."""
+    return F.when(asked(bits, name), found).otherwise(0)
 
 
 def count(text: Column, *patterns: str) -> Column:
@@ -43,14 +91,14 @@ def opening(line: Column) -> Column:
 
 
 def openings(lines: Column) -> Column:
-    found = F.transform(F.filter(lines, lambda x: line_words(x) >= 2), opening)
+    found = F.transform(F.filter(lines, lambda x: has_words(x, 2)), opening)
     return F.filter(F.array_distinct(found), lambda o: o != "")
 
 
 def sentences(lines: Column) -> Column:
     """Sentences of three words or more from lines of six words or more."""
-    prose = F.array_join(F.filter(lines, lambda x: line_words(x) >= 6), "\n")
-    return F.filter(F.split(prose, r"(?<=[.!?])\s+|\n"), lambda s: line_words(s) >= 3)
+    prose = F.array_join(F.filter(lines, lambda x: has_words(x, 6)), "\n")
+    return F.filter(F.split(prose, r"(?<=[.!?])\s+|\n"), lambda s: has_words(s, 3))
 
 
 def rate(hits: Column, words: Column) -> Column:
@@ -62,9 +110,9 @@ def rated(hits: Column, words: Column, cap: int) -> Column:
     return whole(F.least(rate(hits, words) / F.lit(float(cap)), F.lit(1.0)) * 100)
 
 
-def sentence_sums(lines: Column) -> Column:
+def sentence_sums(found: Column) -> Column:
     """Number, sum and sum of squares of the words in sentences."""
-    lengths = F.transform(sentences(lines), lambda s: line_words(s).cast("double"))
+    lengths = F.transform(found, lambda s: line_words(s).cast("double"))
     return F.aggregate(lengths, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
                        lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
 
@@ -74,27 +122,25 @@ def variation(sums: Column) -> Column:
     return F.sqrt(sums["n"] * sums["q"] - sums["s"] * sums["s"]) / sums["s"]
 
 
-def rhythm(lines: Column) -> Column:
+def rhythm(found: Column) -> Column:
     """Sentence-length uniformity from the coefficient of variation; 0 under eight sentences."""
-    return let(sentence_sums(lines), lambda a: F.when(a["n"] < 8, F.lit(0).cast("bigint")).otherwise(
+    return let(sentence_sums(found), lambda a: F.when(a["n"] < 8, F.lit(0).cast("bigint")).otherwise(
         whole(between((F.lit(0.6) - variation(a)) / 0.35, 0.0, 1.0) * 100)))
 
 
 def rhythm_facts(lines: Column) -> Column:
     """``(count, cv, mean_words)`` of the sentences; the last two NULL under eight."""
-    return let(sentence_sums(lines), lambda a: F.struct(
+    return let(sentence_sums(sentences(lines)), lambda a: F.struct(
         a["n"].cast("bigint").alias("count"), F.when(a["n"] >= 8, F.bround(variation(a), 2)).alias("cv"), F.when(a["n"] >= 8, F.bround(a["s"] / a["n"], 1)).alias("mean_words")))
 
 
 def skeleton_hits(lines: Column, common: Column) -> Column:
     """Lines of two words or more whose opening is among the hashes ``common``."""
-    return F.size(F.filter(lines, lambda x: (line_words(x) >= 2) & F.array_contains(common, F.xxhash64(opening(x)))))
+    return F.size(F.filter(lines, lambda x: has_words(x, 2) & F.array_contains(common, F.xxhash64(opening(x)))))
 
 
-def self_focus(text: Column, lines: Column, brand: Column | None) -> Column:
+def self_focus(text: Column, we: Column, you: Column, first: Column, brand: Column | None) -> Column:
     """Share of we-words against you-words, more when the first sentence opens on the company."""
-    we, you = count(text, pattern("we")), count(text, pattern("you"))
-    first = F.try_element_at(sentences(lines), F.lit(1))
     opens = F.coalesce(first.rlike(r"(?iU)^(?:we|our)\b"), F.lit(False))
     if brand is not None:
         named = F.coalesce(brand, F.lit(""))
@@ -108,7 +154,7 @@ def self_focus(text: Column, lines: Column, brand: Column | None) -> Column:
     return let(F.struct(we.alias("we"), you.alias("you"), opens.alias("opens")), score)
 
 
-def unsupported_claims(text: Column, brand: Column | None) -> Column:
+def unsupported_claims(text: Column, brand: Column | None, bits: Column | None = None) -> Column:
     """Boasts outside the company's own name, and statistics whose sentence names no source or measurement."""
     named = text
     if brand is not None:
@@ -117,11 +163,12 @@ def unsupported_claims(text: Column, brand: Column | None) -> Column:
     # Few sentences hold a statistic at all, so that is asked first.
     bare = F.filter(F.split(text, r"[!?\n]|\.(?= )"),
                     lambda s: s.rlike(pattern("stat")) & ~s.rlike(pattern("sourced")) & ~s.rlike(pattern("measured")))
-    return boasts + F.aggregate(bare, F.lit(0), lambda total, s: total + count(s, pattern("stat")))
+    stats = F.aggregate(bare, F.lit(0), lambda total, s: total + count(s, pattern("stat")))
+    # No statistic reaches over the end of a sentence, and no boast holds the word that stands for the brand.
+    return boasts + stats if bits is None else hits(bits, "puffery", boasts) + hits(bits, "stat", stats)
 
 
-def one_sidedness(text: Column, words: Column) -> Column:
-    markers = count(text, phrase_pattern(fixed.BALANCE))
+def one_sidedness(markers: Column, words: Column) -> Column:
     return F.when(words < 300, 0).otherwise(F.greatest(F.lit(0), F.lit(100) - markers * 50)).cast("bigint")
 
 

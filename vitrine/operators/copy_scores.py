@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import copy as C, fixed_values as fixed
@@ -12,28 +14,33 @@ SCORES = ("ai_slop", "marketing_bias")
 
 
 def signal_columns(brand: Column | None = None) -> dict[str, Column]:
-    """Every subscore over ``body``, ``body_lines``, ``words`` and ``common_openings``."""
-    text, lines, words = F.col("body"), F.col("body_lines"), F.col("words")
-    numbers = C.count(text, C.pattern("number"))
+    """Every subscore over ``body``, ``body_lines``, ``words``, ``common_openings``, ``_sentences`` and ``_asks``."""
+    text, lines, words, sentences, bits = (F.col(c) for c in ("body", "body_lines", "words", "_sentences", "_asks"))
+
+    def named(*names: str) -> Column:
+        return reduce(lambda a, b: a + b, [C.hits(bits, n, C.count(text, C.pattern(n))) if n in C.ASKED else C.count(text, C.pattern(n)) for n in names])
+
+    def phrases(name: str, listed: list[str]) -> Column:
+        return C.hits(bits, name, C.count(text, C.phrase_pattern(listed)))
 
     def by_rate(hits: Column, weights: dict, name: str) -> Column:
         return C.rated(hits, words, weights[name][1])
 
     slop, bias = fixed.SLOP_WEIGHTS, fixed.BIAS_WEIGHTS
     return {
-        "stock_phrases": by_rate(C.count(text, C.phrase_pattern(fixed.STOCK)), slop, "stock_phrases"),
-        "rhythm": C.rhythm(lines),
+        "stock_phrases": by_rate(phrases("stock", fixed.STOCK), slop, "stock_phrases"),
+        "rhythm": C.rhythm(sentences),
         "formula_skeleton": whole(F.least(C.skeleton_hits(lines, F.col("common_openings")) / 4, F.lit(1.0)) * 100),
-        "contrast_frames": by_rate(C.count(text, C.pattern("contrast"), C.pattern("split_contrast")), slop, "contrast_frames"),
-        "formula_openers": by_rate(C.count(text, C.phrase_pattern(fixed.OPENERS), C.pattern("no_just")), slop, "formula_openers"),
+        "contrast_frames": by_rate(named("contrast", "split_contrast"), slop, "contrast_frames"),
+        "formula_openers": by_rate(phrases("openers", fixed.OPENERS) + named("no_just"), slop, "formula_openers"),
         "em_dashes": by_rate(C.count(text, "—"), slop, "em_dashes"),
-        "triads": by_rate(C.count(text, C.pattern("triad")), slop, "triads"),
-        "vagueness": F.lit(100).cast("bigint") - C.rated(numbers, words, fixed.SPECIFICITY_RATE),
-        "template_artifacts": F.when(F.col("visible_text").rlike(C.pattern("template")), 100).otherwise(0).cast("bigint"),
-        "unsupported_claims": by_rate(C.unsupported_claims(text, brand), bias, "unsupported_claims"),
-        "self_focus": C.self_focus(text, lines, brand),
-        "one_sidedness": C.one_sidedness(text, words),
-        **{name: by_rate(C.count(text, C.pattern(name)), bias, name) for name in ("pressure", "fomo", "loss_aversion", "authority")},
+        "triads": by_rate(named("triad"), slop, "triads"),
+        "vagueness": F.lit(100).cast("bigint") - C.rated(named("number"), words, fixed.SPECIFICITY_RATE),
+        "template_artifacts": F.when(C.asked(bits, "template") & F.col("visible_text").rlike(C.pattern("template")), 100).otherwise(0).cast("bigint"),
+        "unsupported_claims": by_rate(C.unsupported_claims(text, brand, bits), bias, "unsupported_claims"),
+        "self_focus": C.self_focus(text, named("we"), named("you"), F.try_element_at(sentences, F.lit(1)), brand),
+        "one_sidedness": C.one_sidedness(phrases("balance", fixed.BALANCE), words),
+        **{name: by_rate(named(name), bias, name) for name in ("pressure", "fomo", "loss_aversion", "authority")},
     }
 
 
@@ -67,7 +74,9 @@ def score_bodies(bodies: DataFrame, brand: Column | None = None) -> DataFrame:
     counted = bodies.withColumn("words", C.english_words(F.col("body")).cast("bigint"))
     enough = F.col("words") >= fixed.MIN_WORDS
     signals = signal_columns(brand)
-    scored = counted.select("*", *[F.when(enough, c).alias(name) for name, c in signals.items()])
+    # Sentences are cut once for the two signals that read them, and what no pattern can match in is searched for none.
+    read = counted.withColumn("_asks", C.asks("body", "visible_text")).withColumn("_sentences", F.when(enough, C.sentences(F.col("body_lines"))))
+    scored = read.select("*", *[F.when(enough, c).alias(name) for name, c in signals.items()]).drop("_asks", "_sentences")
     have = {name: F.col(name) for name in signals}
     slop = C.weighted(have, fixed.SLOP_WEIGHTS) + F.when(have["template_artifacts"] > 0, 40.0).otherwise(0.0)
     bias = C.weighted(have, fixed.BIAS_WEIGHTS)

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.copy import opening, openings
-from ..functions.scalars import line_words, strip
+from ..functions.scalars import has_words
 from ..session import cut
 from .ranking import beside
 
 
 def _nonblank(lines: Column) -> Column:
-    return F.filter(lines, lambda x: strip(x) != "")
+    """Lines with anything but white space, found at their first other character."""
+    return F.filter(lines, lambda x: x.rlike(r"(?U)\S"))
 
 
 def line_marks(pages: DataFrame, keys: list[str], with_openings: bool = False) -> DataFrame:
@@ -22,7 +23,7 @@ def line_marks(pages: DataFrame, keys: list[str], with_openings: bool = False) -
 
     The texts are read for this once; everything that pages of a site share is counted from these rows.
     """
-    pairs = F.transform(F.filter("lines", lambda x: line_words(x) >= 2), lambda x: F.struct(F.xxhash64(x).alias("line"), opening(x).alias("opening")))
+    pairs = F.transform(F.filter("lines", lambda x: has_words(x, 2)), lambda x: F.struct(F.xxhash64(x).alias("line"), opening(x).alias("opening")))
     hashed = F.transform(F.filter(pairs, lambda p: p["opening"] != ""), lambda p: F.struct(p["line"].alias("line"), F.xxhash64(p["opening"]).alias("opening")))
     lines = F.array_distinct(F.transform(_nonblank(F.col("lines")), lambda x: F.xxhash64(x))).alias("_lines")
     return cut(pages.select(*keys, lines, *([F.array_distinct(hashed).alias("_pairs")] if with_openings else [])))
