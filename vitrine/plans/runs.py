@@ -87,9 +87,14 @@ def _(t):
 
 def arriving(t):
     """The runs and their metrics as manifests that have arrived in files."""
-    measured = metrics(t).groupBy("site", "run_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metrics"))
-    rows = runs(t).join(measured, ["site", "run_id"], "left").select("site", "run_id", "created_at", F.lit("scan").alias("command"), F.lit("COMPLETE").alias("status"),
-                                                                     F.struct(F.col("pages").cast("bigint").alias("pages")).alias("counts"), "metrics")
+    # The rows of ``runs`` and ``metrics`` from one pass over the events; an event without a user or a time is of no run.
+    each = t.events.groupBy(_site().alias("site"), _run().alias("run_id"), F.to_date("ts").alias("day"), F.col("user_id"), F.col("event_type").alias("key")).agg(
+        F.max("value").alias("value"), F.min(F.col("ts").cast("timestamp")).alias("created_at"), F.count("*").alias("pages"))
+    entry = F.when(F.col("site").isNotNull() & F.col("run_id").isNotNull(), F.struct("key", "value"))
+    daily = each.groupBy("site", "run_id", "day", "user_id").agg(
+        F.collect_list(entry).alias("entries"), F.min("created_at").alias("created_at"), F.sum("pages").alias("pages"))
+    rows = daily.select("site", "run_id", "created_at", F.lit("scan").alias("command"), F.lit("COMPLETE").alias("status"), F.struct(F.col("pages").cast("bigint").alias("pages")).alias("counts"),
+                        F.when(F.size("entries") > 0, F.map_from_entries("entries")).alias("metrics"))
     folder = f"{checkpoint_dir(t.spark).rstrip('/')}/vitrine-arriving-{uuid.uuid4().hex}"
     # Dealt by run, so that the runs of a site arrive in any order and in several batches.
     rows.repartition(6, "run_id").write.parquet(f"{folder}/in")
