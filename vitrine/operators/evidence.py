@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.scalars import first_where, lookup, squash, strip
 from ..functions.urls import page_key, path
 from ..session import cut
+from . import search
 from .ranking import first_n
 from .structured import OBJECTS, is_a, prop, text_of
 
@@ -39,46 +43,26 @@ def attribute_quotes(claims: DataFrame, read: DataFrame, pages: DataFrame, keys:
     return named.select(*ids, F.coalesce(F.when(F.col("verified"), F.col("_found")), "_known", "url").alias("url"), F.coalesce("verified", F.lit(False)).alias("verified"))
 
 
-def _grams(words: Column) -> Column:
-    """Neighbouring words two by two, or the word itself where there is only one."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
-
-
-def _hashes(grams: Column) -> Column:
-    return F.transform(grams, lambda g: F.xxhash64(g))
-
-
 def quoted_on(claims: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """The first page of a group that contains each quote: ``(keys, quote, place, url)``, the quote as ``squash`` gives it.
 
-    ``claims``: keys, quote; ``pages``: keys, place, url, visible_text. Any number of pages: a page offers its words and pairs
-    of words, a quote asks for the rarest pair of its whole words (the first and the last may be cut), and only pages that have
-    it are searched for the quote itself. Words and pairs are compared by 8-byte hashes, and only those that a quote asks for are
-    kept: a hash that two share adds a page to search, no result. A quote of one or two words has no whole word to ask for and is searched for on
-    every page of its group. Quotes and pages that are null or empty, and quotes that stand nowhere, give no row; quotes that
-    come several times give one.
+    ``claims``: keys, quote; ``pages``: keys, place, url, visible_text. Any number of pages: each is read once and only what
+    quotes ask for leaves it, the quote itself with the page's place, so that nothing has to be searched for again. Quotes of any
+    length are looked for in that one pass (``search``). Quotes and pages that are null or empty, and quotes that stand nowhere,
+    give no row; quotes that come several times give one.
     """
     quotes = cut(claims.select(*keys, squash(F.col("quote")).alias("quote")).filter("quote <> ''").distinct())
-    texts = cut(pages.select(*keys, "place", "url", squash(F.col("visible_text")).alias("_text")).filter("_text <> ''"))
-    words = F.filter(F.split("_text", " "), lambda w: w != "")
-    inner = F.split("quote", " ")
-    asked = quotes.withColumn("_inner", F.when(F.size(inner) > 2, F.slice(inner, 2, F.size(inner) - 2)))
-    wanted = asked.filter("_inner is not null").select(*keys, "quote", F.explode(_hashes(_grams(F.col("_inner")))).alias("gram"))
-    every = texts.select(*keys, "place", F.explode(F.array_distinct(_hashes(F.array_union(_grams(words), F.array_distinct(words))))).alias("gram"))
-    offered = cut(every.join(wanted.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi"))
-    counts = offered.groupBy(*keys, "gram").agg(F.count("*").alias("_n"))
-    rare = wanted.join(counts, [*keys, "gram"], "left")
-    rare = rare.groupBy(*keys, "quote").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
-    met = rare.join(offered, [*keys, "gram"]).select(*keys, "quote", "place")
-    short = asked.filter("_inner is null").select(*keys, "quote").join(texts.select(*keys, "place"), keys)
-    found = met.union(short.select(met.columns)).join(texts, [*keys, "place"]).filter(F.contains("_text", F.col("quote")))
-    return found.groupBy(*keys, "quote").agg(F.min_by("url", "place").alias("url"), F.min("place").alias("place"))
+    asked = cut(search.grams(quotes, pages, keys))
+    # A page whose key or place is null meets no quote.
+    held = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "place", "visible_text")])
+    texts = pages.filter(held).select(*keys, "place", "url", squash(F.col("visible_text")).alias("visible_text"))
+    found = search.found_on(quotes, texts, keys, search.table(asked))
+    return quotes.join(found, [*keys, "quote"]).groupBy(*keys, "quote").agg(F.min_by("url", "place").alias("url"), F.min("place").alias("place"))
 
 
 def attribute_quotes_everywhere(claims: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """As ``attribute_quotes``, with every page of the run read instead of a handful. ``pages`` have a ``place``; ties go to the first."""
+    claims = cut(claims.select(*keys, "claim_id", "quote", "url"))
     stated = pages.select(*keys, page_key(F.col("url"), True).alias("_key"), F.col("url").alias("_known")).groupBy(*keys, "_key").agg(F.min("_known").alias("_known"))
     where = quoted_on(claims, pages, keys).select(*keys, F.col("quote").alias("_quote"), F.col("url").alias("_found"))
     named = claims.withColumn("_quote", squash(F.col("quote"))).withColumn("_key", page_key(F.col("url"), True))
